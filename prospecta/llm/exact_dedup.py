@@ -85,14 +85,10 @@ def resolve(docs: DataFrame, state: DataFrame, digest=sha256_digest) -> DataFram
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs(doc_id, text)``."""
     texts = docs.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
     found = texts.join(state.select("digest", "keep_id", "group_size"), "digest")
-    hits = found.where("group_size > 1")
-    stays = hits.where(F.coalesce("doc_id", F.lit(_LAST)) == F.col("keep_id")).groupBy("digest").agg(F.min("text").alias("stay_text"))
-    compared = materialize(
-        found.where("group_size = 1")
-        .select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"), "digest", F.lit(True).alias("same"))
-        .unionByName(hits.join(stays, "digest").select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"), "digest", (F.col("text") == F.col("stay_text")).alias("same"))),
-        "dedup",
-    )
+    stays = found.where((F.col("group_size") > 1) & (F.coalesce("doc_id", F.lit(_LAST)) == F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("stay_text"))
+    same = (F.col("group_size") == 1) | (F.col("text") == F.col("stay_text"))
+    # both sides of this join come from one shuffle of the texts by digest
+    compared = materialize(found.join(stays, "digest", "left").select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"), "digest", same.alias("same")), "dedup")
     out = ["doc_id", "keep_id", "group_size", "text_sha256"]
     if compared.where("not same").isEmpty():
         result = compared.select(*out)
