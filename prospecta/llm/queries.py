@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fm_index, mixing, piece_bpe, simhash, sketches, suffix_bwt
+from . import chat_format, exact_dedup, fm_index, mixing, piece_bpe, ppm, simhash, sketches, suffix_bwt, weak_quality
 
 #: Name of the vocabulary file that op3 and the pipeline's last stage use.
 PIECES = "piece_bpe_32k.model"
@@ -27,14 +27,26 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.digests(documents(spark, sf_dir), 35)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.coded(documents(spark, sf_dir), model_path())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(documents(spark, sf_dir))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_bwt.digests(documents(spark, sf_dir), 200)
 
 
+def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir), ppm.fold(F.col("doc_id")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(spark, f"{sf_dir}/documents.parquet")
 
@@ -53,7 +65,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_sentencepiece, op5_suffix_array_dedup, op7_exact_dedup, op8_simhash, op9_source_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_sentencepiece, op4_quality, op5_suffix_array_dedup, op6_ppm_scores, op7_exact_dedup, op8_simhash, op9_source_mixing, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
