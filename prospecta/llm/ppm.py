@@ -2,8 +2,9 @@
 
 The model is a byte-context trie: for every context of 0 to ``order`` symbols, how often
 each symbol followed it in the training texts.  A symbol is coded in the longest context
-seen in training; where it never followed there, an escape is coded (method C: as likely
-as the number of distinct followers) and the next shorter context is tried, leaving out
+seen in training; where it never followed there, an escape is coded (method D: each of d
+distinct followers gives half an occurrence to the escape, d / 2n in all, which leaves
+(2c - 1) / 2n to a follower seen c times) and the next shorter context is tried, leaving out
 the symbols that the longer context has already ruled out (symbol exclusion); at last all
 symbols not ruled out are equally likely.  A text is its words (A-Z in lower case) joined
 by one space, then an end symbol; its code length is the sum over all symbols.
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import U64, materialize
 
 #: Symbols of context.
-ORDER = 4
-BLOCK_BYTES = 16 << 20
+ORDER = 5
+BLOCK_BYTES = 32 << 20
 BITS = 9
 END, BEGIN, SYMBOLS = 256, 257, 257
 
@@ -139,7 +140,7 @@ def code_lengths(grams: DataFrame, followers: DataFrame, contexts: DataFrame, or
     """gram, cost: log10 of each gram's last symbol's probability after the others.  ``grams`` has gram and n."""
     context = F.shiftright("gram", BITS)
     top = contexts.where(F.col("depth") == order).select(F.col("context").alias("c"), "total", "followers")
-    seen = grams.where("n > 0").join(top, context == top["c"]).select("gram", F.log10(F.col("n") / (F.col("total") + F.col("followers"))).alias("cost"))
+    seen = grams.where("n > 0").join(top, context == top["c"]).select("gram", F.log10((2 * F.col("n") - 1) / (2 * F.col("total"))).alias("cost"))
     depths = F.explode(F.array([F.lit(d) for d in range(order + 1)]))
     asked = grams.where("n = 0").select("gram", depths.alias("depth"))
     asked = asked.withColumn("key", F.col("gram").bitwiseAND(F.expr(f"shiftleft(1L, CAST({BITS} * (depth + 1) AS INT)) - 1"))).withColumn("context", F.shiftright("key", BITS))
@@ -158,8 +159,8 @@ def code_lengths(grams: DataFrame, followers: DataFrame, contexts: DataFrame, or
         rule = state["out"].isNotNull()
         open_total = x["total"] - F.when(rule, state["out"]).otherwise(0)
         open_followers = x["followers"] - F.when(rule, state["ruled"]).otherwise(0)
-        whole = (open_total + open_followers).cast("double")
-        cost = F.when(x["m"].isNotNull(), F.log10(x["m"] / whole)).when(open_followers > 0, F.log10(open_followers / whole)).otherwise(0.0)
+        whole = (2 * open_total).cast("double")
+        cost = F.when(x["m"].isNotNull(), F.log10((2 * x["m"] - 1) / whole)).when(open_followers > 0, F.log10(open_followers / whole)).otherwise(0.0)
         idle = state["done"] | x["total"].isNull()
         return F.struct(
             F.when(idle, state["cost"]).otherwise(state["cost"] + cost).alias("cost"),
@@ -232,9 +233,9 @@ class Trie:
             if not found:
                 continue
             left = {s: c for s, c in found.items() if s not in ruled}
-            whole = sum(left.values()) + len(left)
+            whole = 2 * sum(left.values())
             if symbol in left:
-                return out + math.log10(left[symbol] / whole)
+                return out + math.log10((2 * left[symbol] - 1) / whole)
             if left:
                 out += math.log10(len(left) / whole)
             ruled |= set(found)
