@@ -34,6 +34,10 @@ from .common import Rolling, byte_units
 from .repeats import merged, repeated_spans
 
 
+#: Bytes of distinct segments in a shard: its columns take about 21 bytes of a task's own disk for each.
+SHARD_BYTES = 1 << 20
+
+
 class Columns:
     """The sorted list's columns as files: one generation is read from the front, the next one written."""
 
@@ -68,6 +72,7 @@ class Columns:
                     merged_block[fresh] = new[i:j]
                     merged_block[~fresh] = np.fromfile(old, kind, hi - lo - (j - i))
                     merged_block.tofile(out)
+            os.remove(self.path(name, self.generation))
         self.generation += 1
         self.rows = total
 
@@ -189,7 +194,7 @@ def repeated_windows(raw: np.ndarray, offsets: np.ndarray, copies: np.ndarray, w
 
 def repeated_byte_spans(docs: DataFrame, width: int = 200, **options) -> DataFrame:
     """doc_id, spans array<struct<a, b>> in bytes: all strings of ``width`` bytes that also start elsewhere."""
-    return repeated_spans(docs, "bytes", width, repeated_windows, **options)
+    return repeated_spans(docs, "bytes", width, repeated_windows, **({"shard_bytes": SHARD_BYTES} | options))
 
 
 def deduplicate(docs: DataFrame, width: int = 200, **options) -> DataFrame:
