@@ -1,13 +1,23 @@
-"""Registry of the engine's queries."""
+"""All queries of the engine with their SQL twins."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries():
-    return {}
+from ..sources.views import Views
+from . import feeds, reports, scalars, segments  # noqa: F401  (they register their queries)
+from .registry import QUERIES, SQL
 
 
-def oracle_sql():
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.coverage_region(Views(spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
