@@ -193,7 +193,7 @@ def mask_ip(ip: Column) -> Column:
 
 def ip_number(ip: Column) -> Column:
     parts = F.split(ip, r"\.")
-    return sum((F.element_at(parts, i + 1).cast("long") * F.lit(256 ** (3 - i)) for i in range(4)), F.lit(0).cast("long"))
+    return sum((F.try_element_at(parts, F.lit(i + 1)).try_cast("long") * F.lit(256 ** (3 - i)) for i in range(4)), F.lit(0).cast("long"))
 
 
 def ip_denied(ip: Column, networks: tuple[str, ...] = ("10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16")) -> Column:
