@@ -11,7 +11,7 @@ from ..operators import merge as m
 from ..operators import relations as r
 from ..sources.views import AS_OF, COMPANY_TAG
 from .registry import query
-from .scalars import _HOST, _NORM, _ROOT
+from .scalars import _DEPT, _HOST, _NORM, _REGION, _ROOT, _SECTOR, _SIZE, SCORE_SQL
 
 
 @query("s01_scoped_scan", "SELECT id, denomination FROM companies WHERE workspace_id = 'w1'", ("companies",))
@@ -292,3 +292,34 @@ def series(v):
 @query("w08_rank_in_sector", "SELECT id, rank() OVER (PARTITION BY sector_main, workspace_id ORDER BY quality_score DESC) AS place FROM companies WHERE sector_main IS NOT NULL", ("companies",))
 def rank(v):
     return v.companies.where(F.col("sector_main").isNotNull()).select("id", F.rank().over(Window.partitionBy("sector_main", "workspace_id").orderBy(F.desc("quality_score"))).alias("place"))
+
+
+@query(
+    "m22_waterfall",
+    f"""SELECT c.id, department, CASE {_REGION} END AS region, CASE WHEN naf IS NULL THEN NULL {_SECTOR} ELSE 'autre' END AS sector, CASE {_SIZE} END AS size, score, CASE WHEN score >= 90 THEN 'complete' WHEN score >= 50 THEN 'partielle' ELSE 'basique' END AS badge,
+CASE WHEN coalesce(archive_reason = 'entreprise_radiee', false) THEN 'archived_no_email' WHEN email_generic <> '' OR c.id IN (SELECT company_id FROM contacts WHERE email_status IN ('valid', 'catchall', 'unknown', 'role')) THEN 'ready_for_outreach' ELSE 'archived_no_email' END AS status
+FROM (SELECT c.*, {_DEPT} AS department, {_DEPT} AS d0, try_cast(substr(naf, 1, 2) AS INT) AS dn, {SCORE_SQL} AS score FROM companies c) c""".replace("WHEN d IN", "WHEN d0 IN").replace("WHEN d BETWEEN", "WHEN dn BETWEEN"),
+    ("companies", "contacts"),
+)
+def waterfall(v):
+    from ..operators.waterfall import derive
+
+    return derive(v.companies, v.contacts).select("id", "department", "region", "sector", "size", "score", "badge", "status")
+
+
+@query("m29_people_in_replies", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'NOM' || doc_id::VARCHAR ELSE '' END AS people FROM documents")
+def people(v):
+    from ..operators.waterfall import parse_people
+
+    reply = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('Here:\n```json\n[{"first_name":"A","last_name":" NOM'), F.col("doc_id").cast("string"), F.lit('","role":"x"},{"last_name":" "}]\n```'))).otherwise("no people found")
+    return v.documents.select("doc_id", F.array_join(F.transform(parse_people(reply), lambda p: p["last_name"]), " ").alias("people"))
+
+
+@query("st_sliding_windows", "SELECT s AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts) - INTERVAL 1 DAY, date_trunc('day', ts)]) AS s FROM events) GROUP BY ALL")
+def sliding(v):
+    from ..streaming import ingest
+    from .feeds import _stream, scratch
+
+    stream = ingest.windowed_counts(_stream(v).withColumn("ts", F.col("ts").cast("timestamp")), size="2 days", slide="1 day")
+    table = ingest.run_to_table(stream, v.spark, scratch(v.spark), "update")
+    return table.groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type").agg(F.max_by("n", "epoch").alias("n"))
