@@ -82,22 +82,29 @@ def stream_state(stream: DataFrame, digest=sha256_digest, checkpoint: str | None
 
 
 def resolve(docs: DataFrame, state: DataFrame, digest=sha256_digest) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs(doc_id, text)``."""
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs(doc_id, text)``.
+
+    Every join is one sort-merge join between two shuffles, which Spark can split where a
+    digest is frequent; rows without texts carry the decisions, and texts are shuffled only
+    to compare the hits' full bytes.
+    """
     texts = docs.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
-    found = texts.join(state.select("digest", "keep_id", "group_size"), "digest")
-    stays = found.where((F.col("group_size") > 1) & (F.coalesce("doc_id", F.lit(_LAST)) == F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("stay_text"))
-    same = (F.col("group_size") == 1) | (F.col("text") == F.col("stay_text"))
-    # both sides of this join come from one shuffle of the texts by digest
-    compared = materialize(found.join(stays, "digest", "left").select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256"), "digest", same.alias("same")), "dedup")
+    known = state.select("digest", "keep_id", "group_size")
+    found = texts.select("doc_id", "digest", F.sha2("text", 256).alias("text_sha256")).join(known, "digest")
+    own = texts.withColumn("keep_id", F.coalesce("doc_id", F.lit(_LAST)))
+    # doc_ids may repeat: of several rows that stay, one text is compared with
+    stays = own.join(known.where("group_size > 1").drop("group_size"), ["keep_id", "digest"]).groupBy("digest").agg(F.min("text").alias("stay_text"))
+    apart = materialize(texts.join(stays, "digest").where("text != stay_text").select("doc_id", "digest", F.sha2("text", 256).alias("text_sha256")), "collisions")
     out = ["doc_id", "keep_id", "group_size", "text_sha256"]
-    if compared.where("not same").isEmpty():
-        result = compared.select(*out)
+    if apart.isEmpty():
+        result = found.select(*out)
     else:  # digests collided: what differs from the row that stays is grouped by its bytes
-        others = compared.where("not same").groupBy("digest").agg(F.count("*").alias("others"))
-        same = compared.where("same").join(others, "digest", "left").withColumn("group_size", F.col("group_size") - F.coalesce("others", F.lit(0)))
-        apart = texts.withColumn("text_sha256", F.sha2("text", 256)).join(compared.where("not same").select("doc_id", "text_sha256").distinct(), ["doc_id", "text_sha256"], "left_semi")
-        groups = apart.groupBy("text").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("keep_id"), F.count("*").alias("group_size"))
-        result = same.select(*out).unionByName(apart.join(groups, "text").select(*out))
+        different = apart.select("digest", "text_sha256").distinct()
+        others = apart.groupBy("digest").agg(F.count("*").alias("others"))
+        same = found.join(different, ["digest", "text_sha256"], "left_anti").join(others, "digest", "left").withColumn("group_size", F.col("group_size") - F.coalesce("others", F.lit(0)))
+        rows = texts.withColumn("text_sha256", F.sha2("text", 256)).join(different, ["digest", "text_sha256"], "left_semi")
+        groups = rows.groupBy("text").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("keep_id"), F.count("*").alias("group_size"))
+        result = same.select(*out).unionByName(rows.join(groups, "text").select(*out))
     keep = F.when(F.col("keep_id") != _LAST, F.col("keep_id"))
     return result.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
