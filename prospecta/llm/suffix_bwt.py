@@ -34,14 +34,15 @@ from .common import Rolling, byte_units
 from .repeats import merged, repeated_spans
 
 
-#: Bytes of distinct segments in a shard: its columns take about 21 bytes of a task's own disk for each.
-SHARD_BYTES = 1 << 20
+#: Bytes of distinct segments in a shard: its columns take about 34 bytes of a task's own disk for each.
+SHARD_BYTES = 1 << 19
 
 
 class Columns:
     """The sorted list's columns as files: one generation is read from the front, the next one written."""
 
-    KINDS = {"symbol": np.uint32, "link": np.uint32, "bwt": np.uint32, "place": np.uint32, "lcp": np.uint8}
+    #: key: a suffix's first symbol, and below 32 bits the row of the rest of it
+    KINDS = {"key": np.int64, "bwt": np.uint32, "place": np.uint32, "lcp": np.uint8}
 
     def __init__(self, folder: str, block: int = 1 << 20):
         self.folder, self.block, self.generation, self.rows = folder, block, 0, 0
@@ -55,30 +56,34 @@ class Columns:
     def begin(self, **columns: np.ndarray) -> None:
         self.rows = len(next(iter(columns.values())))
         for name, values in columns.items():
-            values.astype(self.KINDS[name]).tofile(self.path(name, self.generation))
+            with open(self.path(name, self.generation), "wb") as out:
+                values.astype(self.KINDS[name], copy=False).tofile(out)
 
     def merge(self, at: np.ndarray, **columns: np.ndarray) -> None:
         """Insert rows so that they stand at ``at`` (ascending) in the next generation, block by block."""
         total = self.rows + len(at)
-        for name, new in columns.items():
-            kind = self.KINDS[name]
-            with open(self.path(name, self.generation), "rb") as old, open(self.path(name, self.generation + 1), "wb") as out:
-                for lo in range(0, total, self.block):
-                    hi = min(lo + self.block, total)
-                    i, j = np.searchsorted(at, [lo, hi])
-                    merged_block = np.empty(hi - lo, kind)
-                    fresh = np.zeros(hi - lo, bool)
-                    fresh[at[i:j] - lo] = True
-                    merged_block[fresh] = new[i:j]
-                    merged_block[~fresh] = np.fromfile(old, kind, hi - lo - (j - i))
+        for lo in range(0, total, self.block):
+            hi = min(lo + self.block, total)
+            i, j = np.searchsorted(at, [lo, hi])
+            old = np.ones(hi - lo, bool)
+            old[at[i:j] - lo] = False
+            for name, new in columns.items():
+                kind = np.dtype(self.KINDS[name])
+                merged_block = np.empty(hi - lo, kind)
+                merged_block[at[i:j] - lo] = new[i:j]
+                merged_block[old] = np.fromfile(self.path(name, self.generation), kind, hi - lo - (j - i), offset=(lo - int(i)) * kind.itemsize)
+                # columns only grow: what the generation before last left is written over
+                path = self.path(name, self.generation + 1)
+                with open(path, "r+b" if os.path.exists(path) else "wb") as out:
+                    out.seek(lo * kind.itemsize)
                     merged_block.tofile(out)
-            os.remove(self.path(name, self.generation))
         self.generation += 1
         self.rows = total
 
     def update(self, **columns: np.ndarray) -> None:
         for name, values in columns.items():
-            values.astype(self.KINDS[name]).tofile(self.path(name, self.generation))
+            with open(self.path(name, self.generation), "r+b") as out:
+                values.astype(self.KINDS[name], copy=False).tofile(out)
 
 
 class RangeMinimum:
@@ -113,47 +118,44 @@ def collection_bwt(symbols: np.ndarray, last: np.ndarray, previous: np.ndarray,
     columns = Columns(folder)
     n = len(last)
     zero = np.zeros(n, np.uint32)
-    columns.begin(symbol=zero, link=np.arange(n), bwt=symbols[last], place=zero, lcp=zero)
+    columns.begin(key=np.arange(n), bwt=symbols[last], place=zero, lcp=zero)
     active, row = last, np.arange(n)  # next position to insert, and the row of the suffix after it
     while len(active):
-        key = (columns.read("symbol").astype(np.int64) << 32) | columns.read("link")
+        key, lcps = columns.read("key"), columns.read("lcp")
         fresh = (symbols[active].astype(np.int64) << 32) | row
         order = np.argsort(fresh)
         fresh, active, row = fresh[order], active[order], row[order]
         behind = np.searchsorted(key, fresh)
         at = behind + np.arange(len(fresh))
-        symbol, link = symbols[active], row
-        left = np.where(previous[active] >= 0, symbols[previous[active]], 0)
+        has = previous[active] >= 0
+        left = np.where(has, symbols[previous[active]], 0)
         # common prefixes: of each new row with the one above, and of each old row below a new one
-        minimum = RangeMinimum(columns.read("lcp"))
+        minimum = RangeMinimum(lcps)
 
         def common(above: np.ndarray, below: np.ndarray, minimum=minimum) -> np.ndarray:
-            same = (above >> 32) == (below >> 32)
             out = np.zeros(len(above), np.uint8)
-            lo, hi = above[same] & 0xFFFFFFFF, below[same] & 0xFFFFFFFF
-            deeper = np.zeros(len(lo), np.uint8)
-            apart = (below[same] >> 32) > 0
-            deeper[apart] = minimum(lo[apart], hi[apart])
-            out[same] = np.minimum(deeper + 1, cap)
+            same = np.flatnonzero((above >> 32) == (below >> 32))
+            same = same[below[same] >> 32 > 0]
+            out[same] = np.minimum(minimum(above[same] & 0xFFFFFFFF, below[same] & 0xFFFFFFFF) + 1, cap)
             return out
 
         above = key[np.maximum(behind - 1, 0)]
-        joined = np.zeros(len(fresh), bool)
-        joined[1:] = behind[1:] == behind[:-1]
-        above[joined] = fresh[:-1][joined[1:]] if len(fresh) > 1 else above[joined]
+        joined = np.flatnonzero(behind[1:] == behind[:-1]) + 1  # right below another new row
+        above[joined] = fresh[joined - 1]
+        lowest = np.ones(len(fresh), bool)
+        lowest[joined - 1] = False
+        lowest &= behind < len(key)
         lcp = common(above, fresh)
-        lowest = np.append(~joined[1:], True) & (behind < len(key))
-        below_rows, below_lcp = behind[lowest], common(fresh[lowest], key[np.minimum(behind[lowest], len(key) - 1)])
-        old_lcp = columns.read("lcp")
-        old_lcp[below_rows] = below_lcp
-        columns.update(lcp=old_lcp)
-        moved = np.ones(columns.rows + len(at), bool)
+        lcps[behind[lowest]] = common(fresh[lowest], key[behind[lowest]])
+        # links to rows of the next generation
+        moved = np.ones(len(key) + len(at), bool)
         moved[at] = False
-        moved = np.flatnonzero(moved)  # each old row's place in the next generation
-        columns.merge(at, symbol=symbol, link=link, bwt=left, place=active, lcp=lcp)
-        columns.update(link=np.where(columns.read("symbol") > 0, moved[np.minimum(columns.read("link"), len(moved) - 1)], columns.read("link")))
-        go = previous[active] >= 0
-        active, row = previous[active[go]], at[go]
+        moved = np.flatnonzero(moved)
+        first = np.searchsorted(key, 1 << 32)  # the empty suffixes have no link
+        key[first:] = (key[first:] & ~0xFFFFFFFF) | moved[key[first:] & 0xFFFFFFFF]
+        columns.update(key=key, lcp=lcps)
+        columns.merge(at, key=(fresh & ~0xFFFFFFFF) | moved[row], bwt=left, place=active, lcp=lcp)
+        active, row = previous[active[has]], at[has]
     return columns
 
 
