@@ -88,12 +88,12 @@ def find_segments(docs: DataFrame, units: str, width: int, gram: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0)
             raw, offsets = binary_parts(batch.column(1))
             for i, j in slices(offsets):
                 s = segments_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1], units, width, gram)
                 if len(s["row"]):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][s["row"]], pa.int64()), *(pa.array(s[k].astype(np.int32)) for k in ("pos", "windows", "b0", "b1")), pa.array(s["anchor"]), pa.array(s["content"]), pa.array(s["inner"])], schema=_SEGMENT_ARROW)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(s["row"] + i)), *(pa.array(s[k].astype(np.int32)) for k in ("pos", "windows", "b0", "b1")), pa.array(s["anchor"]), pa.array(s["content"]), pa.array(s["inner"])], schema=_SEGMENT_ARROW)
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, SEGMENT_SCHEMA)
 
@@ -133,10 +133,10 @@ def repeated_spans(docs: DataFrame, units: str, width: int, index: Callable, *,
     total = kept.agg(size.alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard_bytes))
     hot = kept.groupBy("anchor").agg(size.alias("n")).where(F.col("n") > 2 * shard_bytes).select("anchor", F.lit(True).alias("hot"))
-    wanted = kept.join(hot, "anchor", "left").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "content", "copies", "b0", "b1", "hot")).alias("cuts"))
+    wanted = kept.join(hot, "anchor", "left").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("anchor", "content", "copies", "b0", "b1", "hot")).alias("cuts"))
     cut = (
         docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-        .join(wanted, "doc_id")
+        .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
         .select("text", F.explode("cuts").alias("s"))
         .select("s.anchor", "s.content", "s.copies", "s.hot", F.expr("substring(text, s.b0 + 1, s.b1 - s.b0)").alias("data"))
     )
