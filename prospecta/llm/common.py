@@ -42,11 +42,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
+def materialize(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    Columns in ``folders`` make folders of their own, so that a filter on them reads those only.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

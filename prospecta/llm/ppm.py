@@ -36,7 +36,7 @@ from .common import U64, materialize
 
 #: Symbols of context.
 ORDER = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 20 << 20
 BITS = 9
 END, BEGIN, SYMBOLS = 256, 257, 257
 
@@ -65,7 +65,7 @@ def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[last], np.cumsum(lengths - order) - (lengths - order)
 
 
-def groups(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(texts: list[bytes], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     first = size = 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -89,7 +89,7 @@ def in_blocks(docs: DataFrame, held: Column, block_bytes: int) -> DataFrame:
 
 
 def count_blocks(blocks: DataFrame, order: int) -> DataFrame:
-    """block, gram, word, n: each block's distinct grams and words with their count in training texts."""
+    """kind, block, gram, word, n: each block's distinct grams and words with their count in training texts."""
 
     def run(table: pa.Table) -> pa.Table:
         texts = [normal(t) for t in table.column("text").to_pylist()]
@@ -102,6 +102,8 @@ def count_blocks(blocks: DataFrame, order: int) -> DataFrame:
             # trained occurrences are counted, the others only noted
             keys, counts = np.unique(grams[train], return_counts=True)
             parts += [(keys, counts), ((k := np.unique(grams[~train])), np.zeros(len(k), np.int64))]
+            if len(parts) > 8:
+                parts = [merged_counts(parts)]
         for t, h in zip(texts, held, strict=True):
             if h:
                 seen.update(t.split())
@@ -111,13 +113,14 @@ def count_blocks(blocks: DataFrame, order: int) -> DataFrame:
         new = [w for w in seen if w not in words]
         names, n = [*words, *new], len(keys) + len(words) + len(new)
         return pa.table({
+            "kind": pa.array(np.where(np.arange(n) < len(keys), "gram", "word")),
             "block": pa.array(np.full(n, table.column("block")[0].as_py(), np.int64)),
             "gram": pa.array(np.concatenate([keys.view(np.int64), np.zeros(len(names), np.int64)]), mask=np.arange(n) >= len(keys)),
             "word": pa.concat_arrays([pa.nulls(len(keys), pa.binary()), pa.array(names, pa.binary())]),
             "n": pa.array(np.concatenate([counts, np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(new), np.int64)])),
         })
 
-    return blocks.groupBy("block").applyInArrow(run, "block long, gram long, word binary, n long")
+    return blocks.groupBy("block").applyInArrow(run, "kind string, block long, gram long, word binary, n long")
 
 
 def trie(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
@@ -181,15 +184,15 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame, held: Column, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """SCORES rows: each text's log10 probability under the trie, and under add-one word frequencies."""
     blocks = in_blocks(docs, held, block_bytes)
-    counted = materialize(count_blocks(blocks, order), "counts")
-    words = counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
-    grams = materialize(counted.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    counted = materialize(count_blocks(blocks, order), "counts", "kind")
+    words = counted.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("c"))
+    grams = materialize(counted.where("kind = 'gram'").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     totals = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = docs.where(~held).count()
     n, v = totals["n"] + ends, totals["v"] + (ends > 0)
     costs = code_lengths(grams, *trie(grams, order), order)
-    answers = counted.where("gram is not null").select("block", "gram").join(costs, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("cost").alias("value")).unionByName(
-        counted.where("word is not null").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
+    answers = counted.where("kind = 'gram'").select("block", "gram").join(costs, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("cost").alias("value")).unionByName(
+        counted.where("kind = 'word'").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
     )
 
     def run(own: pa.Table, tables: pa.Table) -> pa.Table:
