@@ -10,8 +10,9 @@ bytes of every hit with those of the document that stays; documents whose bytes
 
 A document's text is compared after each run of ASCII white space is made one space;
 null counts as empty.  The row with the smallest doc_id stays.  Null doc_ids come after
-all others; rows repeated with the same doc_id and text are copies, of which exactly one
-stays only by doc_id, so both rows of one id get ``kept``.  Empty inputs give no rows.
+all others.  ``resolve`` decides by doc_id, so that all rows of one id and text get
+``kept``; ``deduplicate`` decides by row (file and row of the staged input): exactly one
+row of each text stays, whatever ids are null or repeated.  Empty inputs give no rows.
 Other columns pass through ``deduplicate`` unchanged, also those named like results.
 """
 
@@ -115,6 +116,21 @@ def decisions(spark: SparkSession, path: str, digest=sha256_digest) -> DataFrame
     return resolve(docs, stream_state(read_stream(spark, path, docs.schema), digest), digest)
 
 
+def copies(rows: DataFrame, state: DataFrame, digest=sha256_digest) -> DataFrame:
+    """_file and _row of those ``rows(_file, _row, doc_id, text)`` whose text another row keeps."""
+    texts = rows.select("_file", "_row", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
+    known = state.where("group_size > 1").select("digest", F.col("file").alias("_file"), F.col("row").alias("_row"))
+    stays = texts.join(known, ["digest", "_file", "_row"]).select("digest", F.col("text").alias("stay_text"))
+    apart = materialize(texts.join(stays, "digest").where("text != stay_text").select("_file", "_row"), "collisions")
+    first = known.select("digest", F.col("_file").alias("stay_file"), F.col("_row").alias("stay_row"))
+    hits = texts.select("_file", "_row", "digest").join(first, "digest").where("_file != stay_file or _row != stay_row").select("_file", "_row")
+    if apart.isEmpty():
+        return hits
+    # digests collided: of what differs from the row that stays, one row of each text stays too
+    others = texts.join(apart, ["_file", "_row"], "left_semi").groupBy("text").agg(F.min(F.struct("id", "_file", "_row")).alias("first"))
+    return hits.join(others.select("first._file", "first._row"), ["_file", "_row"], "left_anti")
+
+
 def deduplicate(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     path = scratch_path(docs.sparkSession, "dedup-input")
@@ -122,5 +138,5 @@ def deduplicate(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     spark = docs.sparkSession
     staged = spark.read.schema(docs.schema).parquet(path)
     state = stream_state(read_stream(spark, path, docs.schema), digest)
-    gone = resolve(staged, state, digest).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return staged.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    rows = staged.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    return rows.join(copies(rows, state, digest), ["_file", "_row"], "left_anti").select(*docs.columns)
