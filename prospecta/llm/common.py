@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space, [\x20\x09-\x0D]: what ``bytes.split()`` splits on.
 SPACE_REGEX = r"[\x20\x09-\x0D]+"
@@ -21,6 +22,9 @@ WORD_REGEX = r"[^\x20\x09-\x0D]+"
 #: Texts are hashed in slices of about so many bytes, to keep arrays in cache.
 SLICE_BYTES = 1 << 20
 
+#: Column of a row's number: doc_ids may be null or repeated.
+ROW = "_row_number"
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -53,6 +57,11 @@ def materialize(df: DataFrame, name: str, *folders: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row in ROW, written to the shared folder so that it stays."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bit mixer of 64 bits, in place."""
     x ^= x >> U64(33)

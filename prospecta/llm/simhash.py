@@ -16,7 +16,8 @@ minimum propagation over stars, written to the shared folder at each step.
 Cases: null text counts as empty; no word: fingerprint zero, linked like any other.  Fewer
 words than a shingle: the whole sequence is the one shingle.  Repeated rows share
 fingerprint and component.  Null doc_ids are ignored in the smallest id unless a component
-has no other.  Empty tables give empty results.
+has no other.  ``deduplicate`` decides by row: exactly one row of each component stays,
+whatever ids are null or repeated.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import ROW, materialize, number_rows
 
 WORDS, BITS, SEED = 3, 2, 42
 #: Fingerprints that shape the upper tree, at most.
@@ -60,15 +61,16 @@ def simhash(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits((2 * total > len(hashes)), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id and its fingerprint as a signed long ``fp``."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+    """``key`` (a long) and its text's fingerprint as a signed long ``fp``; a key other than doc_id goes before it."""
+    keys = list(dict.fromkeys([key, "doc_id"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([simhash(t.as_py() or b"", words, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            prints = np.array([simhash(t.as_py() or b"", words, seed) for t in batch.column(len(keys))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(prints.view(np.int64))], names=[*keys, "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*keys, F.col("text").cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "fp"]))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -210,18 +212,26 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select("b", "b").distinct())
 
 
+def first_of_component(prints: DataFrame, order: Column, bits: int, shard: int) -> DataFrame:
+    """fp and the least ``order`` of all rows of ``prints`` reachable over links of ``bits`` bits or fewer, as ``least``."""
+    firsts = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    groups = components(linked(materialize(firsts.select("fp"), "distinct"), bits, shard))
+    placed = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first").alias("least"))
+    return materialize(placed.join(least, "root").select("fp", "least"), "components")
+
+
 def cluster(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED, shard: int = SHARD) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of ``bits`` bits or fewer."""
     prints = materialize(fingerprints(docs, words, seed), "fingerprints")
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = components(linked(materialize(firsts.select("fp"), "distinct"), bits, shard))
-    placed = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(placed.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = first_of_component(prints, F.col("doc_id"), bits, shard)
+    return prints.join(named, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS, bits: int = BITS, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that are their group's smallest doc_id."""
-    gone = cluster(docs, words, bits, **options).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def deduplicate(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED, shard: int = SHARD) -> DataFrame:
+    """Of each component one row of ``docs``, all columns: that of the smallest doc_id, null ids last."""
+    rows = number_rows(docs)
+    prints = materialize(fingerprints(rows, words, seed, ROW), "fingerprints")
+    named = first_of_component(prints, F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col(ROW)), bits, shard)
+    gone = prints.join(named, "fp").where(F.col(ROW) != F.col(f"least.{ROW}")).select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

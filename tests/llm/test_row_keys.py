@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from prospecta.llm import exact_dedup
+from prospecta.llm import exact_dedup, simhash
 
 A, B = "one two three four five six", "quite other words stand in here now"
 ROWS = [
@@ -26,3 +26,7 @@ def check(out):
 @pytest.mark.parametrize("digest", [exact_dedup.sha256_digest, weak])
 def test_exact_dedup_by_row(spark, digest):
     check(exact_dedup.deduplicate(spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3), digest))
+
+
+def test_near_dedup_by_row(spark):
+    check(simhash.deduplicate(spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)))
