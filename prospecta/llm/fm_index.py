@@ -13,8 +13,8 @@ windows are the same as over single words, in fewer and more selective steps.  W
 compare by 64-bit fingerprint.
 
 Cases: null or empty text, or fewer words than a window: nothing is removed.  Repeated
-rows are documents of their own (their windows are repeats).  Rows that share a doc_id
-(null included) must share the text.  Other columns pass through ``deduplicate``
+rows are documents of their own (their windows are repeats).  doc_ids may be null or
+repeated: rows are told apart by ROW.  Other columns pass through ``deduplicate``
 untouched.  Empty tables give empty results.
 """
 
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, word_units
-from .repeats import merged, repeated_spans
+from .common import ROW, U64, Rolling, word_units
+from .repeats import merged, numbered, repeated_spans
 
 
 class WaveletTree:
@@ -144,16 +144,17 @@ def repeated_windows(raw: np.ndarray, offsets: np.ndarray, copies: np.ndarray, w
 
 
 def repeated_word_spans(docs: DataFrame, width: int = 35, **options) -> DataFrame:
-    """doc_id, spans array<struct<a, b>> in words: all windows of ``width`` words that also start elsewhere."""
+    """ROW, spans array<struct<a, b>> in words: all windows of ``width`` words that also start elsewhere."""
     return repeated_spans(docs, "words", width, repeated_windows, **options)
 
 
 def deduplicate(docs: DataFrame, width: int = 35, **options) -> DataFrame:
     """All rows and columns of ``docs`` with kept_text, n_words, n_removed and removed_spans (merged, in words)."""
     names = ["kept_text", "n_words", "n_removed", "removed_spans"]
-    spans = repeated_word_spans(docs, width, **options).withColumnsRenamed({"doc_id": "_id", "spans": "_spans"})
-    joined = docs.drop(*names).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn("_kept", _keep(F.col("text"), F.col("_spans"))).select(*[docs[c] for c in docs.columns if c not in names], "_kept.*")
+    rows = numbered(docs, *[c for c in docs.columns if c not in [*names, ROW]])
+    spans = repeated_word_spans(rows, width, **options).withColumnRenamed("spans", "_spans")
+    joined = rows.join(spans, ROW, "left")
+    return joined.withColumn("_kept", _keep(F.col("text"), F.col("_spans"))).select(*[rows[c] for c in docs.columns if c not in names], "_kept.*")
 
 
 KEPT = "kept_text string, n_words long, n_removed long, removed_spans array<struct<a:int,b:int>>"
@@ -182,8 +183,9 @@ def _keep(text: Column, spans: Column) -> Column:
 
 def digests(docs: DataFrame, width: int = 35, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: the removal's outcome without the texts."""
-    spans = repeated_word_spans(docs, width, **options).withColumnsRenamed({"doc_id": "_id"})
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "spans")
+    rows = numbered(docs, "doc_id", "text")
+    spans = repeated_word_spans(rows, width, **options)
+    joined = rows.select(ROW, "doc_id", F.col("text").cast("binary").alias("text")).join(spans, ROW, "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

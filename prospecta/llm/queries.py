@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, exact_dedup, fm_index, mixing, piece_bpe, ppm, simhash, sketches, suffix_bwt, weak_quality
+from .common import number_files
 
 #: Name of the vocabulary file that op3 and the pipeline's last stage use.
 PIECES = "piece_bpe_32k.model"
@@ -24,7 +25,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fm_index.digests(documents(spark, sf_dir), 35)
+    return fm_index.digests(number_files(documents(spark, sf_dir)), 35)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_bwt.digests(documents(spark, sf_dir), 200)
+    return suffix_bwt.digests(number_files(documents(spark, sf_dir)), 200)
 
 
 def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

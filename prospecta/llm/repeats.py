@@ -6,7 +6,7 @@ anchors.  Runs of consecutive windows with one anchor form a segment, so that a
 corpus makes few segments (about two for each ``width`` units) and every window lies
 in exactly one.  The plan is:
 
-1. segments of all texts (ids, places and hashes only, no text);
+1. segments of all texts (row numbers, places and hashes only, no text);
 2. anchors seen twice or more, in two segments or within one, by a count with map-side
    sums; other segments hold no repeated window;
 3. of segments with the same contents one is kept with its number of copies, so that
@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, binary_parts, byte_units, materialize, mix, slices, sliding_min, word_units
+from .common import ROW, U64, Rolling, binary_parts, byte_units, materialize, mix, number_rows, slices, sliding_min, word_units
 
 UNITS = {"bytes": byte_units, "words": word_units}
-SEGMENT_SCHEMA = "doc_id long, pos int, windows int, b0 int, b1 int, anchor long, content long, inner boolean"
+SEGMENT_SCHEMA = f"{ROW} long, pos int, windows int, b0 int, b1 int, anchor long, content long, inner boolean"
 #: Bytes of distinct segments that one shard's index holds.
 SHARD_BYTES = 4 << 20
-_SEGMENT_ARROW = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("windows", pa.int32()), ("b0", pa.int32()), ("b1", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("inner", pa.bool_())])
+_SEGMENT_ARROW = pa.schema([(ROW, pa.int64()), ("pos", pa.int32()), ("windows", pa.int32()), ("b0", pa.int32()), ("b1", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("inner", pa.bool_())])
 
 
 def default_gram(width: int) -> int:
@@ -84,7 +84,7 @@ def segments_of(raw: np.ndarray, offsets: np.ndarray, units: str, width: int, gr
 
 
 def find_segments(docs: DataFrame, units: str, width: int, gram: int) -> DataFrame:
-    """SEGMENT_SCHEMA rows of ``docs(doc_id, text)``."""
+    """SEGMENT_SCHEMA rows of ``docs(ROW, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +95,7 @@ def find_segments(docs: DataFrame, units: str, width: int, gram: int) -> DataFra
                 if len(s["row"]):
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(s["row"] + i)), *(pa.array(s[k].astype(np.int32)) for k in ("pos", "windows", "b0", "b1")), pa.array(s["anchor"]), pa.array(s["content"]), pa.array(s["inner"])], schema=_SEGMENT_ARROW)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, SEGMENT_SCHEMA)
+    return docs.select(ROW, F.col("text").cast("binary").alias("text")).mapInArrow(run, SEGMENT_SCHEMA)
 
 
 def spread_windows(cut: DataFrame, units: str, width: int) -> DataFrame:
@@ -119,24 +119,24 @@ def spread_windows(cut: DataFrame, units: str, width: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, units: str, width: int, index: Callable, *, gram: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id and its repeated spans [(start, end)) in units, one row per document that has any.
+    """ROW and its repeated spans [(start, end)) in units, one row for each row of ``docs`` that has any.
 
-    ``docs`` has doc_id and text.  ``index`` is called in a task with the segments' bytes, the
+    ``docs`` has text and ROW, a number of the row's own that stays (``common.number_rows``).  ``index`` is called in a task with the segments' bytes, the
     numbers of copies and the width, and returns for each segment the repeated windows' mask.
     """
     gram = gram or default_gram(width)
     found = find_segments(docs, units, width, gram)
     twice = found.groupBy("anchor").agg(F.sum(F.when(F.col("inner"), 2).otherwise(1)).alias("n")).where("n > 1").select("anchor")
     shared = materialize(found.join(twice, "anchor", "left_semi").drop("inner"), "segments")
-    kept = materialize(shared.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "b0", "b1")).alias("at")).select("anchor", "content", "copies", "at.*"), "contents")
+    kept = materialize(shared.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct(ROW, "b0", "b1")).alias("at")).select("anchor", "content", "copies", "at.*"), "contents")
     size = F.sum(F.col("b1") - F.col("b0"))
     total = kept.agg(size.alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard_bytes))
     hot = kept.groupBy("anchor").agg(size.alias("n")).where(F.col("n") > 2 * shard_bytes).select("anchor", F.lit(True).alias("hot"))
-    wanted = kept.join(hot, "anchor", "left").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("anchor", "content", "copies", "b0", "b1", "hot")).alias("cuts"))
+    wanted = kept.join(hot, "anchor", "left").groupBy(ROW).agg(F.collect_list(F.struct("anchor", "content", "copies", "b0", "b1", "hot")).alias("cuts"))
     cut = (
-        docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-        .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+        docs.select(ROW, F.col("text").cast("binary").alias("text"))
+        .join(wanted, ROW)
         .select("text", F.explode("cuts").alias("s"))
         .select("s.anchor", "s.content", "s.copies", "s.hot", F.expr("substring(text, s.b0 + 1, s.b1 - s.b0)").alias("data"))
     )
@@ -168,12 +168,17 @@ def repeated_spans(docs: DataFrame, units: str, width: int, index: Callable, *,
         repeated = repeated.unionByName(spread_windows(cut.where("hot"), units, width))
     return (
         shared.join(repeated, ["anchor", "content"])
-        .select("doc_id", "pos", F.explode("runs").alias("r"))
-        .groupBy("doc_id")
+        .select(ROW, "pos", F.explode("runs").alias("r"))
+        .groupBy(ROW)
         .agg(F.sort_array(F.collect_list(F.struct((F.col("pos") + F.col("r.a")).alias("a"), (F.col("pos") + F.col("r.b") + (width - 1)).alias("b")))).alias("spans"))
     )
 
 
+def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``docs`` and ROW, which is made here unless ``docs`` has it."""
+    return docs.select(*columns, ROW) if ROW in docs.columns else number_rows(docs.select(*columns))
+
+
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
     """Overlapping or touching spans, sorted by start, made one."""
     out: list[tuple[int, int]] = []

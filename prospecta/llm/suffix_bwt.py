@@ -13,8 +13,8 @@ phases on by a block; a repeat of ``width`` bytes is one of ``width / stride`` s
 Blocks compare by 64-bit fingerprint.
 
 Cases: null text counts as empty; texts under a window's length keep all bytes.  Repeated
-rows are documents of their own (their strings are repeats).  Rows that share a doc_id
-(null included) must share the text.  Other columns pass through ``deduplicate``.  Empty
+rows are documents of their own (their strings are repeats).  doc_ids may be null or
+repeated: rows are told apart by ROW.  Other columns pass through ``deduplicate``.  Empty
 tables give empty results.
 """
 
@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_units
-from .repeats import merged, repeated_spans
+from .common import ROW, Rolling, byte_units
+from .repeats import merged, numbered, repeated_spans
 
 
 #: Bytes of distinct segments in a shard: its columns take about 34 bytes of a task's own disk for each.
@@ -195,14 +195,15 @@ def repeated_windows(raw: np.ndarray, offsets: np.ndarray, copies: np.ndarray, w
 
 
 def repeated_byte_spans(docs: DataFrame, width: int = 200, **options) -> DataFrame:
-    """doc_id, spans array<struct<a, b>> in bytes: all strings of ``width`` bytes that also start elsewhere."""
+    """ROW, spans array<struct<a, b>> in bytes: all strings of ``width`` bytes that also start elsewhere."""
     return repeated_spans(docs, "bytes", width, repeated_windows, **({"shard_bytes": SHARD_BYTES} | options))
 
 
 def deduplicate(docs: DataFrame, width: int = 200, **options) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, n_spans, removed_spans (merged, in bytes), kept_sha256."""
-    spans = repeated_byte_spans(docs, width, **options).withColumnsRenamed({"doc_id": "_id"})
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "spans")
+    rows = numbered(docs, "doc_id", "text")
+    spans = repeated_byte_spans(rows, width, **options)
+    joined = rows.select(ROW, "doc_id", F.col("text").cast("binary").alias("text")).join(spans, ROW, "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
