@@ -283,7 +283,9 @@ STYLES = {
 def raw_transcripts(conversations: DataFrame, unmarked: int = 8) -> DataFrame:
     """(conv_id, part, text, role): a raw transcript, stored in pieces.
 
-    The style goes by conv_id; one turn in ``unmarked`` has lost its marker.
+    The style goes by conv_id; one turn in ``unmarked`` has lost its marker.  Blank lines
+    stand between the turns of two conversations in three; ``parse`` sees only lines, not
+    that a piece here is a turn.
     """
     style = F.pmod(F.xxhash64(F.coalesce("conv_id", F.lit(-1))), F.lit(5)).cast("int") + 1
     spelling = F.lit("%s")
@@ -291,7 +293,8 @@ def raw_transcripts(conversations: DataFrame, unmarked: int = 8) -> DataFrame:
         spelling = F.when(F.col("role") == role, F.element_at(F.array(*map(F.lit, styles)), style)).otherwise(spelling)
     lost = F.pmod(F.xxhash64("conv_id", "turn", F.lit(7)), F.lit(unmarked)) == 0
     text = F.coalesce("text", F.lit(""))
-    return conversations.select("conv_id", F.col("turn").cast("long").alias("part"), F.when(lost, text).otherwise(F.replace(spelling, F.lit("%s"), text)).alias("text"), "role")
+    gap = F.when(F.pmod(F.xxhash64(F.coalesce("conv_id", F.lit(-1)), F.lit(11)), F.lit(3)) == 0, "").otherwise("\n")
+    return conversations.select("conv_id", F.col("turn").cast("long").alias("part"), F.concat(F.when(lost, text).otherwise(F.replace(spelling, F.lit("%s"), text)), gap).alias("text"), "role")
 
 
 def format_conversations(conversations: DataFrame, folds: int = 5) -> DataFrame:
