@@ -116,9 +116,22 @@ def merge_legal_basis(current: Column, incoming: Column) -> Column:
 
 
 def fold_stages(events: DataFrame, key: str, at: str, event_id: str, stage: str) -> DataFrame:
-    """Each subject's stage after all its events in order (the steps don't commute)."""
-    rows = F.array_sort(F.collect_list(F.struct(at, event_id, stage)))
-    return events.groupBy(key).agg(rows.alias("_e")).select(key, F.aggregate("_e", F.lit(None).cast("string"), lambda s, e: merge_stage(s, e[stage])).alias("stage"))
+    """Each subject's stage after all its events in order (``merge_stage`` on each; the steps don't commute).
+
+    An empty or dormant stage takes whatever comes, so the first event of another stage
+    decides, with the one just before it; from then on only the highest rank counts.  All
+    of these are minima and maxima with map-side parts, so no task holds a subject's events.
+    """
+    order, what = F.struct(at, event_id, stage), F.col(stage)
+    idle = is_empty(what) | (what == "dormant")
+    rank = F.coalesce(_rank(what, STAGE_RANK), F.lit(0))
+    whole = events.groupBy(key).agg(F.min(F.when(~idle, order)).alias("_first"), F.max(order).alias("_last"), F.max(rank).alias("_top"))
+    new = whole.where(F.col("_first")[stage] == "nouveau").select(F.col(key).alias("_k"), F.col("_first").alias("_f"))
+    before = events.where(idle).join(new, F.col(key).eqNullSafe(F.col("_k"))).where(order < F.col("_f")).groupBy("_k").agg(F.max(order)[stage].alias("_before"))
+    first = F.when((F.col("_first")[stage] == "nouveau") & (F.col("_before") == "dormant"), "qualifie").otherwise(F.col("_first")[stage])
+    highest = F.element_at(F.create_map(*[F.lit(x) for k, v in STAGE_RANK.items() for x in (v, k)]), F.col("_top"))
+    after = F.when(F.col("_first").isNull(), F.col("_last")[stage]).when(first == "perdu", first).when(F.col("_top") > F.coalesce(_rank(first, STAGE_RANK), F.lit(0)), highest).otherwise(first)
+    return whole.join(before, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, after.alias("stage"))
 
 
 def ingest_once(known: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:

@@ -215,7 +215,7 @@ def priorities(v):
 @query("m04_stage_fold")
 def fold(v):
     stage = F.element_at(F.array(*map(F.lit, ("nouveau", "qualifie", "dormant", "client", "opportunite", "qualifie", "perdu"))), (F.col("event_id") % 7 + 1).cast("int"))
-    return m.fold_stages(v.events.where("user_id < 200").withColumn("stage", stage), "user_id", "ts", "event_id", "stage")
+    return m.fold_stages(v.events.withColumn("stage", stage), "user_id", "ts", "event_id", "stage")
 
 
 @query("m05_ingest_once", "SELECT external_ref, min(id) AS id FROM activities WHERE id % 3 = 0 AND external_ref NOT IN (SELECT external_ref FROM activities WHERE id % 3 = 1) GROUP BY external_ref", ("activities",))
