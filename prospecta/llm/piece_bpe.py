@@ -5,8 +5,8 @@ the best pair merges, its new neighbours enter, until no pair is in the vocabula
 Symbols outside the vocabulary become byte pieces.  No merge crosses a pair of characters
 that no piece has side by side, so a text is encoded by chunks; a batch's new chunks run
 their agendas together as rows of a matrix (long ones on a heap), and a worker remembers
-a bounded number of chunks.  In each Arrow batch every CHECK_EVERY-th whole text is
-encoded and decoded by the sentencepiece library too; any difference raises.
+a bounded number of chunks.  Every whole text of ``coded`` is encoded and decoded by the
+sentencepiece library too; any difference raises.
 
 Cases: null counts as empty, which has the end id only.  Texts of any length are taken
 whole.  Other columns are not touched by ``encode``.  Empty tables give no rows.
@@ -26,8 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Of this many rows one is checked against the library.
-CHECK_EVERY = 20
 NONE = np.iinfo(np.int32).max
 #: Chunks that a worker remembers.
 REMEMBER = 500_000
@@ -232,6 +230,21 @@ def codec(model: str) -> PieceCodec:
     return _codecs[model]
 
 
+def checked(own: PieceCodec, texts: list[str]) -> list[tuple[int, str, str]]:
+    """Number of ids, ids and decoded text of each text, all held against the library."""
+    theirs = [[*ids, own.end] for ids in own.library.encode(texts, num_threads=1)] if texts else []
+    shown = own.library.decode(theirs, num_threads=1) if texts else []
+    out = []
+    for text, rows, expected, surface in zip(texts, own.rows(texts), theirs, shown, strict=True):
+        ids = " ".join([*(r[1] for r in rows), str(own.end)])
+        decoded = "".join([r[2] for r in rows])
+        decoded = decoded[1:] if decoded.startswith(" ") else decoded
+        if " ".join(map(str, expected)) != ids or surface != decoded:
+            raise ValueError(f"library differs on a text that begins {text[:60]!r}")
+        out.append((len(expected), ids, decoded))
+    return out
+
+
 def coded(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
 
@@ -241,16 +254,8 @@ def coded(docs: DataFrame, model: str) -> DataFrame:
             count, ids_sha, text_sha = [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for at in range(0, len(texts), 300):
-                some = texts[at : at + 300]
-                for k, (text, rows) in enumerate(zip(some, own.rows(some), strict=True)):
-                    ids = " ".join([*(r[1] for r in rows), str(own.end)])
-                    decoded = "".join([r[2] for r in rows])
-                    decoded = decoded[1:] if decoded.startswith(" ") else decoded
-                    if k % CHECK_EVERY == 0:
-                        theirs = [*own.library.encode(text), own.end]
-                        if " ".join(map(str, theirs)) != ids or own.library.decode(theirs) != decoded:
-                            raise ValueError(f"library differs on the document {batch.column(0)[at + k]}")
-                    count.append(sum([r[0] for r in rows]) + 1)
+                for n, ids, decoded in checked(own, texts[at : at + 300]):
+                    count.append(n)
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
