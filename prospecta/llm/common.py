@@ -145,7 +145,10 @@ def byte_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As byte_units, for words: maximal runs of bytes that are not ASCII white space."""
+    """As byte_units, for words: maximal runs of bytes that are not ASCII white space.
+
+    A word's value is the sum of its bytes, each mixed with its place in the word.
+    """
     offsets = offsets - offsets[0]
     solid = ~_IS_SPACE[raw]
     edge = np.zeros(len(raw) + 1, bool)
@@ -155,9 +158,55 @@ def word_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     end = solid.copy()
     end[:-1] &= ~solid[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    values = Rolling(_TABLE[raw]).spans(starts, ends)
-    values += (ends - starts).astype(U64)
-    return mix(values), np.searchsorted(starts, offsets), starts, ends
+    if not len(starts):
+        return np.zeros(0, U64), np.zeros(len(offsets), np.int64), starts, ends
+    place = np.arange(len(raw), dtype=np.int64)
+    place -= np.repeat(np.append(0, starts[1:]), np.diff(np.append(np.append(0, starts[1:]), len(raw))))
+    place <<= 8
+    place += raw
+    each = mix(place.view(U64) + U64(1))
+    each[~solid] = 0
+    return mix(np.add.reduceat(each, starts)), np.searchsorted(starts, offsets), starts, ends
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    ordered = np.sort(values)
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
+
+
+def exact_names(units: np.ndarray, size: int) -> np.ndarray:
+    """A number for each ``size`` consecutive units, equal where the units are: pairs of names are named again."""
+    names, reach = np.unique(units, return_inverse=True)[1], 1
+    while reach < size:
+        step = min(reach, size - reach)
+        pairs = names[: len(names) - step] * np.int64(int(names.max(initial=0)) + 1) + names[step:]
+        names, reach = np.unique(pairs, return_inverse=True)[1], reach + step
+    return names
+
+
+def gram_names(units: np.ndarray, hashes: np.ndarray, size: int, ok: np.ndarray) -> np.ndarray:
+    """1.. for each position where ``size`` units begin (``ok``), equal just where the units are; 0 elsewhere.
+
+    Units are named by their hashes; every one is then held against the first of its name, unit by
+    unit, and if any differs all are named by their units instead.
+    """
+    names = np.zeros(len(units), np.int64)
+    at = np.flatnonzero(ok)
+    if not len(at):
+        return names
+    _, first, own = np.unique(hashes[at], return_index=True, return_inverse=True)
+    same = at[first][own]
+    if units.dtype == np.uint8 and size >= 8:  # eight bytes at a time
+        units_at = np.ndarray(len(units) - 7, np.dtype("<u8"), np.ascontiguousarray(units), strides=(1,))
+        steps = [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]
+    else:
+        units_at, steps = units, range(size)
+    if all(np.array_equal(units_at[at + k], units_at[same + k]) for k in steps):
+        names[at] = own + 1
+    else:
+        names[at] = exact_names(units, size)[at] + 1
+    return names
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -4,13 +4,15 @@ A shard's index is the Burrows-Wheeler transform of its token strings, held in a
 wavelet tree of packed bit planes with block counts.  Documents stream against it in
 backward search; a window's matching statistic is the number of its symbols that a
 backward search matches before fewer than two places remain, and windows matched
-through their whole length in two places or more are reported.
+through their whole length in two places or more are reported.  Of segments with equal
+contents one is indexed with their number as its weight: an interval counts the weights
+of its places.
 
 A symbol is a gram of ``stride`` consecutive words, the strings of a document are its
 ``stride`` phases, and a window of ``width`` words is ``width / stride`` symbols of one
 phase (stride: the largest divisor of the width up to 8; 7 for 35).  Matches of whole
-windows are the same as over single words, in fewer and more selective steps.  Words
-compare by 64-bit fingerprint.
+windows are the same as over single words, in fewer and more selective steps.  Within a
+shard words and grams are compared as they are, not by hash.
 
 Cases: null or empty text, or fewer words than a window: nothing is removed.  Repeated
 rows are documents of their own (their windows are repeats).  doc_ids may be null or
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, U64, Rolling, word_units
+from .common import ROW, U64, Rolling, gram_names, mix
 from .repeats import merged, numbered, repeated_spans
 
 
@@ -64,8 +66,8 @@ class WaveletTree:
 class FMIndex:
     """FM-index of the phase strings of a shard's texts.  ``symbols`` are 1.. (0: no symbol here)."""
 
-    def __init__(self, symbols: np.ndarray, follows: np.ndarray, depth: int):
-        """follows: the position of the next symbol of the same string, or -1."""
+    def __init__(self, symbols: np.ndarray, follows: np.ndarray, depth: int, weights: np.ndarray):
+        """follows: the position of the next symbol of the same string, or -1; weights: how often each position counts."""
         n = len(symbols)
         self.sigma = int(symbols.max(initial=0)) + 1
         ranks = symbols.astype(np.int64)
@@ -85,6 +87,11 @@ class FMIndex:
         self.tree = WaveletTree(bwt, self.sigma)
         counts = np.bincount(symbols[real], minlength=self.sigma + 1)
         self.first = len(last) + np.concatenate([[0], np.cumsum(counts)])
+        self.weight = np.concatenate([np.zeros(len(last) + 1, np.int64), np.cumsum(weights[order])])
+
+    def places(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Places in the corpus that intervals stand for."""
+        return self.weight[hi] - self.weight[lo]
 
     def extend(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the intervals of symbol + pattern from those of the pattern."""
@@ -100,24 +107,34 @@ def stride_of(width: int, most: int = 8) -> int:
     return max(s for s in range(1, min(width, most) + 1) if width % s == 0)
 
 
-def matching_statistics(raw: np.ndarray, offsets: np.ndarray, width: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: symbols of its window matched in two places or more, and the interval's size; word offsets by text."""
-    values, at, _, _ = word_units(raw, offsets)
-    n, stride = len(values), stride_of(width)
+def word_numbers(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word as a number, equal where the words are, and word offsets by text."""
+    known: dict[bytes, int] = {}
+    data, out, ends = raw.tobytes(), [], [0]
+    base = (offsets - offsets[0]).tolist()
+    for a, b in zip(base[:-1], base[1:], strict=True):
+        out += [known.setdefault(w, len(known)) for w in data[a:b].split()]
+        ends.append(len(out))
+    return np.array(out, np.int64), np.array(ends, np.int64)
+
+
+def matching_statistics(raw: np.ndarray, offsets: np.ndarray, copies: np.ndarray, width: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: symbols of its window matched in two places or more, and the places of the last match; word offsets by text."""
+    words, at = word_numbers(raw, offsets)
+    n, stride = len(words), stride_of(width)
     steps = width // stride
     matched, places = np.zeros(n, np.int32), np.zeros(n, np.int64)
     if n < width:
-        return matched, places, at, np.zeros(0, np.int64)
+        return matched, places, at
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    grams = Rolling(values).grams(stride)
+    grams = Rolling(mix(words.astype(U64) + U64(1))).grams(stride)
     ok = np.zeros(n, bool)
     ok[: len(grams)] = row[: len(grams)] == row[stride - 1 :]
-    symbols = np.zeros(n, np.int64)
-    symbols[ok] = np.unique(grams[ok[: len(grams)]], return_inverse=True)[1] + 1
+    symbols = gram_names(words, grams, stride, ok)
     follows = np.full(n, -1, np.int64)
     both = ok[: n - stride] & ok[stride:] & (row[: n - stride] == row[stride:])
     follows[: n - stride][both] = np.flatnonzero(both) + stride
-    index = FMIndex(symbols, follows, steps)
+    index = FMIndex(symbols, follows, steps, np.repeat(copies, np.diff(at)))
     windows = np.flatnonzero(row[: n - width + 1] == row[width - 1 :])
     for i in range(0, len(windows), block):
         start = windows[i : i + block]
@@ -126,21 +143,18 @@ def matching_statistics(raw: np.ndarray, offsets: np.ndarray, width: int, block:
         for step in range(steps - 1, -1, -1):
             if step < steps - 1:
                 lo, hi = index.extend(symbols[start + step * stride], lo, hi)
-            live = hi - lo > 1
+            found = index.places(lo, hi)
+            live = found > 1
             start, lo, hi = start[live], lo[live], hi[live]
             matched[start] = steps - step
-            places[start] = hi - lo
-    return matched, places, at, windows
+            places[start] = found[live]
+    return matched, places, at
 
 
 def repeated_windows(raw: np.ndarray, offsets: np.ndarray, copies: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mask of words that begin a repeated window, and word offsets by text."""
-    matched, _, at, windows = matching_statistics(raw, offsets, width)
-    mask = matched == width // stride_of(width)
-    start = np.zeros(len(mask), bool)
-    start[windows] = True
-    mask |= start & np.repeat(copies > 1, np.diff(at))
-    return mask, at
+    """Mask of words that begin a repeated window, and word offsets by text; each text counts ``copies`` times."""
+    matched, _, at = matching_statistics(raw, offsets, copies, width)
+    return matched == width // stride_of(width), at
 
 
 def repeated_word_spans(docs: DataFrame, width: int = 35, **options) -> DataFrame:

@@ -6,37 +6,43 @@ anchors.  Runs of consecutive windows with one anchor form a segment, so that a
 corpus makes few segments (about two for each ``width`` units) and every window lies
 in exactly one.  The plan is:
 
-1. segments of all texts (row numbers, places and hashes only, no text);
+1. segments of all texts (row numbers, places and hashes only, no text), written once;
 2. anchors seen twice or more, in two segments or within one, by a count with map-side
    sums; other segments hold no repeated window;
-3. of segments with the same contents one is kept with its number of copies, so that
-   exact copies never meet in one task;
+3. of segments with the same contents (equal anchor and XXH64 of their bytes, 128 bits)
+   one is kept with its number of copies, its weight in the index;
 4. the kept segments' bytes go to shards by anchor.  The caller's index (FM-index, or
-   collection BWT with common prefixes) finds the repeated windows of each shard;
+   collection BWT with common prefixes) finds the windows of weight two or more;
 5. the findings return to all segments of the same contents and are gathered by text.
 
-An anchor whose distinct segments exceed a shard's size is spread: its windows are
-counted by 128-bit content digest, with map-side sums, instead of meeting in a shard.
-Every stage is a Spark shuffle on a well-spread key; lost tasks are recomputed.
+An anchor with more segments than a shard should hold is dealt to many shards: its
+segments are cut into runs of windows in which the anchor stands in nearly the same
+place, and a run goes by the hash of the units that all windows at those places share.
+Equal windows still meet in one shard, and the same index finds them there.  (Only a
+passage that is all but a unit or two of a window, in a great many different
+surroundings, would still meet whole in one shard.)  Every stage is a Spark shuffle on a
+well-spread key; lost tasks are recomputed.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, U64, Rolling, binary_parts, byte_units, materialize, mix, number_rows, slices, sliding_min, word_units
+from .common import _IS_SPACE, ROW, U64, Rolling, binary_parts, byte_units, materialize, number_rows, slices, sliding_min, word_units
 
 UNITS = {"bytes": byte_units, "words": word_units}
-SEGMENT_SCHEMA = f"{ROW} long, pos int, windows int, b0 int, b1 int, anchor long, content long, inner boolean"
+SEGMENT_SCHEMA = f"{ROW} long, pos int, b0 int, b1 int, anchor long, content long, inner boolean"
 #: Bytes of distinct segments that one shard's index holds.
 SHARD_BYTES = 4 << 20
-_SEGMENT_ARROW = pa.schema([(ROW, pa.int64()), ("pos", pa.int32()), ("windows", pa.int32()), ("b0", pa.int32()), ("b1", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("inner", pa.bool_())])
+_SEGMENT_ARROW = pa.schema([(ROW, pa.int64()), ("pos", pa.int32()), ("b0", pa.int32()), ("b1", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("inner", pa.bool_())])
+_CUT = "shard long, anchor long, content long, at int, copies int, data binary"
+_CUT_ARROW = pa.schema([("shard", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("copies", pa.int32()), ("data", pa.binary())])
 
 
 def default_gram(width: int) -> int:
@@ -44,6 +50,27 @@ def default_gram(width: int) -> int:
     return max(1, min(width // 5, 32))
 
 
+def default_run(width: int) -> int:
+    """Places of the anchor that share a run, where an anchor is dealt to many shards."""
+    return max(1, width // 12)
+
+
+def canonical(raw: np.ndarray, first: np.ndarray, last: np.ndarray, units: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Bytes in which equal units in a row are equal bytes, and each unit's first and last byte (exclusive) there."""
+    if units == "bytes" or not len(first):
+        return raw.tobytes(), first, last
+    kept = ~_IS_SPACE[raw]
+    places = np.cumsum(kept) + 0
+    number = np.arange(len(first))  # one space after each word
+    size = last - first
+    out = np.full(int(places[-1]) + len(first), 32, np.uint8)
+    begin = np.cumsum(size) - size + number
+    solid = raw[kept]
+    at = np.arange(len(solid)) + np.repeat(number, size)
+    out[at] = solid
+    return out.tobytes(), begin, begin + size
+
+
 def segments_of(raw: np.ndarray, offsets: np.ndarray, units: str, width: int, gram: int) -> dict[str, np.ndarray]:
     """Segments of some texts: text index, first window, windows, byte range, anchor and content hash."""
     values, at, first, last = UNITS[units](raw, offsets)
@@ -67,8 +94,9 @@ def segments_of(raw: np.ndarray, offsets: np.ndarray, units: str, width: int, gr
     starts = np.repeat(heads, pieces) + extra * width
     windows = np.minimum(width, np.repeat(heads + run, pieces) - starts)
     ends = starts + windows - 1 + width
-    content = rolling.spans(starts, ends)
-    content += windows.astype(U64)
+    data, c0, c1 = canonical(raw, first, last, units)
+    digest = xxhash.xxh64_intdigest
+    content = np.fromiter((digest(data[a:b]) for a, b in zip(c0[starts].tolist(), c1[ends - 1].tolist(), strict=True)), U64, len(starts))
     # equal windows of one segment: its anchor stands in it twice
     edge = np.full(span - 1, ~U64(0))
     at_anchor = np.flatnonzero(grams == ~sliding_min(np.concatenate([edge, ~anchors, edge]), span))
@@ -80,7 +108,7 @@ def segments_of(raw: np.ndarray, offsets: np.ndarray, units: str, width: int, gr
         inner = (k < len(again)) & (again[np.minimum(k, len(again) - 1)] < ends - gram + 1)
     base = offsets - offsets[0]
     r = row[starts]
-    return {"row": r, "pos": starts - at[r], "windows": windows, "b0": first[starts] - base[r], "b1": last[ends - 1] - base[r], "anchor": anchors[starts].view(np.int64), "content": mix(content).view(np.int64), "inner": inner}
+    return {"row": r, "pos": starts - at[r], "windows": windows, "b0": first[starts] - base[r], "b1": last[ends - 1] - base[r], "anchor": anchors[starts].view(np.int64), "content": content.view(np.int64), "inner": inner}
 
 
 def find_segments(docs: DataFrame, units: str, width: int, gram: int) -> DataFrame:
@@ -93,61 +121,79 @@ def find_segments(docs: DataFrame, units: str, width: int, gram: int) -> DataFra
             for i, j in slices(offsets):
                 s = segments_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1], units, width, gram)
                 if len(s["row"]):
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(s["row"] + i)), *(pa.array(s[k].astype(np.int32)) for k in ("pos", "windows", "b0", "b1")), pa.array(s["anchor"]), pa.array(s["content"]), pa.array(s["inner"])], schema=_SEGMENT_ARROW)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(s["row"] + i)), *(pa.array(s[k].astype(np.int32)) for k in ("pos", "b0", "b1")), pa.array(s["anchor"]), pa.array(s["content"]), pa.array(s["inner"])], schema=_SEGMENT_ARROW)
 
     return docs.select(ROW, F.col("text").cast("binary").alias("text")).mapInArrow(run, SEGMENT_SCHEMA)
 
 
-def spread_windows(cut: DataFrame, units: str, width: int) -> DataFrame:
-    """Repeated windows of segments whose anchor is too frequent for one shard, by content digest."""
+def runs_of(piece: bytes, anchor: int, units: str, width: int, gram: int, run: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Of a segment's bytes: first window, windows, bytes that all windows of its kind share, and bytes of each run.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    In a run the anchor's first place in the window is the same but for ``run`` units.
+    """
+    raw = np.frombuffer(piece, np.uint8)
+    values, _, first, last = UNITS[units](raw, np.array([0, len(raw)]))
+    data, c0, c1 = canonical(raw, first, last, units)
+    windows = np.arange(len(values) - width + 1)
+    places = np.flatnonzero(Rolling(values).grams(gram).view(np.int64) == anchor)
+    place = places[np.searchsorted(places, windows)]
+    kind = (place - windows) // run
+    heads = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (kind[1:] != kind[:-1])))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(windows)], strict=True):
+        q, k = int(place[a]), int(kind[a])
+        most = min((k + 1) * run, width - gram + 1) - 1
+        common = data[c0[q - k * run] : c1[q - most + width - 1]]
+        yield a, b - a, b"%d " % k + common, piece[first[a] : last[b + width - 2]]
+
+
+def dealt(cut: DataFrame, shards: int, units: str, width: int, gram: int) -> DataFrame:
+    """_CUT rows from (anchor, content, copies, hot, data): each segment, or each run of a hot anchor's, with its shard."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = binary_parts(batch.column("data"))
-            keys = [batch.column(k).to_pylist() for k in ("anchor", "content", "copies")]
-            for i in range(batch.num_rows):
-                piece = raw[offsets[i] : offsets[i + 1]]
-                _, _, first, last = UNITS[units](piece, np.array([0, len(piece)]))
-                data, n = piece.tobytes(), len(first) - width + 1
-                spans = (data[first[k] : last[k + width - 1]] for k in range(n))
-                digests = [hashlib.md5(b" ".join(x.split()) if units == "words" else x, usedforsecurity=False).digest() for x in spans]
-                yield pa.RecordBatch.from_pydict({"anchor": pa.array([keys[0][i]] * n, pa.int64()), "content": pa.array([keys[1][i]] * n, pa.int64()), "copies": pa.array([keys[2][i]] * n, pa.int64()), "at": pa.array(range(n), pa.int32()), "digest": pa.array(digests, pa.binary())})
+            hot = batch.column("hot").to_numpy(zero_copy_only=False)
+            anchor = batch.column("anchor").to_numpy()
+            cold = pa.array(~hot)
+            shard = (anchor[~hot].view(U64) * U64(0x9E3779B97F4A7C15) >> U64(33)).astype(np.int64) % shards
+            kept = batch.filter(cold)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), kept.column("anchor"), kept.column("content"), pa.array(np.zeros(len(shard), np.int32)), kept.column("copies"), kept.column("data")], schema=_CUT_ARROW)
+            for i in np.flatnonzero(hot).tolist():
+                a, c, n = int(anchor[i]), batch.column("content")[i].as_py(), batch.column("copies")[i].as_py()
+                found = list(runs_of(batch.column("data")[i].as_py(), a, units, width, gram, default_run(width)))
+                keys = [xxhash.xxh64_intdigest(key, a & 0xFFFFFFFF) % shards for _, _, key, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([a] * len(found), pa.int64()), pa.array([c] * len(found), pa.int64()), pa.array([f[0] for f in found], pa.int32()), pa.array([n] * len(found), pa.int32()), pa.array([f[3] for f in found], pa.binary())], schema=_CUT_ARROW)
 
-    rows = cut.mapInArrow(run, "anchor long, content long, copies long, at int, digest binary")
-    seen = rows.groupBy("digest").agg(F.sum("copies").alias("seen")).where("seen > 1").select("digest")
-    return rows.join(seen, "digest", "left_semi").groupBy("anchor", "content").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("runs"))
+    return cut.select("anchor", "content", "copies", "hot", "data").mapInArrow(send, _CUT)
 
 
 def repeated_spans(docs: DataFrame, units: str, width: int, index: Callable, *, gram: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """ROW and its repeated spans [(start, end)) in units, one row for each row of ``docs`` that has any.
 
     ``docs`` has text and ROW, a number of the row's own that stays (``common.number_rows``).  ``index`` is called in a task with the segments' bytes, the
-    numbers of copies and the width, and returns for each segment the repeated windows' mask.
+    numbers of copies (1, or 2 for more) and the width, and returns for each segment the repeated windows' mask.
     """
     gram = gram or default_gram(width)
-    found = find_segments(docs, units, width, gram)
-    twice = found.groupBy("anchor").agg(F.sum(F.when(F.col("inner"), 2).otherwise(1)).alias("n")).where("n > 1").select("anchor")
-    shared = materialize(found.join(twice, "anchor", "left_semi").drop("inner"), "segments")
-    kept = materialize(shared.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct(ROW, "b0", "b1")).alias("at")).select("anchor", "content", "copies", "at.*"), "contents")
-    size = F.sum(F.col("b1") - F.col("b0"))
-    total = kept.agg(size.alias("n")).first()["n"] or 0
+    found = materialize(find_segments(docs, units, width, gram), "segments")
+    # segments of an anchor; kept apart from the join, so that Spark can split a frequent anchor there
+    twice = materialize(found.groupBy("anchor").agg(F.sum(F.when(F.col("inner"), 2).otherwise(1)).alias("n")).where("n > 1"), "anchors")
+    shared = materialize(found.drop("inner").join(twice, "anchor"), "shared")
+    bytes_of = F.col("b1") - F.col("b0")
+    hot = F.col("n") * (2 * bytes_of) > 2 * shard_bytes
+    kept = materialize(shared.groupBy("anchor", "content").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.min(F.struct(ROW, "b0", "b1")).alias("at"), F.first("n").alias("n")).select("anchor", "content", "copies", "n", "at.*").withColumn("hot", hot).drop("n"), "contents")
+    grown = (width + default_run(width)) // default_run(width)  # bytes of a hot anchor's runs for each of its segments', at most
+    total = kept.agg(F.sum(F.when(F.col("hot"), bytes_of * grown).otherwise(bytes_of)).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard_bytes))
-    hot = kept.groupBy("anchor").agg(size.alias("n")).where(F.col("n") > 2 * shard_bytes).select("anchor", F.lit(True).alias("hot"))
-    wanted = kept.join(hot, "anchor", "left").groupBy(ROW).agg(F.collect_list(F.struct("anchor", "content", "copies", "b0", "b1", "hot")).alias("cuts"))
+    wanted = kept.groupBy(ROW).agg(F.collect_list(F.struct("anchor", "content", "copies", "b0", "b1", "hot")).alias("cuts"))
     cut = (
         docs.select(ROW, F.col("text").cast("binary").alias("text"))
         .join(wanted, ROW)
         .select("text", F.explode("cuts").alias("s"))
         .select("s.anchor", "s.content", "s.copies", "s.hot", F.expr("substring(text, s.b0 + 1, s.b1 - s.b0)").alias("data"))
     )
-    hot_anchors = hot.count()
-    if hot_anchors:
-        cut = materialize(cut, "cuts")
 
     def run(table: pa.Table) -> pa.Table:
         raw, offsets = binary_parts(table.column("data"))
-        copies = table.column("copies").to_numpy()
-        mask, at = index(raw, offsets, copies, width)
+        mask, at = index(raw, offsets, table.column("copies").to_numpy(), width)
         edge = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
         a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         # a run over several segments is cut at their borders
@@ -157,17 +203,15 @@ def repeated_spans(docs: DataFrame, units: str, width: int, index: Callable, *,
         lo, hi = np.maximum(np.repeat(a, many), at[seg]) - at[seg], np.minimum(np.repeat(b, many), at[seg + 1]) - at[seg]
         full = hi > lo
         seg, lo, hi = seg[full], lo[full], hi[full]
+        ahead = table.column("at").to_numpy()[seg]
         which, counts = np.unique(seg, return_counts=True)
-        runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["a", "b"]))
+        runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array((lo + ahead).astype(np.int32)), pa.array((hi + ahead).astype(np.int32))], ["a", "b"]))
         return pa.table({"anchor": table.column("anchor").take(pa.array(which)), "content": table.column("content").take(pa.array(which)), "runs": runs})
 
-    schema = "anchor long, content long, runs array<struct<a:int,b:int>>"
-    cold = cut.where("hot is null").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "content", "copies", "data")
-    repeated = cold.groupBy("shard").applyInArrow(run, schema)
-    if hot_anchors:
-        repeated = repeated.unionByName(spread_windows(cut.where("hot"), units, width))
+    repeated = dealt(cut, shards, units, width, gram).groupBy("shard").applyInArrow(run, "anchor long, content long, runs array<struct<a:int,b:int>>")
     return (
-        shared.join(repeated, ["anchor", "content"])
+        shared.select(ROW, "pos", "anchor", "content")
+        .join(repeated, ["anchor", "content"])
         .select(ROW, "pos", F.explode("runs").alias("r"))
         .groupBy(ROW)
         .agg(F.sort_array(F.collect_list(F.struct((F.col("pos") + F.col("r.a")).alias("a"), (F.col("pos") + F.col("r.b") + (width - 1)).alias("b")))).alias("spans"))

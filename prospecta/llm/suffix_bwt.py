@@ -4,13 +4,15 @@ All strings of a shard are indexed at once: round j inserts the j-th symbol from
 right of every string, i.e. its suffix of j symbols, into the sorted list of suffixes.
 The Burrows-Wheeler transform, the links to the shorter suffixes and the longest common
 prefixes of neighbours are columns kept in files of the task's own: each round reads one
-generation from front to back and writes the next one.  Neighbours with a common prefix
-of a whole window are repeats.  The files go when the task ends; a lost task is redone.
+generation from front to back, in blocks, and writes the next one; minima of common
+prefixes between two rows come from the same reading.  Neighbours with a common prefix of
+a whole window are repeats; of segments with equal contents one is indexed with their number
+as its weight.  The files go when the task ends; a lost task is redone.
 
 A symbol is a block of ``stride`` bytes and a text's strings are its ``stride`` phases
 (stride: the largest divisor of the width up to 32; 25 for 200), so that a round moves all
 phases on by a block; a repeat of ``width`` bytes is one of ``width / stride`` symbols.
-Blocks compare by 64-bit fingerprint.
+Within a shard blocks are compared byte by byte, not by hash alone.
 
 Cases: null text counts as empty; texts under a window's length keep all bytes.  Repeated
 rows are documents of their own (their strings are repeats).  doc_ids may be null or
@@ -23,35 +25,41 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Rolling, byte_units
+from .common import ROW, Rolling, byte_units, gram_names
 from .repeats import merged, numbered, repeated_spans
 
 
 #: Bytes of distinct segments in a shard: its columns take about 34 bytes of a task's own disk for each.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 20
 
 
 class Columns:
-    """The sorted list's columns as files: one generation is read from the front, the next one written."""
+    """The sorted list's columns as files: one generation is read from the front, block by block, and the next one written."""
 
     #: key: a suffix's first symbol, and below 32 bits the row of the rest of it
     KINDS = {"key": np.int64, "bwt": np.uint32, "place": np.uint32, "lcp": np.uint8}
 
-    def __init__(self, folder: str, block: int = 1 << 20):
+    def __init__(self, folder: str, block: int = 1 << 18):
         self.folder, self.block, self.generation, self.rows = folder, block, 0, 0
 
     def path(self, name: str, generation: int) -> str:
         return os.path.join(self.folder, f"{name}.{generation % 2}")
 
     def read(self, name: str) -> np.ndarray:
-        return np.fromfile(self.path(name, self.generation), self.KINDS[name])
+        return np.concatenate([np.zeros(0, self.KINDS[name]), *(values for _, values in self.blocks(name))])
+
+    def blocks(self, name: str) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, values) from front to back."""
+        with open(self.path(name, self.generation), "rb") as file:
+            for lo in range(0, self.rows, self.block):
+                yield lo, np.fromfile(file, self.KINDS[name], min(self.block, self.rows - lo))
 
     def begin(self, **columns: np.ndarray) -> None:
         self.rows = len(next(iter(columns.values())))
@@ -59,35 +67,25 @@ class Columns:
             with open(self.path(name, self.generation), "wb") as out:
                 values.astype(self.KINDS[name], copy=False).tofile(out)
 
-    def merge(self, at: np.ndarray, **columns: np.ndarray) -> None:
-        """Insert rows so that they stand at ``at`` (ascending) in the next generation, block by block."""
-        total = self.rows + len(at)
-        for lo in range(0, total, self.block):
-            hi = min(lo + self.block, total)
-            i, j = np.searchsorted(at, [lo, hi])
-            old = np.ones(hi - lo, bool)
-            old[at[i:j] - lo] = False
-            for name, new in columns.items():
-                kind = np.dtype(self.KINDS[name])
-                merged_block = np.empty(hi - lo, kind)
-                merged_block[at[i:j] - lo] = new[i:j]
-                merged_block[old] = np.fromfile(self.path(name, self.generation), kind, hi - lo - (j - i), offset=(lo - int(i)) * kind.itemsize)
-                # columns only grow: what the generation before last left is written over
-                path = self.path(name, self.generation + 1)
-                with open(path, "r+b" if os.path.exists(path) else "wb") as out:
-                    out.seek(lo * kind.itemsize)
-                    merged_block.tofile(out)
+    def merge(self, behind: np.ndarray, change: dict[str, Callable], **columns: np.ndarray) -> None:
+        """Insert rows before the rows ``behind`` (ascending); ``change`` alters old values, given their first row and themselves."""
+        for name, new in columns.items():
+            i = 0
+            # columns only grow: what the generation before last left is written over
+            path = self.path(name, self.generation + 1)
+            with open(path, "r+b" if os.path.exists(path) else "wb") as out:
+                for lo, old in self.blocks(name):
+                    if name in change:
+                        old = change[name](lo, old)
+                    j = int(np.searchsorted(behind, lo + len(old))) if lo + len(old) < self.rows else len(behind)
+                    np.insert(old, behind[i:j] - lo, new[i:j]).tofile(out)
+                    i = j
         self.generation += 1
-        self.rows = total
-
-    def update(self, **columns: np.ndarray) -> None:
-        for name, values in columns.items():
-            with open(self.path(name, self.generation), "r+b") as out:
-                values.astype(self.KINDS[name], copy=False).tofile(out)
+        self.rows += len(behind)
 
 
 class RangeMinimum:
-    """Minimum of lcp over (lo, hi], by doubling."""
+    """Minimum of values over (lo, hi], by doubling."""
 
     def __init__(self, values: np.ndarray):
         self.levels = [values]
@@ -100,62 +98,102 @@ class RangeMinimum:
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         out = np.zeros(len(lo), np.uint8)
         level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        for k in np.unique(level):
+        for k in np.flatnonzero(np.bincount(level)):
             own = level == k
             a, b, table = lo[own] + 1, hi[own] + 1 - (1 << int(k)), self.levels[k]
             out[own] = np.minimum(table[a], table[b])
         return out
 
 
-def collection_bwt(symbols: np.ndarray, last: np.ndarray, previous: np.ndarray, cap: int, folder: str) -> Columns:
+def streamed_minima(columns: Columns, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Minimum of lcp over (lo, hi] for each pair, by one reading of the column from front to back.
+
+    A range is the end of one block, whole blocks, and the front of another one, or lies
+    within one; of whole blocks only the minimum is kept.
+    """
+    size = columns.block
+    first, last = (lo + 1) // size, hi // size
+    by_first, by_last = np.argsort(first, kind="stable"), np.argsort(last, kind="stable")
+    start, stop = first[by_first], last[by_last]
+    out = np.full(len(lo), 255, np.uint8)
+    whole = np.zeros(-(-columns.rows // size), np.uint8)
+    for row, values in columns.blocks("lcp"):
+        k = row // size
+        whole[k] = values.min()
+        opens = by_first[np.searchsorted(start, k) : np.searchsorted(start, k, side="right")]
+        inside = opens[last[opens] == k]
+        if len(inside):
+            out[inside] = RangeMinimum(values)(lo[inside] - row, hi[inside] - row)
+        opens = opens[last[opens] > k]
+        if len(opens):
+            out[opens] = np.minimum.accumulate(values[::-1])[::-1][lo[opens] + 1 - row]
+        closes = by_last[np.searchsorted(stop, k) : np.searchsorted(stop, k, side="right")]
+        closes = closes[first[closes] < k]
+        if len(closes):
+            out[closes] = np.minimum(out[closes], np.minimum.accumulate(values)[hi[closes] - row])
+    far = np.flatnonzero(last - first > 1)
+    if len(far):
+        out[far] = np.minimum(out[far], RangeMinimum(whole)(first[far], last[far] - 1))
+    return out
+
+
+def collection_bwt(symbols: np.ndarray, last: np.ndarray, previous: np.ndarray, cap: int, folder: str, block: int = 1 << 18) -> Columns:
     """Insert every string's symbols from its last one to its first.
 
     symbols: 1.. at each position; last: the strings' last positions; previous: the position of
     the symbol before, or -1.  The first rows are the strings' empty suffixes.  ``lcp`` counts
     symbols common with the row above, up to ``cap``.  Returns the columns; ``place`` is the
     position of each suffix (empty suffixes: 0) and ``bwt`` the symbol before it, 0 at a start.
+    A round holds one row for each string and one count for each row; the columns stay in files.
     """
-    columns = Columns(folder)
+    columns = Columns(folder, block)
     n = len(last)
     zero = np.zeros(n, np.uint32)
     columns.begin(key=np.arange(n), bwt=symbols[last], place=zero, lcp=zero)
     active, row = last, np.arange(n)  # next position to insert, and the row of the suffix after it
     while len(active):
-        key, lcps = columns.read("key"), columns.read("lcp")
         fresh = (symbols[active].astype(np.int64) << 32) | row
         order = np.argsort(fresh)
         fresh, active, row = fresh[order], active[order], row[order]
-        behind = np.searchsorted(key, fresh)
-        at = behind + np.arange(len(fresh))
-        has = previous[active] >= 0
-        left = np.where(has, symbols[previous[active]], 0)
-        # common prefixes: of each new row with the one above, and of each old row below a new one
-        minimum = RangeMinimum(lcps)
-
-        def common(above: np.ndarray, below: np.ndarray, minimum=minimum) -> np.ndarray:
-            out = np.zeros(len(above), np.uint8)
-            same = np.flatnonzero((above >> 32) == (below >> 32))
-            same = same[below[same] >> 32 > 0]
-            out[same] = np.minimum(minimum(above[same] & 0xFFFFFFFF, below[same] & 0xFFFFFFFF) + 1, cap)
-            return out
-
-        above = key[np.maximum(behind - 1, 0)]
+        # where each one goes, and the old rows above and below
+        behind = np.full(len(fresh), columns.rows)
+        above, below = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        i, before = 0, np.int64(0)
+        for lo, keys in columns.blocks("key"):
+            j = int(np.searchsorted(fresh, keys[-1]))
+            at = np.searchsorted(keys, fresh[i:j])
+            behind[i:j] = lo + at
+            above[i:j] = np.where(at > 0, keys[at - 1], before)
+            below[i:j] = keys[at]
+            i, before = j, keys[-1]
+        above[i:] = before
         joined = np.flatnonzero(behind[1:] == behind[:-1]) + 1  # right below another new row
         above[joined] = fresh[joined - 1]
         lowest = np.ones(len(fresh), bool)
         lowest[joined - 1] = False
-        lowest &= behind < len(key)
-        lcp = common(above, fresh)
-        lcps[behind[lowest]] = common(fresh[lowest], key[behind[lowest]])
-        # links to rows of the next generation
-        moved = np.ones(len(key) + len(at), bool)
-        moved[at] = False
-        moved = np.flatnonzero(moved)
-        first = np.searchsorted(key, 1 << 32)  # the empty suffixes have no link
-        key[first:] = (key[first:] & ~0xFFFFFFFF) | moved[key[first:] & 0xFFFFFFFF]
-        columns.update(key=key, lcp=lcps)
-        columns.merge(at, key=(fresh & ~0xFFFFFFFF) | moved[row], bwt=left, place=active, lcp=lcp)
-        active, row = previous[active[has]], at[has]
+        lowest &= behind < columns.rows
+        lowest = np.flatnonzero(lowest)
+        # common prefixes: of each new row with the one above, and of each old row below a new one
+        upper, lower = np.concatenate([above, fresh[lowest]]), np.concatenate([fresh, below[lowest]])
+        common = np.zeros(len(upper), np.uint8)
+        same = np.flatnonzero(((upper >> 32) == (lower >> 32)) & (lower >> 32 > 0))
+        common[same] = np.minimum(streamed_minima(columns, upper[same] & 0xFFFFFFFF, lower[same] & 0xFFFFFFFF) + 1, cap)
+        lcp, falls = common[: len(fresh)], common[len(fresh) :]
+        # rows of the next generation for those of this one: how many new ones stand above
+        shift = np.cumsum(np.bincount(behind, minlength=columns.rows + 1), dtype=np.int32)
+
+        def links(lo: int, keys: np.ndarray, shift=shift) -> np.ndarray:
+            return np.where(keys >> 32 > 0, keys + shift[keys & 0xFFFFFFFF], keys)  # the empty suffixes have no link
+
+        def changed(lo: int, values: np.ndarray, rows=behind[lowest], new=falls) -> np.ndarray:
+            i, j = np.searchsorted(rows, [lo, lo + len(values)])
+            values[rows[i:j] - lo] = new[i:j]
+            return values
+
+        has = previous[active] >= 0
+        left = np.where(has, symbols[previous[active]], 0)
+        columns.merge(behind, {"key": links, "lcp": changed}, key=fresh + shift[row], bwt=left, place=active, lcp=lcp)
+        active, row = previous[active[has]], (behind + np.arange(len(behind)))[has]
     return columns
 
 
@@ -164,34 +202,45 @@ def stride_of(width: int, most: int = 32) -> int:
 
 
 def repeated_windows(raw: np.ndarray, offsets: np.ndarray, copies: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mask of bytes that begin a repeated window, and offsets by text."""
+    """Mask of bytes that begin a repeated window, and offsets by text; each text counts ``copies`` times."""
     values, at, _, _ = byte_units(raw, offsets)
     n, stride = len(values), stride_of(width)
     depth = width // stride
     mask = np.zeros(n, bool)
     if n < width:
         return mask, at
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
     blocks = Rolling(values).grams(stride)
+    del values
     ok = np.zeros(n, bool)
     ok[: len(blocks)] = row[: len(blocks)] == row[stride - 1 :]
-    symbols = np.zeros(n, np.uint32)
-    symbols[ok] = np.unique(blocks[ok[: len(blocks)]], return_inverse=True)[1] + 1
-    previous = np.full(n, -1, np.int64)
+    symbols = gram_names(raw, blocks, stride, ok).astype(np.uint32)
+    del blocks
+    previous = np.full(n, -1, np.int32)
     both = ok[: n - stride] & ok[stride:] & (row[: n - stride] == row[stride:])
     previous[stride:][both] = np.flatnonzero(both)
     last = ok.copy()
     last[: n - stride] &= ~both
-    with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
-        columns = collection_bwt(symbols, np.flatnonzero(last), previous, depth, folder)
-        lcp, place = columns.read("lcp"), columns.read("place")
-    hit = lcp >= depth
-    mask[place[hit]] = True
-    mask[place[np.flatnonzero(hit) - 1]] = True
     start = np.zeros(n, bool)
     start[: n - width + 1] = row[: n - width + 1] == row[width - 1 :]
-    mask |= start & np.repeat(copies > 1, np.diff(at))
-    return mask, at
+    weight = np.where(start, copies[row], 0).astype(np.int32)
+    with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
+        columns = collection_bwt(symbols, np.flatnonzero(last).astype(np.int32), previous, depth, folder)
+        # rows with a whole window in common stand together: their windows' weights are summed
+        sums, group = np.zeros(columns.rows + 1, np.int32), 0
+        pairs = lambda: zip(columns.blocks("lcp"), columns.blocks("place"), strict=True)
+        for (lo, lcp), (_, place) in pairs():
+            own = np.where(np.arange(lo, lo + len(place)) < int(last.sum()), 0, weight[place])  # empty suffixes have no window
+            which = np.cumsum(lcp < depth)
+            found = np.bincount(which, own)
+            sums[group : group + len(found)] += found.astype(np.int32)
+            group += int(which[-1])
+        group = 0
+        for (_, lcp), (_, place) in pairs():
+            which = group + np.cumsum(lcp < depth)
+            mask[place[sums[which] > 1]] = True
+            group = int(which[-1])
+    return mask & start, at
 
 
 def repeated_byte_spans(docs: DataFrame, width: int = 200, **options) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from prospecta.llm import fm_index, repeats, suffix_bwt
+from prospecta.llm.common import word_units
 
 from .helpers import covered, empty, frame, odd_texts
 
@@ -113,3 +114,58 @@ def test_empty_and_other_columns(spark):
     docs = frame(spark, ["a b c d e f g h", "x a b c d e f g", None]).withColumnRenamed("lang", "n_words")
     rows = {r.doc_id: r for r in fm_index.deduplicate(docs, 5).collect()}
     assert rows[0].kept_text == "h" and rows[1].kept_text == "x" and rows[2].n_removed == 0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_indexes_carry_copies(seed):
+    """A text of weight two repeats all of its windows, as if it stood there twice."""
+    rng = random.Random(100 + seed)
+    texts = random_texts(rng)
+    raw, offsets = packed(texts)
+    copies = np.array([rng.randint(1, 2) for _ in texts])
+    for width in (3, 8, 12):
+        for index, units in ((fm_index, [t.split() for t in texts]), (suffix_bwt, texts)):
+            expected = starts(units + [u for u, c in zip(units, copies) if c > 1], width)[: sum(map(len, units))]
+            assert index.repeated_windows(raw, offsets, copies, width)[0].tolist() == expected
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 64])
+def test_streamed_columns_in_any_blocks(tmp_path, block):
+    rng = np.random.default_rng(block)
+    symbols = rng.integers(1, 4, 300).astype(np.uint32)
+    previous = np.arange(300) - 1
+    previous[::20] = -1
+    parts = suffix_bwt.collection_bwt(symbols, np.arange(19, 300, 20), previous, 9, str(tmp_path), block)
+    columns = [parts.read(n) for n in suffix_bwt.Columns.KINDS]
+    again = suffix_bwt.collection_bwt(symbols, np.arange(19, 300, 20), previous, 9, str(tmp_path), 10_000)
+    assert all(np.array_equal(a, again.read(n)) for a, n in zip(columns, suffix_bwt.Columns.KINDS))
+
+
+def test_strings_whose_polynomials_agree():
+    """Thue-Morse strings and their complements, which polynomial hashes modulo a power of two can't tell apart."""
+    ones = "".join(str(bin(i).count("1") & 1) for i in range(4096))
+    texts = [ones.encode(), ones.translate(str.maketrans("01", "10")).encode()]
+    raw, offsets = packed(texts)
+    one = np.ones(2, int)
+    for width in (1024, 2048):
+        assert suffix_bwt.repeated_windows(raw, offsets, one, width)[0].tolist() == starts([t.decode() for t in texts], width)
+    values, *_ = word_units(raw, offsets)
+    assert values[0] != values[1]
+
+
+def test_runs_of_a_frequent_anchor():
+    """Each window of a segment is in one run, and equal windows have equal keys."""
+    rng = random.Random(4)
+    line = "a line that stands in very many documents of all kinds " * 2
+    keys = {}
+    for _ in range(40):
+        data = ("".join(rng.choice("xyz ") for _ in range(150)) + line + "".join(rng.choice("xyz ") for _ in range(150))).encode()
+        s = repeats.segments_of(*packed([data]), "bytes", 120, 24)
+        for b0, b1, n, anchor in zip(s["b0"], s["b1"], s["windows"], s["anchor"]):
+            piece, seen = data[b0:b1], []
+            for at, size, key, part in repeats.runs_of(piece, int(anchor), "bytes", 120, 24, 10):
+                seen += range(at, at + size)
+                assert part == piece[at : at + size + 119]
+                for k in range(at, at + size):
+                    assert keys.setdefault(piece[k : k + 120], (int(anchor), key)) == (int(anchor), key)
+            assert seen == list(range(n))
