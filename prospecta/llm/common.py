@@ -62,13 +62,22 @@ def number_rows(docs: DataFrame) -> DataFrame:
     return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
+#: File names that are sent to all tasks, at most.
+MOST_FILES = 100_000
+
+
 def number_files(docs: DataFrame) -> DataFrame:
-    """As number_rows, for a plain scan of files, without a copy: from the file's place among the names and the row in it."""
+    """As number_rows, for a plain scan of files, without a copy: from the file's place among the names and the row in it.
+
+    The names go to all tasks; of more than MOST_FILES files a numbered copy is made instead.
+    """
     file = F.col("_metadata.file_path")
-    names = sorted(r["f"] for r in docs.select(file.alias("f")).distinct().collect())
+    names = sorted(r["f"] for r in docs.select(file.alias("f")).distinct().limit(MOST_FILES + 1).collect())
+    if len(names) > MOST_FILES:
+        return number_rows(docs)
     places = docs.sparkSession.createDataFrame(list(enumerate(names)), "_place long, _file string")
-    rows = docs.withColumns({"_file": file, "_at": F.col("_metadata.row_index")}).join(places, "_file")
-    return rows.select(*docs.columns, (F.shiftleft("_place", 40) + F.col("_at")).alias(ROW))
+    rows = docs.select(F.struct("*").alias("_own"), file.alias("_file"), F.col("_metadata.row_index").alias("_at")).join(F.broadcast(places), "_file")
+    return rows.select("_own.*", (F.shiftleft("_place", 40) + F.col("_at")).alias(ROW))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
