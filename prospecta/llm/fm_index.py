@@ -16,8 +16,8 @@ shard words and grams are compared as they are, not by hash.
 
 Cases: null or empty text, or fewer words than a window: nothing is removed.  Repeated
 rows are documents of their own (their windows are repeats).  doc_ids may be null or
-repeated: rows are told apart by ROW.  Other columns pass through ``deduplicate``
-untouched.  Empty tables give empty results.
+repeated: rows are told apart by ROW.  Other columns pass through ``deduplicate``; its
+results replace columns of the same names.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW, U64, Rolling, gram_names, mix
-from .repeats import merged, numbered, repeated_spans
+from .repeats import attached, merged, numbered, repeated_spans, texts_of
 
 
 class WaveletTree:
@@ -164,11 +164,10 @@ def repeated_word_spans(docs: DataFrame, width: int = 35, **options) -> DataFram
 
 def deduplicate(docs: DataFrame, width: int = 35, **options) -> DataFrame:
     """All rows and columns of ``docs`` with kept_text, n_words, n_removed and removed_spans (merged, in words)."""
-    names = ["kept_text", "n_words", "n_removed", "removed_spans"]
-    rows = numbered(docs, *[c for c in docs.columns if c not in [*names, ROW]])
-    spans = repeated_word_spans(rows, width, **options).withColumnRenamed("spans", "_spans")
-    joined = rows.join(spans, ROW, "left")
-    return joined.withColumn("_kept", _keep(F.col("text"), F.col("_spans"))).select(*[rows[c] for c in docs.columns if c not in names], "_kept.*")
+    rows = numbered(docs, *[F.col(f"`{c}`") for c in docs.columns if c != ROW])
+    spans = repeated_word_spans(rows, width, **options)
+    joined = texts_of(rows).join(spans, ROW, "left").withColumn("kept", _keep(F.col("text").cast("string"), F.col("spans")))
+    return attached(rows, joined.select(ROW, "kept.*"))
 
 
 KEPT = "kept_text string, n_words long, n_removed long, removed_spans array<struct<a:int,b:int>>"
@@ -199,7 +198,7 @@ def digests(docs: DataFrame, width: int = 35, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: the removal's outcome without the texts."""
     rows = numbered(docs, "doc_id", "text")
     spans = repeated_word_spans(rows, width, **options)
-    joined = rows.select(ROW, "doc_id", F.col("text").cast("binary").alias("text")).join(spans, ROW, "left").select("doc_id", "text", "spans")
+    joined = texts_of(rows).join(spans, ROW, "left").select(ROW, "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,6 +216,7 @@ def digests(docs: DataFrame, width: int = 35, **options) -> DataFrame:
                 n_words.append(len(words))
                 n_removed.append(removed)
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=[ROW, "n_words", "n_removed", "kept_sha256"])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    found = joined.mapInArrow(run, f"{ROW} long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select(ROW, "doc_id").join(found, ROW).drop(ROW)

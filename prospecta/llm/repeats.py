@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _IS_SPACE, ROW, U64, Rolling, binary_parts, byte_units, materialize, number_rows, slices, sliding_min, word_units
@@ -185,7 +185,7 @@ def repeated_spans(docs: DataFrame, units: str, width: int, index: Callable, *,
     shards = max(1, -(-total // shard_bytes))
     wanted = kept.groupBy(ROW).agg(F.collect_list(F.struct("anchor", "content", "copies", "b0", "b1", "hot")).alias("cuts"))
     cut = (
-        docs.select(ROW, F.col("text").cast("binary").alias("text"))
+        texts_of(docs)
         .join(wanted, ROW)
         .select("text", F.explode("cuts").alias("s"))
         .select("s.anchor", "s.content", "s.copies", "s.hot", F.expr("substring(text, s.b0 + 1, s.b1 - s.b0)").alias("data"))
@@ -218,11 +218,25 @@ def repeated_spans(docs: DataFrame, units: str, width: int, index: Callable, *,
     )
 
 
-def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+def numbered(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """``columns`` of ``docs`` and ROW, which is made here unless ``docs`` has it."""
     return docs.select(*columns, ROW) if ROW in docs.columns else number_rows(docs.select(*columns))
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """ROW and the text's bytes: the same columns wherever texts are shuffled by row, so that Spark shuffles them once."""
+    return docs.select(ROW, F.col("text").cast("binary").alias("text"))
+
+
+def attached(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """All columns of ``rows`` but ROW, with those of ``found(ROW, ...)``, which replace columns of the same names."""
+    names = [c for c in found.columns if c != ROW]
+    own = rows.select(F.col(ROW).alias("at"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("own"))
+    new = found.select(F.col(ROW).alias("to"), F.struct(*names).alias("new"))
+    kept = [F.col(f"own.`{c}`") for c in rows.columns if c not in [*names, ROW]]
+    return own.join(new, F.col("at") == F.col("to")).select(*kept, "new.*")
+
+
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
     """Overlapping or touching spans, sorted by start, made one."""
     out: list[tuple[int, int]] = []

@@ -16,7 +16,8 @@ Within a shard blocks are compared byte by byte, not by hash alone.
 
 Cases: null text counts as empty; texts under a window's length keep all bytes.  Repeated
 rows are documents of their own (their strings are repeats).  doc_ids may be null or
-repeated: rows are told apart by ROW.  Other columns pass through ``deduplicate``.  Empty
+repeated: rows are told apart by ROW.  ``deduplicate`` keeps
+the input's other columns; its results replace columns of the same names.  Empty
 tables give empty results.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW, Rolling, byte_units, gram_names
-from .repeats import merged, numbered, repeated_spans
+from .repeats import attached, merged, numbered, repeated_spans, texts_of
 
 
 #: Bytes of distinct segments in a shard: its columns take about 34 bytes of a task's own disk for each.
@@ -248,31 +249,38 @@ def repeated_byte_spans(docs: DataFrame, width: int = 200, **options) -> DataFra
     return repeated_spans(docs, "bytes", width, repeated_windows, **({"shard_bytes": SHARD_BYTES} | options))
 
 
-def deduplicate(docs: DataFrame, width: int = 200, **options) -> DataFrame:
-    """doc_id, kept (binary), n_bytes, n_removed, n_spans, removed_spans (merged, in bytes), kept_sha256."""
-    rows = numbered(docs, "doc_id", "text")
+def removal(rows: DataFrame, width: int, full: bool, **options) -> DataFrame:
+    """ROW, n_bytes, n_removed, n_spans, kept_sha256 of ``rows(ROW, text)``; if ``full`` also kept (binary) and removed_spans."""
     spans = repeated_byte_spans(rows, width, **options)
-    joined = rows.select(ROW, "doc_id", F.col("text").cast("binary").alias("text")).join(spans, ROW, "left").select("doc_id", "text", "spans")
+    names = [ROW, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "removed_spans"] if full else [])]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            spans = batch.column("spans")
-            for i, text in enumerate(batch.column("text")):
-                data = text.as_py() or b""
+            out, spans = [], batch.column("spans")
+            for row, i in zip(batch.column(ROW).to_pylist(), range(batch.num_rows), strict=True):
+                data = batch.column("text")[i].as_py() or b""
                 runs = merged(spans[i].as_py()) if spans[i].is_valid else []
                 parts, last = [], 0
                 for a, b in runs:
                     parts.append(data[last:a])
                     last = b
                 kept = b"".join([*parts, data[last:]])
-                rows.append((kept, len(data), len(data) - len(kept), len(runs), [{"a": a, "b": b} for a, b in runs], hashlib.sha256(kept).hexdigest()))
-            kept, n, removed, count, found, sha = zip(*rows, strict=True) if rows else ((),) * 6
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(found, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(sha, pa.string())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "removed_spans", "kept_sha256"])
+                found = (row, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
+                out.append((*found, kept, [{"a": a, "b": b} for a, b in runs]) if full else found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[k]) for k in range(len(names))], names=names)
+
+    schema = f"{ROW} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed_spans array<struct<a:int,b:int>>" * full
+    return texts_of(rows).join(spans, ROW, "left").select(ROW, "text", "spans").mapInArrow(run, schema)
 
-    return joined.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, removed_spans array<struct<a:int,b:int>>, kept_sha256 string")
+
+def deduplicate(docs: DataFrame, width: int = 200, **options) -> DataFrame:
+    """All rows and columns of ``docs`` with kept (binary), n_bytes, n_removed, n_spans, removed_spans (merged, in bytes), kept_sha256."""
+    rows = numbered(docs, *[F.col(f"`{c}`") for c in docs.columns if c != ROW])
+    return attached(rows, removal(rows, width, True, **options))
 
 
 def digests(docs: DataFrame, width: int = 200, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return deduplicate(docs, width, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows = numbered(docs, "doc_id", "text")
+    return rows.select(ROW, "doc_id").join(removal(rows, width, False, **options), ROW).drop(ROW)
