@@ -77,7 +77,8 @@ def number_files(docs: DataFrame) -> DataFrame:
         return number_rows(docs)
     places = docs.sparkSession.createDataFrame(list(enumerate(names)), "_place long, _file string")
     rows = docs.select(F.struct("*").alias("_own"), file.alias("_file"), F.col("_metadata.row_index").alias("_at")).join(F.broadcast(places), "_file")
-    return rows.select("_own.*", (F.shiftleft("_place", 40) + F.col("_at")).alias(ROW))
+    # not null, so that no join filters it and texts shuffled by it are the same everywhere
+    return rows.select("_own.*", F.coalesce(F.shiftleft("_place", 40) + F.col("_at"), F.lit(-1)).alias(ROW))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

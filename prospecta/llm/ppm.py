@@ -14,7 +14,7 @@ pruned or passes through the driver, but for the two shortest contexts (66,306 s
 The texts of a scan's partition make blocks of about BLOCK_BYTES; each block counts its
 distinct grams of ``order + 1`` symbols once.  Grams are dealt into parts by their last two
 context symbols, so that a part has whole contexts; a block's grams of one part travel as
-one packed row.  A part sums the blocks' counts, rolls them up from the longest context to the
+one packed row (words go likewise, by their hash).  A part sums the blocks' counts, rolls them up from the longest context to the
 shorter ones, and costs each distinct gram once; the costs go back to the blocks, packed,
 and each block adds up its texts'.  Blocks of a part are summed in groups of MOST_BLOCKS, so
 that no task holds more than those.
@@ -29,8 +29,9 @@ from __future__ import annotations
 
 import io
 import math
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from .common import U64, materialize, mix
 
 #: Symbols of context.
 ORDER = 5
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text for each part of the grams; parts, at most (two context symbols tell them apart); blocks of a part in one task.
 PART_BYTES, MOST_PARTS, MOST_BLOCKS = 16 << 20, 4096, 16384
 BITS = 9
@@ -103,6 +104,14 @@ def unpack_grams(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, U64), dtype=U64)
 
 
+def pack_words(words: list[bytes]) -> bytes:
+    return zstandard.compress(b" ".join(words), 1)
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split()
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, with the sums of their counts."""
     if not len(keys):
@@ -155,8 +164,10 @@ def count_block(block: int, texts: list[bytes], ids: list, held: np.ndarray, ord
         out.write_table(own)
     rows = lambda kind, part, data, more, n: pa.RecordBatch.from_arrays([pa.array([kind] * len(n)), pa.array([block] * len(n), pa.int64()), pa.array(part, pa.int32()), pa.array(data, pa.binary()), pa.array(more, pa.binary()), pa.array(n, pa.int64())], schema=_COUNTS_ARROW)
     yield rows("text", [-1], [zstandard.compress(file.getvalue(), 1)], [None], [len(texts)])
-    if words:
-        yield rows("word", [-1] * len(words), list(words), [None] * len(words), list(words.values()))
+    named: dict[int, list[bytes]] = defaultdict(list)
+    for w in words:
+        named[zlib.crc32(w) % parts].append(w)
+    yield rows("word", list(named), [pack_words(x) for x in named.values()], [packed(np.array([words[w] for w in x], np.int64)) for x in named.values()], list(map(len, named.values())))
     keys, counts = merged_counts(found)
     part = part_of(keys, parts)
     turn = np.argsort(part, kind="stable")
@@ -286,6 +297,31 @@ def sum_parts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(run, ", ".join(f"{k} int" for k in keys) + ", data binary, more binary")
 
 
+def sum_words(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """As sum_parts, for packed words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found: Counter = Counter()
+        for data, more in zip(table.column("data"), table.column("more"), strict=True):
+            for w, n in zip(unpack_words(data.as_py()), unpacked(more.as_py(), np.int64).tolist(), strict=True):
+                found[w] += n
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in keys}, "data": pa.array([pack_words(list(found))]), "more": pa.array([packed(np.fromiter(found.values(), np.int64, len(found)))])})
+
+    return rows.groupBy(*keys).applyInArrow(run, ", ".join(f"{k} int" for k in keys) + ", data binary, more binary")
+
+
+def word_totals(model: DataFrame) -> tuple[int, int]:
+    """Words in the training texts, and distinct ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [unpacked(x.as_py(), np.int64) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([int((c > 0).sum()) for c in counts], pa.int64())], names=["n", "v"])
+
+    found = model.select("more").mapInArrow(run, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    return found["n"] or 0, found["v"] or 0
+
+
 def shortest(model: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Trained keys of one context symbol (none, if the order is 0) with their counts: 258 x 257 at most."""
 
@@ -337,12 +373,13 @@ def score(docs: DataFrame, held: Column, order: int = ORDER, block_bytes: int =
     parts = max(1, min(MOST_PARTS, -(-size // PART_BYTES)))
     salts = max(1, -(-size // (MOST_BLOCKS * block_bytes)))
     counted = materialize(count_blocks(docs, held, order, block_bytes, parts), "counts", "kind")
-    words = counted.where("kind = 'word'").groupBy("data").agg(F.sum("n").alias("c"))
-    totals = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    asked = counted.where("kind != 'text'").select("kind", "block", "part", F.pmod("block", F.lit(salts)).cast("int").alias("salt"), "data", "more")
+    grams, words = asked.where("kind = 'gram'"), asked.where("kind = 'word'")
+    model = materialize(sum_parts(sum_parts(grams, ["part", "salt"]), ["part"]), "grams")
+    known_words = materialize(sum_words(sum_words(words, ["part", "salt"]), ["part"]), "words")
+    n, v = word_totals(known_words)
     ends = docs.where(~held).count()
-    n, v = totals["n"] + ends, totals["v"] + (ends > 0)
-    asked = counted.where("kind = 'gram'").select("block", "part", F.pmod("block", F.lit(salts)).cast("int").alias("salt"), "data", "more")
-    model = materialize(sum_parts(sum_parts(asked, ["part", "salt"]), ["part"]), "grams")
+    n, v = n + ends, v + (ends > 0)
     short = docs.sparkSession.sparkContext.broadcast(shortest(model, order))
 
     def answer(own: pa.Table, known: pa.Table) -> pa.Table:
@@ -351,18 +388,27 @@ def score(docs: DataFrame, held: Column, order: int = ORDER, block_bytes: int =
         found = [packed(costs[np.searchsorted(grams, unpack_grams(x.as_py()))]) for x in own.column("data")]
         return pa.table({"block": own.column("block"), "data": own.column("data"), "more": pa.array(found, pa.binary())})
 
-    spread = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    costs = asked.groupBy("part", "salt").cogroup(spread.groupBy("part", "salt")).applyInArrow(answer, "block long, data binary, more binary")
-    rows = counted.where("kind = 'text'").select("block", F.lit("text").alias("kind"), "data", "more", "n")
-    rows = rows.unionByName(costs.select("block", F.lit("gram").alias("kind"), "data", "more", F.lit(0).cast("long").alias("n")))
-    rows = rows.unionByName(counted.where("kind = 'word'").select("block", "data").join(words, "data").select("block", F.lit("word").alias("kind"), "data", F.lit(None).cast("binary").alias("more"), F.col("c").alias("n")))
+    def answer_words(own: pa.Table, known: pa.Table) -> pa.Table:
+        counts = dict(zip(unpack_words(known.column("data")[0].as_py()), unpacked(known.column("more")[0].as_py(), np.int64).tolist(), strict=True))
+        found = [packed(np.array([counts[w] for w in unpack_words(x.as_py())], np.int64)) for x in own.column("data")]
+        return pa.table({"block": own.column("block"), "data": own.column("data"), "more": pa.array(found, pa.binary())})
+
+    def answers(rows: DataFrame, model: DataFrame, run: Callable, kind: str) -> DataFrame:
+        spread = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = rows.groupBy("part", "salt").cogroup(spread.groupBy("part", "salt")).applyInArrow(run, "block long, data binary, more binary")
+        return found.select("block", F.lit(kind).alias("kind"), "data", "more")
+
+    rows = counted.where("kind = 'text'").select("block", F.lit("text").alias("kind"), "data", "more")
+    rows = rows.unionByName(answers(grams, model, answer, "gram")).unionByName(answers(words, known_words, answer_words, "word"))
 
     def run(table: pa.Table) -> pa.Table:
         kind = np.array(table.column("kind").to_pylist())
         of = lambda name: table.filter(pa.array(kind == name))
         pairs = of("gram")
         lookup = Table(np.concatenate([np.zeros(0, U64), *(unpack_grams(x.as_py()) for x in pairs.column("data"))]), np.concatenate([np.zeros(0), *(unpacked(x.as_py(), np.float64) for x in pairs.column("more"))]))
-        known = dict(zip(of("word").column("data").to_pylist(), of("word").column("n").to_pylist(), strict=True))
+        known = {}
+        for x, y in zip(of("word").column("data"), of("word").column("more"), strict=True):
+            known.update(zip(unpack_words(x.as_py()), unpacked(y.as_py(), np.int64).tolist(), strict=True))
         own = pa.ipc.open_stream(zstandard.decompress(of("text").column("data")[0].as_py())).read_all()
         texts = own.column("text").to_pylist()
         total = np.zeros(len(texts))
