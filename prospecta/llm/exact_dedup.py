@@ -1,19 +1,22 @@
 """Exact deduplication as a stateful stream.
 
-``stream_state`` runs a Structured Streaming aggregation whose keyed state lives in
-RocksDB on the executors' disks, is checkpointed to the shared folder and never expires
-(no watermark).  Per digest it retains the stable identifier (smallest doc_id), the
-content's locator (file and row of that document) and the number of documents.
-``deduplicate`` then joins the documents with the state by digest and compares the full
-bytes of every hit with those of the document that stays; documents whose bytes differ
-(a digest collision) are grouped again by their bytes.  Only DataFrame operations run.
+``stream_state`` runs two Structured Streaming queries over what is there.  The first one
+normalises and digests each text once and appends a record for each row: digest, doc_id and
+the content's locator (file and row).  The second one aggregates the records in keyed state
+that lives in RocksDB on the executors' disks, is checkpointed to the shared folder and never
+expires (no watermark): per digest the stable identifier (smallest doc_id), the locator of
+that document's content and the number of documents.
+The full bytes of all hits (rows of a digest that several have) are then fetched by their
+locators and compared: the least and the greatest text of a digest must be one.  Documents of
+a digest with different bytes (a collision) are grouped again by their bytes.  Only DataFrame
+operations run; of a frequent digest each task keeps one least and one greatest text.
 
 A document's text is compared after each run of ASCII white space is made one space;
 null counts as empty.  The row with the smallest doc_id stays.  Null doc_ids come after
-all others.  ``resolve`` decides by doc_id, so that all rows of one id and text get
+all others.  ``decisions`` decides by doc_id, so that all rows of one id and text get
 ``kept``; ``deduplicate`` decides by row (file and row of the staged input): exactly one
 row of each text stays, whatever ids are null or repeated.  Empty inputs give no rows.
-Other columns pass through ``deduplicate`` unchanged, also those named like results.
+Other columns pass through ``deduplicate`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from .common import SPACE_REGEX, materialize, scratch_path
 
 #: Sorts null doc_ids last.
 _LAST = 2**63 - 1
+RECORDS = "digest binary, sha binary, id long, file string, row long"
 STATE = "digest binary, keep_id long, file string, row long, group_size long"
 
 
@@ -45,6 +49,22 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.parquet(f"{head}/[{tail[0]}]{tail[1:]}")  # as a pattern, a single file is taken too
 
 
+def locator() -> list[Column]:
+    """File and row of a row that is read from Parquet."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+
+
+def stream_records(stream: DataFrame, digest=sha256_digest, checkpoint: str | None = None) -> DataFrame:
+    """Append a record for each new row of the stream and return all of them: RECORDS rows."""
+    spark = stream.sparkSession
+    checkpoint = checkpoint or scratch_path(spark, "dedup-state")
+    rows = stream.select(normalised(F.col("text")).alias("text"), F.coalesce("doc_id", F.lit(_LAST)).alias("id"), *locator())
+    records = rows.select(digest(F.col("text")).alias("digest"), sha256_digest(F.col("text")).alias("sha"), "id", "file", "row")
+    query = records.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{checkpoint}/records-log").option("path", f"{checkpoint}/records").start()
+    query.awaitTermination()
+    return spark.read.schema(RECORDS).parquet(f"{checkpoint}/records")
+
+
 def stream_state(stream: DataFrame, digest=sha256_digest, checkpoint: str | None = None) -> DataFrame:
     """Run the stream over all that is there and return the state: STATE rows, one per digest.
 
@@ -52,9 +72,10 @@ def stream_state(stream: DataFrame, digest=sha256_digest, checkpoint: str | None
     """
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "dedup-state")
+    stream_records(stream, digest, checkpoint)
     changes = f"{checkpoint}/changes"
-    keyed = stream.select(digest(normalised(F.col("text"))).alias("digest"), F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    state = keyed.groupBy("digest").agg(F.min(F.struct("id", "file", "row")).alias("first"), F.count("*").alias("group_size"))
+    records = spark.readStream.schema(RECORDS).parquet(f"{checkpoint}/records")
+    state = records.groupBy("digest").agg(F.min(F.struct("id", "file", "row")).alias("first"), F.count("*").alias("group_size"))
 
     def save(batch: DataFrame, epoch: int) -> None:
         batch.select("digest", F.col("first.id").alias("keep_id"), "first.file", "first.row", "group_size").write.mode("overwrite").parquet(f"{changes}/epoch={epoch}")
@@ -82,61 +103,49 @@ def stream_state(stream: DataFrame, digest=sha256_digest, checkpoint: str | None
     return saved.groupBy("digest").agg(F.min(F.struct("keep_id", "file", "row")).alias("first"), F.max("group_size").alias("group_size")).select("digest", "first.*", "group_size")
 
 
-def resolve(docs: DataFrame, state: DataFrame, digest=sha256_digest) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs(doc_id, text)``.
+def groups_of(records: DataFrame, state: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, file, row, sha, and its group's keep_id, keep_file, keep_row, group_size, for each of ``records``.
 
-    Every join is one sort-merge join between two shuffles, which Spark can split where a
-    digest is frequent; rows without texts carry the decisions, and texts are shuffled only
-    to compare the hits' full bytes.
+    ``texts`` has file, row and text of all records.  Every join is one sort-merge join between
+    two shuffles, which Spark can split where a digest is frequent.
     """
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
-    known = state.select("digest", "keep_id", "group_size")
-    found = texts.select("doc_id", "digest", F.sha2("text", 256).alias("text_sha256")).join(known, "digest")
-    own = texts.withColumn("keep_id", F.coalesce("doc_id", F.lit(_LAST)))
-    # doc_ids may repeat: of several rows that stay, one text is compared with
-    stays = own.join(known.where("group_size > 1").drop("group_size"), ["keep_id", "digest"]).groupBy("digest").agg(F.min("text").alias("stay_text"))
-    apart = materialize(texts.join(stays, "digest").where("text != stay_text").select("doc_id", "digest", F.sha2("text", 256).alias("text_sha256")), "collisions")
-    out = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    state = materialize(state, "state")
+    first = state.select("digest", "keep_id", F.col("file").alias("keep_file"), F.col("row").alias("keep_row"), "group_size")
+    found = records.join(first, "digest")
+    hits = records.join(state.where("group_size > 1").select("digest"), "digest").select("file", "row", "digest", "id", "sha")
+    hits = texts.join(hits, ["file", "row"]).withColumn("text", normalised(F.col("text")))
+    extremes = hits.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
+    apart = materialize(extremes.where("least != greatest").select("digest"), "collisions")
+    out = ["id", "file", "row", "sha", "keep_id", "keep_file", "keep_row", "group_size"]
     if apart.isEmpty():
-        result = found.select(*out)
-    else:  # digests collided: what differs from the row that stays is grouped by its bytes
-        different = apart.select("digest", "text_sha256").distinct()
-        others = apart.groupBy("digest").agg(F.count("*").alias("others"))
-        same = found.join(different, ["digest", "text_sha256"], "left_anti").join(others, "digest", "left").withColumn("group_size", F.col("group_size") - F.coalesce("others", F.lit(0)))
-        rows = texts.withColumn("text_sha256", F.sha2("text", 256)).join(different, ["digest", "text_sha256"], "left_semi")
-        groups = rows.groupBy("text").agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("keep_id"), F.count("*").alias("group_size"))
-        result = same.select(*out).unionByName(rows.join(groups, "text").select(*out))
-    keep = F.when(F.col("keep_id") != _LAST, F.col("keep_id"))
-    return result.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+        return found.select(*out)
+    # digests collided: their rows are grouped by their bytes
+    rows = hits.join(apart, "digest", "left_semi")
+    groups = rows.groupBy("text").agg(F.min(F.struct("id", "file", "row")).alias("first"), F.count("*").alias("group_size"))
+    groups = groups.select("text", F.col("first.id").alias("keep_id"), F.col("first.file").alias("keep_file"), F.col("first.row").alias("keep_row"), "group_size")
+    return found.join(apart, "digest", "left_anti").select(*out).unionByName(rows.join(groups, "text").select(*out))
+
+
+def decided(spark: SparkSession, path: str, schema, digest) -> DataFrame:
+    """``groups_of`` for the rows in the Parquet file or folder at ``path``, streamed through the state."""
+    checkpoint = scratch_path(spark, "dedup-state")
+    state = stream_state(read_stream(spark, path, schema), digest, checkpoint)
+    records = spark.read.schema(RECORDS).parquet(f"{checkpoint}/records")
+    return groups_of(records, state, spark.read.schema(schema).parquet(path).select(*locator(), "text"))
 
 
 def decisions(spark: SparkSession, path: str, digest=sha256_digest) -> DataFrame:
-    """``resolve`` for the documents in the Parquet file or folder at ``path``, streamed through the state."""
-    docs = spark.read.parquet(path)
-    return resolve(docs, stream_state(read_stream(spark, path, docs.schema), digest), digest)
-
-
-def copies(rows: DataFrame, state: DataFrame, digest=sha256_digest) -> DataFrame:
-    """_file and _row of those ``rows(_file, _row, doc_id, text)`` whose text another row keeps."""
-    texts = rows.select("_file", "_row", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
-    known = state.where("group_size > 1").select("digest", F.col("file").alias("_file"), F.col("row").alias("_row"))
-    stays = texts.join(known, ["digest", "_file", "_row"]).select("digest", F.col("text").alias("stay_text"))
-    apart = materialize(texts.join(stays, "digest").where("text != stay_text").select("_file", "_row"), "collisions")
-    first = known.select("digest", F.col("_file").alias("stay_file"), F.col("_row").alias("stay_row"))
-    hits = texts.select("_file", "_row", "digest").join(first, "digest").where("_file != stay_file or _row != stay_row").select("_file", "_row")
-    if apart.isEmpty():
-        return hits
-    # digests collided: of what differs from the row that stays, one row of each text stays too
-    others = texts.join(apart, ["_file", "_row"], "left_semi").groupBy("text").agg(F.min(F.struct("id", "_file", "_row")).alias("first"))
-    return hits.join(others.select("first._file", "first._row"), ["_file", "_row"], "left_anti")
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row of the documents in the Parquet file or folder at ``path``."""
+    groups = decided(spark, path, spark.read.parquet(path).schema, digest)
+    real = lambda c: F.when(F.col(c) != _LAST, F.col(c))
+    return groups.select(real("id").alias("doc_id"), real("keep_id").alias("keep_id"), "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    path = scratch_path(docs.sparkSession, "dedup-input")
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "dedup-input")
     docs.write.parquet(path)
-    spark = docs.sparkSession
-    staged = spark.read.schema(docs.schema).parquet(path)
-    state = stream_state(read_stream(spark, path, docs.schema), digest)
-    rows = staged.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    return rows.join(copies(rows, state, digest), ["_file", "_row"], "left_anti").select(*docs.columns)
+    groups = decided(spark, path, docs.schema, digest)
+    gone = groups.where("file != keep_file or row != keep_row").select("file", "row")
+    staged = spark.read.schema(docs.schema).parquet(path).select(F.struct("*").alias("own"), *locator())
+    return staged.join(gone, ["file", "row"], "left_anti").select("own.*")
