@@ -1,9 +1,10 @@
 """Quality classifier from weak labels.
 
 Ten heuristic labellers vote good (1), bad (0) or abstain on every document; each kind of
-bad text falls to two or more of them.  A model of their accuracies is estimated by
-expectation-maximisation over the counts of vote patterns (3**10 of them at most,
-whatever the corpus); it gives each document a posterior.
+bad text falls to two or more of them.  How often each one calls good and bad texts bad is
+estimated by expectation-maximisation over the counts of vote patterns (3**10 of them at
+most, whatever the corpus); that gives each document a posterior.  So that the hidden class
+is quality, no labeller is taken to accuse more than one good text in a hundred.
 Posterior labels then train a hashed linear scorer over byte trigrams and binned text
 statistics, which decides: a document stays if its score is at least ``threshold``.
 
@@ -28,12 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Rolling, binary_parts, byte_units, mix, slices, word_units
+from .common import distinct as distinct_values
 
 #: Documents that the scorer is fitted on, at most.
 SAMPLE = 3000
 BUCKETS = 1 << 15
+#: Parts of a weight when texts are scored.
+FIXED = 2.0**30
 GRAM = 3
 THRESHOLD = 0.5
+#: Rates of bad votes on good and on bad texts that the estimation begins with; the first one is its bound, too.
+START = (0.01, 0.3)
 LABELLERS = ("exclamation", "capitals", "symbols", "bars", "loose_marks", "endings", "variety", "repetition", "runs", "prose")
 
 
@@ -64,7 +70,7 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     same = np.zeros(len(values) + 1, bool)
     same[1:-1] = values[1:] == values[:-1]
     same[at] = False  # not across texts
-    distinct = np.array([len(np.unique(values[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+    distinct = np.array([len(distinct_values(values[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
     odd = ~(_LETTER | _DIGIT)[raw]
     marked = odd[np.maximum(last - 1, 0)] & odd[np.maximum(last - 2, 0)] & (last - first > 2)
     return np.stack([
@@ -84,12 +90,25 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def votes(stats: np.ndarray) -> np.ndarray:
-    """Votes of LABELLERS on each text: 1 good, 0 bad, -1 abstains."""
+    """Votes of LABELLERS on each text: 1 good, 0 bad, -1 abstains.
+
+    Each one judges by one ratio (the last one by two): bad beyond one bound, good within another,
+    no vote in between, on texts under five words, or for good under ten words.
+    """
     words, bang, caps, symbols, bars, loose, endings, variety, again, runs, letters, stops = stats.T
-    some = words >= 5
-    bad = [bang > 0.3, caps > 0.4, symbols > 0.25, bars > 0.1, loose > 0.1, endings > 0.2, variety < 0.45, again > 0.2, runs > 0.35]
-    prose = (words >= 10) & (bang < 0.1) & (caps < 0.3) & (symbols < 0.05) & (bars < 0.02) & (endings < 0.1) & (variety > 0.5) & (again < 0.1) & (letters > 0.8) & (stops < 0.5)
-    return np.stack([*(np.where(some & x, 0, -1) for x in bad), np.where(prose, 1, -1)], axis=1)
+    rules = [
+        (bang > 0.3, bang < 0.1),
+        (caps > 0.4, caps < 0.3),
+        (symbols > 0.25, symbols < 0.05),
+        (bars > 0.1, bars < 0.02),
+        (loose > 0.1, loose < 0.05),
+        (endings > 0.2, endings < 0.1),
+        (variety < 0.45, variety > 0.5),
+        (again > 0.2, again < 0.1),
+        (runs > 0.35, runs < 0.2),
+        (letters < 0.6, (letters > 0.8) & (stops < 0.5)),
+    ]
+    return np.stack([np.where((words >= 5) & bad, 0, np.where((words >= 10) & good, 1, -1)) for bad, good in rules], axis=1)
 
 
 def pack(v: np.ndarray) -> np.ndarray:
@@ -100,23 +119,40 @@ def unpack(patterns: np.ndarray, size: int = len(LABELLERS)) -> np.ndarray:
     return patterns[:, None] // 3 ** np.arange(size) % 3 - 1
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
-    """Prior of good, each labeller's accuracy where it votes, and each pattern's posterior of good."""
+def error_rates(patterns: np.ndarray, counts: np.ndarray, start: tuple[float, float] = (0.1, 0.9), most_false: float = 1.0, rounds: int = 200, weight: float = 10.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """By expectation-maximisation: prior of good, each labeller's rates of bad votes, and each pattern's posterior of good.
+
+    Rates are by labeller, on bad texts (row 0) and on good ones (row 1), where it votes.
+    ``start`` has the rates on good and on bad texts that the search begins with, and that
+    ``weight`` votes of belief hold; no labeller accuses more than ``most_false`` of the good texts.
+    """
     v = unpack(patterns)
-    prior, accuracy = 0.8, np.full(v.shape[1], 0.9)
-    post = np.full(len(v), prior)
+    bad, good = (v == 0).astype(float), (v == 1).astype(float)
+    belief = np.array(start)[::-1, None]
+    prior, rates = 0.8, np.repeat(belief, v.shape[1], axis=1)
+    post = np.full(len(v), -1.0)
     for _ in range(rounds):
-        lean = np.log(accuracy) - np.log(1 - accuracy)
-        odds = np.log(prior) - np.log(1 - prior) + (np.where(v == 1, 1.0, np.where(v == 0, -1.0, 0.0)) * lean).sum(axis=1)
-        new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        prior = float(np.clip((counts @ new + 8) / (counts.sum() + 10), 0.02, 0.98))
-        right = counts @ (np.where(v == 1, new[:, None], 0.0) + np.where(v == 0, 1 - new[:, None], 0.0))
-        # a weak belief that labellers beat chance
-        accuracy = np.clip((right + 9) / (counts @ (v >= 0) + 10), 0.02, 0.98)
+        new = posterior(bad, good, prior, rates)
         if np.abs(new - post).max(initial=0) < 1e-9:
             break
         post = new
-    return prior, accuracy, post
+        prior = float(np.clip((counts @ new + 8) / (counts.sum() + 10), 0.02, 0.98))
+        share = np.stack([counts * (1 - new), counts * new])
+        rates = (share @ bad + weight * belief) / (share @ (bad + good) + weight)
+        rates[1] = np.minimum(rates[1], most_false)
+    return prior, rates, post
+
+
+def posterior(bad: np.ndarray, good: np.ndarray, prior: float, rates: np.ndarray) -> np.ndarray:
+    """Of vote patterns (flags of bad and good votes by labeller): the probability of good."""
+    odds = bad @ np.log(rates).T + good @ np.log1p(-rates).T + np.log([1 - prior, prior])
+    return 1 / (1 + np.exp(np.clip(odds[:, 0] - odds[:, 1], -500, 500)))
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, **options) -> tuple[float, np.ndarray, np.ndarray]:
+    """As error_rates, with each labeller's accuracy where it votes in place of its two rates."""
+    prior, rates, post = error_rates(patterns, counts, **options)
+    return prior, prior * (1 - rates[1]) + (1 - prior) * rates[0], post
 
 
 def _bins(stats: np.ndarray) -> np.ndarray:
@@ -164,8 +200,10 @@ def fit(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, rounds: int =
 
 def scores(raw: np.ndarray, offsets: np.ndarray, stats: np.ndarray, weights: np.ndarray) -> np.ndarray:
     grams, size, bins = buckets(raw, offsets, stats)
-    sums = np.diff(np.concatenate([[0.0], np.cumsum(weights[grams])])[np.concatenate([[0], np.cumsum(size)])])
-    z = sums / np.maximum(size, 1) + weights[bins].sum(axis=1) + weights[BUCKETS]
+    # weights as whole numbers: a text's sum doesn't depend on what stands before it
+    whole = np.round(weights * FIXED).astype(np.int64)
+    sums = np.diff(np.concatenate([[0], np.cumsum(whole[grams])])[np.concatenate([[0], np.cumsum(size)])])
+    z = sums / np.maximum(size, 1) / FIXED + weights[bins].sum(axis=1) + weights[BUCKETS]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -203,8 +241,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     rows = source.select("text").mapInArrow(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 3**10 at most
     codes = np.array([r["pattern"] for r in rows], np.int64)
-    prior, accuracy, post = estimate(codes, np.array([r["n"] for r in rows], np.float64))
-    posterior = dict(zip(codes.tolist(), post.tolist(), strict=True))
+    prior, accuracy, post = estimate(codes, np.array([r["n"] for r in rows], np.float64), start=START, most_false=START[0])
+    known = dict(zip(codes.tolist(), post.tolist(), strict=True))
     total = sum(r["n"] for r in rows)
     place = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 30))
     share = 1.0 if total <= sample else (1.2 * sample + 100) / total
@@ -213,12 +251,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("place", "ascending"), ("doc_id", "ascending")]).slice(0, sample)
         raw, offsets = binary_parts(table.column("text"))
-        labels = np.concatenate([np.zeros(0), *(np.array([posterior.get(int(p), prior) for p in pack(votes(statistics(*own)))]) for own in each_slice(table.column("text").combine_chunks()))])
+        labels = np.concatenate([np.zeros(0), *(np.array([known.get(int(p), prior) for p in pack(votes(statistics(*own)))]) for own in each_slice(table.column("text").combine_chunks()))])
         return pa.table({"weights": pa.array([fit(raw, offsets, labels).tobytes()], pa.binary())})
 
     fitted = chosen.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "weights binary").collect()
     weights = np.frombuffer(fitted[0]["weights"]) if fitted else np.zeros(BUCKETS + 1)
-    return Model(prior, accuracy, posterior, weights)
+    return Model(prior, accuracy, known, weights)
 
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:

@@ -143,3 +143,51 @@ def test_odd_transcripts(spark):
     out = chat_format.format_conversations(conversations).collect()
     assert {r.conv_id for r in out} >= {2, None, 3}
     assert chat_format.format_conversations(conversations.limit(0)).count() == 0
+
+
+def test_rates_against_brute_force():
+    """Posteriors are Bayes' over both classes, and no parameters nearby explain the votes better."""
+    rng = np.random.default_rng(8)
+    for _ in range(6):
+        patterns = weak_quality.pack(rng.integers(-1, 2, (12, len(weak_quality.LABELLERS))))
+        patterns = np.unique(patterns)
+        counts = rng.integers(1, 200, len(patterns)).astype(float)
+        start, weight = (0.1, 0.6), 10.0
+        prior, rates, post = weak_quality.error_rates(patterns, counts, start=start, weight=weight, rounds=20_000)
+        votes = weak_quality.unpack(patterns)
+
+        def chances(p, r, votes=votes):
+            out = []
+            for v in votes:
+                one = [1 - p, p]
+                for k, x in enumerate(v):
+                    for c in (0, 1):
+                        one[c] *= 1 if x < 0 else r[c][k] if x == 0 else 1 - r[c][k]
+                out.append(one)
+            return np.array(out)
+
+        def gain(p, r, counts=counts, chances=chances):
+            belief = sum(weight * (s * np.log(r[c]) + (1 - s) * np.log(1 - r[c])).sum() for c, s in ((1, start[0]), (0, start[1])))
+            return counts @ np.log(chances(p, r).sum(axis=1)) + belief + 8 * np.log(p) + 2 * np.log(1 - p)
+
+        both = chances(prior, rates)
+        assert np.allclose(both[:, 1] / both.sum(axis=1), post, atol=1e-6)
+        best = gain(prior, rates)
+        for _ in range(200):
+            other = np.clip(rates + rng.normal(0, 0.01, rates.shape), 1e-6, 1 - 1e-6)
+            assert gain(min(0.98, max(0.02, prior + rng.normal(0, 0.01))), other) <= best + 1e-6
+
+
+def test_equal_texts_get_equal_scores():
+    """However texts are batched and whatever stands before them."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(90)}" for _ in range(rng.randint(3, 400))) for _ in range(3)]
+    model = weak_quality.Model(0.8, np.full(10, 0.9), {}, np.random.default_rng(1).normal(0, 1, weak_quality.BUCKETS + 1))
+    found = {t: set() for t in texts}
+    for _ in range(20):
+        batch = [rng.choice(texts) for _ in range(rng.randint(1, 60))]
+        for t, s in zip(batch, model.judge(pa.array([x.encode() for x in batch]))[0].tolist()):
+            found[t].add(s)
+    assert all(len(s) == 1 for s in found.values())
