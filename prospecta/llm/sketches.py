@@ -7,7 +7,7 @@ a sketch holds fewer than k hashes it is the whole set and all estimates are exa
 
 Cases: null counts as empty text.  Two empty sketches are alike (1.0), an empty one and
 another are not (0.0).  Equal texts have equal fingerprints.  The next document of
-``with_next`` goes by doc_id descending, ties by text, null ids last; after the last
+``with_next`` goes by doc_id descending, ties by the text's hash, null ids last; after the last
 comes the first; a table of one row is its own next.  Empty tables give no rows.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, binary_parts, slices, word_units
+from .common import Rolling, binary_parts, distinct, slices, word_units
 
 K = 128
 WORDS = 5
@@ -41,10 +41,10 @@ def sketch_batch(raw: np.ndarray, offsets: np.ndarray, k: int = K, words: int =
             own = grams[at[row] : max(at[row], at[row + 1] - words + 1)]
             if len(own) > 4 * k:
                 part = np.partition(own, 2 * k)[: 2 * k]
-                distinct = np.unique(part)
-                out.append(distinct[:k] if len(distinct) >= k else np.unique(own)[:k])
+                least = distinct(part)
+                out.append(least[:k] if len(least) >= k else distinct(own)[:k])
             else:
-                out.append(np.unique(own)[:k] if len(own) else np.array([whole[row]] if row in whole else [], np.uint64))
+                out.append(distinct(own)[:k] if len(own) else np.array([whole[row]] if row in whole else [], np.uint64))
     return out
 
 
@@ -107,27 +107,31 @@ def merged_fingerprints(parts: DataFrame, key: str = "doc_id", k: int = K) -> Da
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """(part, guest, doc_id, text) rows such that each part, read in order, is followed by its next document.
+    """(part, guest, doc_id, id, place, text) rows such that each part, read in order, is followed by its next document.
 
-    Parts are ranges of doc_id.  The first document of the following part comes along as a
-    ``guest`` row at the end, so a part needs no other one; the texts are shuffled once.
+    Parts are ranges of doc_id, and within an id that fills several of them, of ``place``, the
+    text's hash.  The first document of the following part comes along as a ``guest`` row at
+    the end, so a part needs no other one; the texts are shuffled once.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("place", F.shiftrightunsigned(F.xxhash64("text"), 11))
     cuts = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 1000 * parts).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts), reverse=True)  # as many numbers as parts
+    cuts = sorted(cuts if parts > 1 else [], reverse=True)  # as many numbers as parts
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    part = F.size(F.filter(bounds, lambda c: F.col("id") < c)) if cuts else F.lit(0)
-    placed = rows.withColumn("part", part)
-    heads = placed.groupBy("part").agg(F.max("id").alias("id")).orderBy("part").collect()  # one row of two numbers for each part
+    above = F.size(F.filter(bounds, lambda c: F.col("id") < c))
+    within = F.size(F.filter(bounds, lambda c: F.col("id") == c))  # parts that the id fills
+    placed = rows.withColumn("part", above + F.floor(F.col("place") / F.lit(2.0**53) * within).cast("int"))
+    first = F.min(F.struct(F.bitwise_not("id").alias("i"), "place")).alias("first")
+    heads = placed.groupBy("part").agg(first).select("part", F.bitwise_not("first.i").alias("id"), "first.place").orderBy("part").collect()  # three numbers for each part
+    columns = ["part", "guest", "doc_id", "id", "place", "text"]
+    placed = placed.withColumn("guest", F.lit(False)).select(*columns)
     if not heads:
-        return placed.select("part", F.lit(False).alias("guest"), "doc_id", "id", "text")
-    hosts = [(heads[i]["id"], heads[i - 1]["part"]) for i in range(len(heads))]
-    wanted = spark.createDataFrame(hosts, "id long, host int")
-    first = rows.where(F.col("id").isin([h["id"] for h in heads])) if len(heads) <= 1000 else rows
-    guests = first.join(F.broadcast(wanted), "id").groupBy("id", "host").agg(F.min("text").alias("text"))
-    return placed.select("part", F.lit(False).alias("guest"), "doc_id", "id", "text").unionByName(guests.select(F.col("host").alias("part"), F.lit(True).alias("guest"), F.lit(None).cast("long").alias("doc_id"), "id", "text"))
+        return placed
+    wanted = spark.createDataFrame([(heads[i]["id"], heads[i]["place"], heads[i - 1]["part"]) for i in range(len(heads))], "id long, place long, host int")
+    guests = rows.join(F.broadcast(wanted), ["id", "place"]).groupBy("id", "place", "host").agg(F.min("text").alias("text"))
+    return placed.unionByName(guests.select(F.col("host").alias("part"), F.lit(True).alias("guest"), F.lit(None).cast("long").alias("doc_id"), "id", "place", "text"))
 
 
 def compare_with_edited(docs: DataFrame, k: int = K, words: int = WORDS, parts: int | None = None) -> DataFrame:
@@ -164,5 +168,5 @@ def compare_with_edited(docs: DataFrame, k: int = K, words: int = WORDS, parts:
                 if rows:
                     yield emit(rows, texts)
 
-    ordered = with_next(docs, parts).repartition("part").sortWithinPartitions("part", "guest", F.desc("id"), "text").select("part", "guest", "doc_id", "text")
+    ordered = with_next(docs, parts).repartition("part").sortWithinPartitions("part", "guest", F.desc("id"), "place", "text").select("part", "guest", "doc_id", "text")
     return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
