@@ -8,7 +8,7 @@ size class (eight significant bits of the size), then by a hash of doc_id, so th
 class is sampled in proportion and a source's words come near its target.
 
 Ranks are prefix sums in three levels, none of which gathers a source in one task: size
-classes within a source, 256 hash parts within a class, rows within a part.
+classes within a source, 4096 hash parts within a class, rows within a part.
 
 Cases: null text has size 0; null sources are one source, ordered last.  An empty source
 (size 0) has target 0 and no copies.  Repeated rows are ranked apart.  Rows with equal
@@ -25,6 +25,8 @@ from .common import WORD_REGEX
 
 #: A source's words are repeated so many times at most.
 MOST = 3
+#: Hexadecimal digits of a key's hash that tell a size class's parts apart.
+PART_DIGITS = 3
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
 
@@ -62,43 +64,42 @@ def size_class(size: Column) -> Column:
 
 
 def with_copies(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``docs`` (doc_id, source, text or size) with struct ``_mix``: size, source_size, target, copies."""
-    size = F.col("size") if "text" not in docs.columns else words_in(F.col("text"))
+    """Structs ``own``, a row of ``docs`` (doc_id, source, text or size), and ``mix``: size, source_size, target, copies."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.withColumn("_size", size).withColumn("_key", key).withColumn("_class", size_class(F.col("_size"))).withColumn("_part", F.substring("_key", 1, 2))
-    # null sources: a flag and '' stand for them, so that joins and shuffles find them
-    sized = sized.withColumn("_none", F.col("source").isNull()).withColumn("_source", F.coalesce("source", F.lit("")))
-    group = ["_none", "_source"]
-    counted = sized.groupBy(*group, "_class", "_part").agg(F.count("*").alias("n"), F.sum("_size").alias("size"))
-    per_class = counted.groupBy(*group, "_class").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-    before_class = per_class.withColumn("class_before", F.sum("n").over(Window.partitionBy(*group).orderBy("_class").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).select(*group, "_class", "class_before")
-    part_before = F.sum("n").over(Window.partitionBy(*group, "_class").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    per_source = per_class.groupBy(*group).agg(F.sum("size").alias("source_size")).withColumn("source", F.when(~F.col("_none"), F.col("_source")))
-    goals = targets(per_source.select("source", "source_size"), weights, most)
-    goals = goals.select(F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "target")
-    before = counted.withColumn("part_before", part_before).join(before_class, [*group, "_class"]).join(goals, group).select(*group, "_class", "_part", (F.col("class_before") + F.col("part_before")).alias("before"), "source_size", "target")
-    row = F.row_number().over(Window.partitionBy(*group, "_class", "_part").orderBy("_key", F.col("doc_id"), "_size"))
-    ranked = sized.withColumn("_row", row).join(before, [*group, "_class", "_part"])
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"),
+        "doc_id",
+        # null sources: a flag and '' stand for them, so that joins and shuffles find them
+        F.col("source").isNull().alias("none"),
+        F.coalesce("source", F.lit("")).alias("source"),
+        (words_in(F.col("text")) if "text" in docs.columns else F.col("size")).alias("size"),
+        key.alias("key"),
+    )
+    sized = rows.withColumn("class", size_class(F.col("size"))).withColumn("part", F.substring("key", 1, PART_DIGITS))
+    group = ["none", "source"]
+    counted = sized.groupBy(*group, "class", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    per_class = counted.groupBy(*group, "class").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    before_class = per_class.withColumn("class_before", F.sum("n").over(Window.partitionBy(*group).orderBy("class").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).select(*group, "class", "class_before")
+    part_before = F.sum("n").over(Window.partitionBy(*group, "class").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    per_source = per_class.groupBy(*group).agg(F.sum("size").alias("source_size")).select(F.when(~F.col("none"), F.col("source")).alias("source"), "source_size")
+    goals = targets(per_source, weights, most).select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target")
+    before = counted.withColumn("part_before", part_before).join(before_class, [*group, "class"]).join(goals, group).select(*group, "class", "part", (F.col("class_before") + F.col("part_before")).alias("before"), "source_size", "target")
+    row = F.row_number().over(Window.partitionBy(*group, "class", "part").orderBy("key", "doc_id", "size"))
+    ranked = sized.withColumn("row", row).join(before, [*group, "class", "part"])
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("_none").cast("string"), F.lit("|"), F.col("_source"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    rank = F.col("before") + F.col("_row")
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("none").cast("string"), F.lit("|"), F.col("source"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    rank = F.col("before") + F.col("row")
     copies = (F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)).cast("long")
-    return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(F.col("_size").alias("size"), "source_size", "target", F.least(F.lit(most), copies).alias("copies")).alias("_mix")) if "source_size" not in docs.columns and "target" not in docs.columns else _clashing(docs, seed, weights, most)
-
-
-def _clashing(docs: DataFrame, seed: int, weights: tuple[int, ...], most: int) -> DataFrame:
-    """As with_copies, where input columns have the names of results."""
-    odd = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in ("source_size", "target")}
-    return with_copies(docs.withColumnsRenamed(odd), seed, weights, most).withColumnsRenamed({v: k for k, v in odd.items()})
+    return ranked.select("own", F.struct("size", "source_size", "target", F.least(F.lit(most), copies).alias("copies")).alias("mix"))
 
 
 def plan(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken for each document."""
     light = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"))
-    return with_copies(light, seed, weights, most).select("doc_id", "_mix.*", (F.col("_mix.copies") * F.col("_mix.size")).alias("taken"))
+    return with_copies(light, seed, weights, most).select("own.doc_id", "mix.*", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
 def sample(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mixed rows of ``docs``: each document as often as it is drawn."""
-    mixed = with_copies(docs, seed, weights, most).where("_mix.copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix.copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = with_copies(docs, seed, weights, most).where("mix.copies > 0")
+    return mixed.select("own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).select("own.*")

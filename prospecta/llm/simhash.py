@@ -230,8 +230,8 @@ def cluster(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = S
 
 def deduplicate(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED, shard: int = SHARD) -> DataFrame:
     """Of each component one row of ``docs``, all columns: that of the smallest doc_id, null ids last."""
-    rows = number_rows(docs)
-    prints = materialize(fingerprints(rows, words, seed, ROW), "fingerprints")
+    rows = number_rows(docs.select(F.struct("*").alias("own")))
+    prints = materialize(fingerprints(rows.select(ROW, "own.doc_id", "own.text"), words, seed, ROW), "fingerprints")
     named = first_of_component(prints, F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col(ROW)), bits, shard)
     gone = prints.join(named, "fp").where(F.col(ROW) != F.col(f"least.{ROW}")).select(ROW)
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    return rows.join(gone, ROW, "left_anti").select("own.*")
