@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, number_rows
+from .common import ROW, Rolling, binary_parts, distinct, materialize, mix, number_rows, slices, word_units
 
 WORDS, BITS, SEED = 3, 2, 42
 #: Fingerprints that shape the upper tree, at most.
@@ -39,6 +39,9 @@ SAMPLE = 8192
 SHARD = 60_000
 #: Levels of the upper tree, at most: its nodes are sent to all tasks.
 MOST_LEVELS = 14
+#: Of ``similar``: orders of the shingles, shingles in a sample, and the least Jaccard similarity of a link.
+#: Two texts of that similarity share a sample in some order with probability 1 - (1 - 0.8**3)**8, 0.997.
+BANDS, BAND_SHINGLES, LIKENESS = 8, 3, 0.8
 _LAST = 2**63 - 1
 
 
@@ -228,10 +231,82 @@ def cluster(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = S
     return prints.join(named, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED, shard: int = SHARD) -> DataFrame:
-    """Of each component one row of ``docs``, all columns: that of the smallest doc_id, null ids last."""
+def shingles_of(raw: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text, A-Z in lower case; a shorter text is one shingle of all its words."""
+    for i, j in slices(offsets):
+        own = raw[offsets[i] : offsets[j]]
+        own = np.where((own >= 65) & (own <= 90), own + 32, own).astype(np.uint8)
+        values, at, _, _ = word_units(own, offsets[i : j + 1])
+        rolling = Rolling(values)
+        grams = rolling.grams(words)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if b - a >= words:
+                yield distinct(grams[a : b - words + 1])
+            else:
+                yield rolling.spans(np.array([a]), np.array([b])) if b > a else np.zeros(0, np.uint64)
+
+
+def samples(rows: DataFrame, words: int, bands: int = BANDS, size: int = BAND_SHINGLES) -> DataFrame:
+    """ROW, band, key: for each of ``bands`` orders of all shingles, the hash of the text's ``size`` first ones."""
+    seeds = mix(np.arange(1, bands + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, band, key = [], [], []
+            for row, own in zip(batch.column(0).to_pylist(), shingles_of(*binary_parts(batch.column(1)), words), strict=True):
+                if len(own):
+                    placed = mix(own[None, :] ^ seeds[:, None])
+                    first = np.sort(np.partition(placed, size - 1, axis=1)[:, :size] if len(own) > size else placed, axis=1)
+                    total = np.zeros(bands, np.uint64)
+                    for k in range(first.shape[1]):
+                        total = mix(total + first[:, k])
+                    ids += [row] * bands
+                    band += range(bands)
+                    key.append(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(band, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *key]).view(np.int64))], names=[ROW, "band", "key"])
+
+    return rows.select(ROW, F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{ROW} long, band int, key long")
+
+
+def similar(rows: DataFrame, words: int, likeness: float) -> DataFrame:
+    """(a, b): rows whose shingle sets have a Jaccard similarity of ``likeness`` or more, compared in full.
+
+    Rows that share a sample's key are compared with the first of them, so that a group of n
+    copies makes n pairs for each band, not n squared.
+    """
+    keyed = materialize(samples(rows, words), "samples")
+    heads = materialize(keyed.groupBy("band", "key").agg(F.min(ROW).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
+    pairs = materialize(keyed.join(heads, ["band", "key"]).where(F.col(ROW) != F.col("a")).select("a", F.col(ROW).alias("b")).distinct(), "pairs")
+    texts = rows.select(F.col(ROW).alias("row"), F.col("text").cast("binary").alias("text"))
+    one = pairs.join(texts, pairs["a"] == texts["row"]).select("a", "b", F.col("text").alias("x"))
+    both = one.join(texts, one["b"] == texts["row"]).select("a", "b", "x", F.col("text").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(*(shingles_of(*binary_parts(batch.column(c)), words) for c in ("x", "y")), strict=True):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(common >= likeness * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, bits: int = BITS, likeness: float = LIKENESS, seed: int = SEED, shard: int = SHARD) -> DataFrame:
+    """Of each group one row of ``docs``, all columns: that of the smallest doc_id, null ids last.
+
+    Rows are linked by fingerprints of ``words``-word shingles within ``bits`` bits, found by the
+    tree, and by ``similar``: at a Jaccard similarity of 0.8 fingerprints of 64 bits differ in
+    some ten, where distances no longer prune the tree.
+    """
     rows = number_rows(docs.select(F.struct("*").alias("own")))
-    prints = materialize(fingerprints(rows.select(ROW, "own.doc_id", "own.text"), words, seed, ROW), "fingerprints")
-    named = first_of_component(prints, F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col(ROW)), bits, shard)
-    gone = prints.join(named, "fp").where(F.col(ROW) != F.col(f"least.{ROW}")).select(ROW)
+    texts = rows.select(ROW, "own.doc_id", "own.text")
+    prints = materialize(fingerprints(texts, words, seed, ROW), "fingerprints")
+    order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col(ROW))
+    named = first_of_component(prints, order, bits, shard)
+    near = prints.join(named, "fp").select(F.col(ROW).alias("a"), F.col(f"least.{ROW}").alias("b")).where("a != b")
+    groups = components(materialize(near.unionByName(similar(texts, words, likeness)), "near"))
+    placed = groups.join(prints, groups["node"] == prints[ROW]).select("root", order.alias("order"))
+    least = placed.groupBy("root").agg(F.min("order").alias("first"))
+    gone = placed.join(least, "root").where(F.col(f"order.{ROW}") != F.col(f"first.{ROW}")).select(F.col(f"order.{ROW}").alias(ROW))
     return rows.join(gone, ROW, "left_anti").select("own.*")
