@@ -247,14 +247,15 @@ def shingles_of(raw: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np
 
 
 def samples(rows: DataFrame, words: int, bands: int = BANDS, size: int = BAND_SHINGLES) -> DataFrame:
-    """ROW, band, key: for each of ``bands`` orders of all shingles, the hash of the text's ``size`` first ones."""
+    """ROW, band, key, place (the text's hash): for each of ``bands`` orders of all shingles, the hash of the text's ``size`` first ones."""
     seeds = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, band, key = [], [], []
-            for row, own in zip(batch.column(0).to_pylist(), shingles_of(*binary_parts(batch.column(1)), words), strict=True):
+            ids, band, key, place = [], [], [], []
+            for row, text, own in zip(batch.column(0).to_pylist(), batch.column(1), shingles_of(*binary_parts(batch.column(1)), words), strict=True):
                 if len(own):
+                    place += [xxhash.xxh64_intdigest(text.as_py()) >> 1] * bands
                     placed = mix(own[None, :] ^ seeds[:, None])
                     first = np.sort(np.partition(placed, size - 1, axis=1)[:, :size] if len(own) > size else placed, axis=1)
                     total = np.zeros(bands, np.uint64)
@@ -263,20 +264,24 @@ def samples(rows: DataFrame, words: int, bands: int = BANDS, size: int = BAND_SH
                     ids += [row] * bands
                     band += range(bands)
                     key.append(total)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(band, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *key]).view(np.int64))], names=[ROW, "band", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(band, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *key]).view(np.int64)), pa.array(place, pa.int64())], names=[ROW, "band", "key", "place"])
 
-    return rows.select(ROW, F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{ROW} long, band int, key long")
+    return rows.select(ROW, F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{ROW} long, band int, key long, place long")
 
 
 def similar(rows: DataFrame, words: int, likeness: float) -> DataFrame:
     """(a, b): rows whose shingle sets have a Jaccard similarity of ``likeness`` or more, compared in full.
 
-    Rows that share a sample's key are compared with the first of them, so that a group of n
-    copies makes n pairs for each band, not n squared.
+    Rows that share a sample's key are compared with the first and the last of them, by the hash of
+    the text, so that a group of n copies makes at most 2n pairs for each band, not n squared.  Two
+    texts that are alike are missed only if in all of their common groups both differ too much from
+    those two.
     """
     keyed = materialize(samples(rows, words), "samples")
-    heads = materialize(keyed.groupBy("band", "key").agg(F.min(ROW).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
-    pairs = materialize(keyed.join(heads, ["band", "key"]).where(F.col(ROW) != F.col("a")).select("a", F.col(ROW).alias("b")).distinct(), "pairs")
+    order = F.struct("place", ROW)
+    heads = materialize(keyed.groupBy("band", "key").agg(F.array_distinct(F.array(F.min(order)[ROW], F.max(order)[ROW])).alias("heads")).where("size(heads) > 1"), "heads")
+    pairs = keyed.join(heads, ["band", "key"]).select(F.explode("heads").alias("a"), F.col(ROW).alias("b")).where("a != b")
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     texts = rows.select(F.col(ROW).alias("row"), F.col("text").cast("binary").alias("text"))
     one = pairs.join(texts, pairs["a"] == texts["row"]).select("a", "b", F.col("text").alias("x"))
     both = one.join(texts, one["b"] == texts["row"]).select("a", "b", "x", F.col("text").alias("y"))
