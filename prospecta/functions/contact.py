@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,7 +30,57 @@ CONTACTABLE = ("valid", "catchall", "unknown", "role")
 #: Local parts of shared mailboxes.
 ROLE_LOCALS = ("contact", "info", "hello", "support", "sales", "admin", "accueil", "bonjour", "commercial", "rh", "presse", "redaction")
 #: Domains of throw-away addresses.
-DISPOSABLE = ("yopmail.com", "mailinator.com", "tempmail.com", "guerrillamail.com", "10minutemail.com")
+DISPOSABLE = (
+    "10minutemail.com", "10minutemail.net", "guerrillamail.com", "guerrillamail.net",
+    "mailinator.com", "temp-mail.org", "tempmail.com", "tempmailaddress.com",
+    "throwaway.email", "trashmail.com", "yopmail.com", "fakeinbox.com",
+    "getnada.com", "maildrop.cc", "mintemail.com", "sharklasers.com",
+    "grr.la", "guerrillamailblock.com", "pokemail.net", "spam4.me",
+    "mvrht.net", "bccto.me", "bugmenot.com", "getairmail.com",
+    "armyspy.com", "cuvox.de", "dayrep.com", "einrot.com",
+    "fleckens.hu", "gustr.com", "jourrapide.com", "rhyta.com",
+    "superrito.com", "teleworm.us", "33mail.com", "anonbox.net",
+    "emailondeck.com", "filzmail.com", "emailsensei.com", "etranquil.com",
+    "incognitomail.org", "mailcatch.com", "mailmetrash.com", "mailnesia.com",
+    "mailsac.com", "mailtemp.info", "mytrashmail.com", "noclickemail.com",
+    "nomail.xl.cx", "pookmail.com", "smoug.net", "sogetthis.com",
+    "spambox.us", "spamfree24.org", "spamgourmet.com", "spamhole.com",
+    "spamstack.net", "spamthisplease.com", "suremail.info", "tempinbox.com",
+    "tempmails.net", "throwawayemailaddress.com", "trashymail.com", "vpn.st",
+    "wegwerfmail.de", "wegwerpmailadres.nl", "wh4f.org", "whatpaas.com",
+    "banana-mail.com", "banit.club", "beefmilk.com", "binkmail.com",
+    "bobmail.info", "bofthew.com", "bootybay.de", "brennendesreich.de",
+    "bunsenhoneydew.com", "card.zp.ua", "casualdx.com", "cek.pm",
+    "centermail.com", "centermail.net", "choicemail1.com", "clrmail.com",
+    "cmail.net", "cmail.org", "coldemail.info", "cool.fr.nf",
+    "correo.blogos.net", "cosmorph.com", "courriel.fr.nf", "cubiclink.com",
+    "curryworld.de", "cust.in", "dacoolest.com", "dandikmail.com",
+    "dawin.com", "dcemail.com", "deadaddress.com", "deadspam.com",
+    "delikkt.de", "despam.it", "despammed.com", "devnullmail.com",
+    "dfgh.net", "digitalsanctuary.com", "discardmail.com", "discardmail.de",
+    "disposableaddress.com", "disposableemailaddresses.com", "disposableinbox.com",
+)
+#: Local parts that no single person has.
+ROLE_PREFIXES = (
+    "abuse", "admin", "administrator", "all", "billing", "contact", "help",
+    "info", "mail", "marketing", "noreply", "no-reply", "postmaster", "root",
+    "sales", "security", "spam", "support", "webmaster", "hostmaster",
+    "mailer-daemon", "newsletter", "accounts", "service", "services",
+    "team", "office", "hello", "press", "media", "news", "jobs",
+    "careers", "hr", "humanresources", "legal", "finance", "accounting",
+    "enquiry", "enquiries", "inquiry", "inquiries", "feedback", "complaints",
+)
+#: Networks and hosts that may not be fetched.
+DENIED_NETWORKS = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
+    "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/4", "240.0.0.0/4",
+)
+DENIED_HOSTS = ("169.254.169.254", "metadata.google.internal", "100.100.100.200", "metadata.azure.com", "localhost", "127.0.0.1", "::1", "0.0.0.0")
+#: Forms of a person's address; f, last2 and last3 are the first letters of the names.
+EMAIL_PATTERNS = (
+    "{first}.{last}", "{f}.{last}", "{first}{last}", "{f}{last}", "{first}_{last}", "{f}_{last}", "{first}-{last}", "{f}-{last}", "{first}", "{last}",
+    "{last}.{first}", "{last}{first}", "{last}.{f}", "{last}{f}", "{first}.{last2}", "{f}{last3}", "contact", "info",
+)
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?:\+?33|0)[\s.-]?[1-9](?:[\s.-]?[0-9]{2}){4}"
 
@@ -143,7 +196,7 @@ def email_verdict(email: Column, has_mx: Column) -> Column:
     return (
         F.when(~F.coalesce(F.trim(email).rlike(f"^{EMAIL}$"), F.lit(False)), "invalid")
         .when(domain.isin(*DISPOSABLE), "disposable")
-        .when(local.isin(*ROLE_LOCALS), "role")
+        .when(local.isin(*ROLE_PREFIXES), "role")
         .when(~F.coalesce(has_mx, F.lit(False)), "invalid")
         .when(domain.isin(*PUBLIC_PROVIDERS), "risky")
         .otherwise("verified")
@@ -151,12 +204,16 @@ def email_verdict(email: Column, has_mx: Column) -> Column:
 
 
 def email_candidates(first: Column, last: Column, domain: Column) -> Column:
-    """Addresses that a person may have at a domain."""
+    """Addresses that a person may have at a domain, by EMAIL_PATTERNS; forms of a missing name are left out."""
     f, n = (F.regexp_replace(normalize_name(x), "[^a-z]", "") for x in (first, last))
-    i = F.substring(f, 1, 1)
-    forms = [(f, ".", n), (i, ".", n), (i, "", n), (n, ".", f), (f, "", n), (f, "_", n), (f, "-", n), (n, "", f), (n, "", i), (f, "", None), (n, "", None)]
-    locals_ = [F.concat(a, F.lit(s), b) if b is not None else a for a, s, b in forms]
-    return F.array_distinct(F.transform(F.filter(F.array(*locals_), lambda x: F.length(x) > 1), lambda x: F.concat(x, F.lit("@"), domain)))
+    names = {"first": f, "last": n, "f": F.substring(f, 1, 1), "last2": F.substring(n, 1, 2), "last3": F.substring(n, 1, 3)}
+    forms = []
+    for pattern in EMAIL_PATTERNS:
+        parts = [x for x in re.split(r"(\{\w+\})", pattern) if x]
+        whole = F.concat(*[names[x[1:-1]] if x[0] == "{" else F.lit(x) for x in parts])
+        asked = [names[x[1:-1]] for x in parts if x[0] == "{"]
+        forms.append(F.when(reduce(and_, [F.length(c) > 0 for c in asked], F.lit(True)), whole))
+    return F.array_distinct(F.transform(F.filter(F.array(*forms), lambda x: x.isNotNull()), lambda x: F.concat(x, F.lit("@"), domain)))
 
 
 def pick_email(emails: Column, website: Column) -> Column:
@@ -196,7 +253,7 @@ def ip_number(ip: Column) -> Column:
     return sum((F.try_element_at(parts, F.lit(i + 1)).try_cast("long") * F.lit(256 ** (3 - i)) for i in range(4)), F.lit(0).cast("long"))
 
 
-def ip_denied(ip: Column, networks: tuple[str, ...] = ("10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16")) -> Column:
+def ip_denied(ip: Column, networks: tuple[str, ...] = DENIED_NETWORKS) -> Column:
     """Whether an address lies in one of some networks."""
     out = F.lit(False)
     for net in networks:
@@ -205,3 +262,15 @@ def ip_denied(ip: Column, networks: tuple[str, ...] = ("10.0.0.0/8", "127.0.0.0/
         low = sum(int(x) * 256 ** (3 - i) for i, x in enumerate(base.split(".")))
         out = out | ip_number(ip).between(low, low + size - 1)
     return F.coalesce(out, F.lit(True))
+
+
+def url_verdict(url: Column) -> Column:
+    """ok, or why a URL may not be fetched: scheme, host, or address (of a denied network)."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    bare = F.regexp_replace(host, r"^\[|\]$", "")
+    return (
+        F.when(~F.coalesce(url.rlike(r"(?i)^https?://"), F.lit(False)), "scheme")
+        .when((bare == "") | bare.isin(*DENIED_HOSTS), "host")
+        .when(bare.rlike(r"^[0-9.]+$") & ip_denied(bare), "address")
+        .otherwise("ok")
+    )

@@ -12,14 +12,16 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 ARTICLES = ("de", "du", "la", "le", "les", "d", "l")
 #: Titles by what is found first in a position.
 POSITIONS = (
-    ("drh", "drh|ressources humaines|human resources"),
-    ("daf", "daf|cfo|financ"),
-    ("dsi", "dsi|cto|cio|informatique"),
-    ("cmo", "cmo|marketing"),
-    ("cco", "cco|commercial"),
-    ("ceo", "ceo|chief executive|pdg|directeur général"),
-    ("coo", "coo|operations|opérations"),
+    ("drh", "drh|chro|ressources humaines|human resources|chief human"),
+    ("daf", "daf|cfo|financier|finance|chief financial"),
+    ("dsi", "dsi|cio|systèmes? d.?information|information systems?|chief information"),
+    ("cmo", "cmo|marketing|chief marketing"),
+    ("cco", "cco|commercial|chief commercial|chief sales|chief revenue|cro"),
+    ("ceo", "ceo|directeur général|président|chief executive|managing director"),
+    ("coo", "coo|chief operating|directeur des opérations"),
 )
+#: Words of a company's name that are not looked for in a domain.
+STOP_WORDS = ("sarl", "sas", "sasu", "sa", "eurl", "snc", "sci", "sarlu", "scop", "earl", "gie", "sccv", "et", "de", "du", "des", "la", "le", "les", "l", "d")
 
 
 def unaccent(c: Column) -> Column:
@@ -62,8 +64,8 @@ def like_escape(c: Column) -> Column:
 
 
 def position(c: Column) -> Column:
-    """Normalised C-level title, the first that is found; else null."""
-    out = F.lit(None).cast("string")
+    """Normalised C-level title, the first that is found; else other."""
+    out = F.lit("other")
     for name, pattern in reversed(POSITIONS):
         out = F.when(F.lower(c).rlike(pattern), name).otherwise(out)
     return out
@@ -76,18 +78,24 @@ def html_text(c: Column) -> Column:
 
 
 def name_tokens(c: Column, most: int = 4) -> Column:
-    """Up to ``most`` words of a normal name that are worth looking for in a domain."""
-    words = F.split(F.regexp_replace(normalize_name(c), "[^a-z0-9]+", " "), " ")
-    good = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin("sarl", "sas", "societe", "groupe", "entreprise", "ets"))
-    return F.slice(good, 1, most)
+    """Up to ``most`` words of a name, without accents, of two letters or more, that are no STOP_WORDS."""
+    words = F.split(F.regexp_replace(F.lower(unaccent(F.lower(c))), "[^a-z0-9]+", " "), " ")
+    return F.slice(F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS)), 1, most)
 
 
-def candidate_domains(c: Column) -> Column:
-    """Domains that a company of this name may have: words joined, hyphened, and the first alone."""
+def candidate_domains(c: Column, extended: bool = False) -> Column:
+    """Domains that a company of this name may have, the likeliest first; ``extended`` adds those of a second pass."""
     t = name_tokens(c)
-    bodies = F.array_distinct(F.array(F.array_join(t, ""), F.array_join(t, "-"), F.element_at(F.concat(t, F.array(F.lit(""))), 1)))
-    bodies = F.filter(bodies, lambda b: F.length(b) > 2)
-    return F.flatten(F.transform(F.array(F.lit(".fr"), F.lit(".com")), lambda end: F.transform(bodies, lambda b: F.concat(b, end))))
+    n, word = F.size(t), lambda i: F.get(t, F.lit(i))
+    joined, hyphened = F.array_join(t, ""), F.array_join(t, "-")
+    initials = F.array_join(F.transform(t, lambda w: F.substring(w, 1, 1)), "")
+    alone = (n > 1) & (F.length(word(0)) >= 4)
+    two = F.concat(word(0), word(1))
+    forms = [(n > 0, joined, ".fr"), (n > 1, hyphened, ".fr"), (n > 0, joined, ".com"), (alone, word(0), ".fr")]
+    if extended:
+        forms += [(n > 1, hyphened, ".com"), (n > 0, joined, ".net"), (n > 0, joined, ".eu"), (alone, word(0), ".com"), (n > 1, two, ".fr"), (n > 1, two, ".com"), (n > 2, initials, ".fr"), (n > 2, initials, ".com")]
+    found = F.array(*[F.when(test, F.concat(body, F.lit(end))) for test, body, end in forms])
+    return F.array_distinct(F.filter(found, lambda d: d.isNotNull() & (F.length(d) >= 5)))
 
 
 def verify_page(body: Column, siren: Column, name: Column, city: Column) -> Column:

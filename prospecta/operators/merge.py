@@ -209,7 +209,7 @@ def verify_chain(log: DataFrame, genesis: str = "0" * 64, shard: int = 100_000)
     last = spans.groupBy("_s").agg(F.max_by("current_hash", "id").alias("_last"))
     order = Window.orderBy("_s")  # one row for each range
     borders = last.select(F.col("_s").alias("_b"), F.lag("_last").over(order).alias("_border"))
-    joined = spans.join(F.broadcast(borders), F.col("_s") == F.col("_b"))
+    joined = spans.join(borders, F.col("_s") == F.col("_b"))
     before = F.coalesce(F.lag("current_hash").over(Window.partitionBy("_s").orderBy("id")), F.col("_border"), F.lit(genesis))
     checked = joined.withColumn("link_ok", F.col("prev_hash") == before).withColumn("hash_ok", F.col("current_hash") == F.sha2(F.concat("prev_hash", F.lit("|"), "payload_hash"), 256))
     return checked.where("not (link_ok and hash_ok)").select("id", "link_ok", "hash_ok")

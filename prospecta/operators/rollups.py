@@ -45,9 +45,15 @@ def duplicate_census(contacts: DataFrame) -> DataFrame:
 
 
 def top_duplicates(contacts: DataFrame, k: int = 10, ids: int = 5) -> DataFrame:
-    """The largest groups with their first ids (min-k by pre-aggregated slices)."""
-    groups = contacts.where(F.col("email").isNotNull()).groupBy("workspace_id", F.lower("email").alias("email")).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("id")), 1, ids).alias("first_ids"))
-    return groups.where("n > 1").orderBy(F.desc("n"), "workspace_id", "email").limit(k)
+    """The largest groups with their first ids."""
+    key = ["workspace_id", "email"]
+    rows = contacts.where(F.col("email").isNotNull()).select("workspace_id", F.lower("email").alias("email"), "id", F.pmod(F.hash("id"), F.lit(256)).alias("salt"))
+    largest = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), *key).limit(k)
+    # ids of the k groups alone, the first ones of each salt and then of all
+    first = lambda c: F.slice(F.sort_array(c), 1, ids)
+    some = rows.join(largest, key).groupBy(*key, "n", "salt").agg(first(F.collect_list("id")).alias("some"))
+    groups = some.groupBy(*key, "n").agg(first(F.flatten(F.collect_list("some"))).alias("first_ids"))
+    return groups.orderBy(F.desc("n"), "workspace_id", "email").limit(k)
 
 
 def legal_basis_census(df: DataFrame) -> DataFrame:
@@ -81,7 +87,7 @@ def usage_by(usage: DataFrame, *keys: str) -> DataFrame:
 def over_cap(usage: DataFrame, caps: DataFrame, share: float) -> DataFrame:
     """Days on which a workspace spent more than a share of its cap; cap 0 is no cap."""
     days = usage.groupBy("workspace_id", F.to_date("created_at").alias("day")).agg(F.sum("cost_micros").alias("cost_micros"))
-    return days.join(F.broadcast(caps), "workspace_id").where((F.col("cap_micros") > 0) & (F.col("cost_micros") > F.col("cap_micros") * share))
+    return days.join(caps, "workspace_id").where((F.col("cap_micros") > 0) & (F.col("cost_micros") > F.col("cap_micros") * share))
 
 
 def best_confidence(contacts: DataFrame, companies: DataFrame) -> DataFrame:

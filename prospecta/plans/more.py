@@ -72,10 +72,10 @@ def fanout(v):
     return cities.join(v.companies.groupBy(dep.alias("dep")).agg(F.count("*").alias("n")), "dep").select("city", "n")
 
 
-@query("j05_person_view", "SELECT t.id, c.denomination, c.siren FROM contacts t LEFT JOIN companies c ON t.company_id = c.id WHERE t.id < 500", ("contacts", "companies"))
+@query("j05_person_view", "SELECT t.id, c.denomination, c.siren FROM contacts t LEFT JOIN companies c ON t.company_id = c.id", ("contacts", "companies"))
 def person(v):
     side = v.companies.select(F.col("id").alias("company_id"), "denomination", "siren")
-    return v.contacts.where("id < 500").join(side, "company_id", "left").select("id", "denomination", "siren")
+    return v.contacts.join(side, "company_id", "left").select("id", "denomination", "siren")
 
 
 @query("j09_mark_join", "SELECT workspace_id, count(*) AS n FROM companies c WHERE lifecycle_stage <> 'nouveau' OR EXISTS (SELECT 1 FROM company_tag t WHERE t.company_id = c.id AND t.slug = 'src:r') GROUP BY ALL", ("companies",), COMPANY_TAG)
@@ -115,7 +115,7 @@ def consistency(v):
 
 @query("a17_quota", "SELECT workspace_id, count(*) AS used, round(count(*) * 100.0::DOUBLE / 400, 2) AS percent FROM runs WHERE started_at >= TIMESTAMP '2024-01-01 00:00:00' AND started_at < TIMESTAMP '2024-02-01 00:00:00' GROUP BY ALL", ("runs",))
 def quota(v):
-    month = v.runs.where(F.date_format("started_at", "yyyy-MM") == "2024-01")
+    month = v.runs.where((F.col("started_at") >= F.lit("2024-01-01").cast("timestamp_ntz")) & (F.col("started_at") < F.lit("2024-02-01").cast("timestamp_ntz")))
     return month.groupBy("workspace_id").agg(F.count("*").alias("used")).withColumn("percent", F.round(F.col("used") * 100.0 / 400, 2))
 
 

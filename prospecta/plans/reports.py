@@ -218,9 +218,11 @@ def fold(v):
     return m.fold_stages(v.events.withColumn("stage", stage), "user_id", "ts", "event_id", "stage")
 
 
-@query("m05_ingest_once", "SELECT external_ref, min(id) AS id FROM activities WHERE id % 3 = 0 AND external_ref NOT IN (SELECT external_ref FROM activities WHERE id % 3 = 1) GROUP BY external_ref", ("activities",))
+@query("m05_ingest_once", "SELECT external_ref, min(id) AS id FROM activities WHERE occurred_at >= TIMESTAMP '2024-01-16 00:00:00' AND external_ref NOT IN (SELECT external_ref FROM activities WHERE occurred_at < TIMESTAMP '2024-01-16 00:00:00' AND external_ref IS NOT NULL) GROUP BY external_ref", ("activities",))
 def once(v):
-    return m.ingest_once(v.activities.where("id % 3 = 1"), v.activities.where("id % 3 = 0"), "external_ref", "id").select("external_ref", "id")
+    """What came before a day is known, what came from then on is the batch."""
+    known = F.col("occurred_at") < F.lit("2024-01-16").cast("timestamp_ntz")
+    return m.ingest_once(v.activities.where(known), v.activities.where(~known), "external_ref", "id").select("external_ref", "id")
 
 
 @query("m06_erasure", "SELECT id, company_id FROM contacts WHERE email IS NULL OR sha256(lower(trim(email))) NOT IN (SELECT sha256(lower(trim(email))) FROM opt_out)", ("contacts", "opt_out"))

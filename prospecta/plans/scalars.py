@@ -123,21 +123,41 @@ def classify_email(v):
 @query(
     "f21_email_verdict",
     f"""SELECT id, CASE WHEN email IS NULL OR NOT regexp_full_match(trim(email), '{c.EMAIL}') THEN 'invalid' WHEN {_DOMAIN('email')} IN ({', '.join(repr(x) for x in c.DISPOSABLE)}) THEN 'disposable'
- WHEN string_split(lower(trim(email)), '@')[1] IN ({', '.join(repr(x) for x in c.ROLE_LOCALS)}) THEN 'role' WHEN id % 9 = 0 THEN 'invalid' WHEN {_DOMAIN('email')} IN ({_PUBLIC}) THEN 'risky' ELSE 'verified' END AS verdict FROM contacts""",
+ WHEN string_split(lower(trim(email)), '@')[1] IN ({', '.join(repr(x) for x in c.ROLE_PREFIXES)}) THEN 'role' WHEN id % 9 = 0 THEN 'invalid' WHEN {_DOMAIN('email')} IN ({_PUBLIC}) THEN 'risky' ELSE 'verified' END AS verdict FROM contacts""",
     ("contacts",),
 )
 def verdict(v):
     return v.contacts.select("id", c.email_verdict(F.col("email"), F.col("id") % 9 != 0).alias("verdict"))
 
 
-@query("f23_email_candidates")
+@query(
+    "f23_email_candidates",
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0
+ THEN 'jean.dupont@site.fr j.dupont@site.fr jeandupont@site.fr jdupont@site.fr jean_dupont@site.fr j_dupont@site.fr jean-dupont@site.fr j-dupont@site.fr jean@site.fr dupont@site.fr dupont.jean@site.fr dupontjean@site.fr dupont.j@site.fr dupontj@site.fr jean.du@site.fr jdup@site.fr contact@site.fr info@site.fr'
+ ELSE 'dupont@site.fr contact@site.fr info@site.fr' END AS candidates FROM customer""",
+)
 def candidates(v):
-    return v.contacts.select("id", F.array_join(c.email_candidates(F.col("first_name"), F.col("last_name"), F.lit("site.fr")), " ").alias("candidates"))
+    """Of a whole name, and of one without a first name."""
+    first = F.when(F.col("c_custkey") % 2 == 0, "Jean").otherwise("")
+    return v.customer.select(F.col("c_custkey").alias("id"), F.array_join(c.email_candidates(first, F.lit("DUPONT"), F.lit("site.fr")), " ").alias("candidates"))
+
 
+_COMPANIES = ("SARL Boulangerie du Marché", "Axa", "ABC Énergie Services Plus Conseil", "S.A. de la", "Lumen Fils")
 
-@query("f24_candidate_domains")
+
+@query(
+    "f24_candidate_domains",
+    """SELECT c_custkey AS id, CASE c_custkey % 5
+ WHEN 0 THEN 'boulangeriemarche.fr boulangerie-marche.fr boulangeriemarche.com boulangerie.fr boulangerie-marche.com boulangeriemarche.net boulangeriemarche.eu boulangerie.com'
+ WHEN 1 THEN 'axa.fr axa.com axa.net axa.eu'
+ WHEN 2 THEN 'abcenergieservicesplus.fr abc-energie-services-plus.fr abcenergieservicesplus.com abc-energie-services-plus.com abcenergieservicesplus.net abcenergieservicesplus.eu abcenergie.fr abcenergie.com aesp.fr aesp.com'
+ WHEN 3 THEN ''
+ ELSE 'lumenfils.fr lumen-fils.fr lumenfils.com lumen.fr lumen-fils.com lumenfils.net lumenfils.eu lumen.com' END AS domains FROM customer""",
+)
 def domains(v):
-    return v.companies.select("id", F.array_join(t.candidate_domains(F.col("denomination")), " ").alias("domains"))
+    """Both passes, over names with stop words, accents, one word, many and none."""
+    name = F.element_at(F.array(*map(F.lit, _COMPANIES)), (F.col("c_custkey") % 5).cast("int") + 1)
+    return v.customer.select(F.col("c_custkey").alias("id"), F.array_join(t.candidate_domains(name, True), " ").alias("domains"))
 
 
 @query("f25_verify_page")
@@ -236,12 +256,14 @@ def registry_match(v):
     return v.companies.select("id", t.normalize_name(F.col("denomination")).startswith(t.normalize_name(F.col("city"))).alias("prefix_match"))
 
 
-_POSITION = " ".join(f"WHEN regexp_matches(lower(role), '{p}') THEN '{n}'" for n, p in t.POSITIONS)
+_TITLES = ("Directrice DRH", "CHRO", "CFO groupe", "Directeur financier", "CIO", "Directeur des systèmes d'information", "CMO", "Chief Revenue Officer", "Directeur commercial", "Président", "Managing Director", "Chief Operating Officer", "CTO", "assistante")
 
 
-@query("f43_position", f"SELECT id, CASE {_POSITION} END AS position FROM contacts", ("contacts",))
+@query("f43_position", "SELECT c_custkey AS id, CASE c_custkey % 15 WHEN 0 THEN 'drh' WHEN 1 THEN 'drh' WHEN 2 THEN 'daf' WHEN 3 THEN 'daf' WHEN 4 THEN 'dsi' WHEN 5 THEN 'dsi' WHEN 6 THEN 'cmo' WHEN 7 THEN 'cco' WHEN 8 THEN 'cco' WHEN 9 THEN 'ceo' WHEN 10 THEN 'ceo' WHEN 11 THEN 'coo' ELSE 'other' END AS position FROM customer")
 def position(v):
-    return v.contacts.select("id", t.position(F.col("role")).alias("position"))
+    """Titles of every kind, and none (null), dealt over the customers."""
+    title = F.element_at(F.array(*map(F.lit, _TITLES), F.lit(None)), (F.col("c_custkey") % 15).cast("int") + 1)
+    return v.customer.select(F.col("c_custkey").alias("id"), t.position(title).alias("position"))
 
 
 @query("f44_signatures")
@@ -251,10 +273,27 @@ def signatures(v):
     return signed.select("id", c.signature_ok("secret", F.col("payload"), F.col("signature"), F.col("started_at"), late).alias("accepted"))
 
 
-@query("f45_denied_addresses", "SELECT id, ip LIKE '10.%' AS denied FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '10.' ELSE '8.' END || (c_custkey % 250)::VARCHAR || '.3.4' AS ip FROM customer)")
-def denied(v):
-    ip = F.concat(F.when(F.col("c_custkey") % 2 == 0, "10.").otherwise("8."), (F.col("c_custkey") % 250).cast("string"), F.lit(".3.4"))
-    return v.customer.select(F.col("c_custkey").alias("id"), c.ip_denied(ip).alias("denied"))
+_URLS = (
+    "https://example.fr/a", "http://0.1.2.3/", "http://10.9.8.7/x", "http://100.64.0.1/", "http://100.128.0.1/", "http://127.9.9.9:8080/", "http://169.254.1.1/", "http://172.31.255.255/", "http://172.32.0.1/", "http://192.0.0.9/",
+    "http://192.168.3.4/", "http://198.19.0.1/", "http://224.0.0.1/", "http://250.1.1.1/", "http://8.8.8.8/", "http://metadata.google.internal/", "http://user@localhost:80/", "http://[::1]/", "ftp://example.fr/", "file:///etc/hosts", "http://1.2.3/",
+)
+
+
+@query("f45_url_verdicts", "SELECT c_custkey AS id, CASE WHEN c_custkey % 22 IN (0, 4, 8, 14) THEN 'ok' WHEN c_custkey % 22 IN (15, 16, 17) THEN 'host' WHEN c_custkey % 22 IN (18, 19, 21) THEN 'scheme' ELSE 'address' END AS verdict FROM customer")
+def url_verdicts(v):
+    """Addresses in each denied network and beside it, denied hosts, other schemes and null, dealt over the customers."""
+    url = F.element_at(F.array(*map(F.lit, _URLS), F.lit(None)), (F.col("c_custkey") % 22).cast("int") + 1)
+    return v.customer.select(F.col("c_custkey").alias("id"), c.url_verdict(url).alias("verdict"))
+
+
+_BOXES = ("x@trashmail.com", "noreply@site.fr", "webmaster@site.fr", "Marketing@site.fr", "jean.dupont@gmail.com", "jean.dupont@site.fr", "jean.dupont@nowhere.fr", "no address", "x@deadspam.com", "enquiries@site.fr", "x@disposableinbox.com")
+
+
+@query("f21_verdict_branches", "SELECT c_custkey AS id, CASE WHEN c_custkey % 12 IN (0, 8, 10) THEN 'disposable' WHEN c_custkey % 12 IN (1, 2, 3, 9) THEN 'role' WHEN c_custkey % 12 = 4 THEN 'risky' WHEN c_custkey % 12 = 5 THEN 'verified' ELSE 'invalid' END AS verdict FROM customer")
+def verdict_branches(v):
+    """Addresses of every verdict, and null, dealt over the customers."""
+    box = F.element_at(F.array(*map(F.lit, _BOXES), F.lit(None)), (F.col("c_custkey") % 12).cast("int") + 1)
+    return v.customer.select(F.col("c_custkey").alias("id"), c.email_verdict(box, ~box.endswith("nowhere.fr")).alias("verdict"))
 
 
 @query("p30_masking", "SELECT id, CASE WHEN email IS NULL THEN NULL ELSE substr(email, 1, 1) || '***@' || string_split(email, '@')[-1] END AS email, CASE WHEN phone IS NULL THEN NULL ELSE substr(phone, 1, 4) || repeat('*', length(phone) - 6) || right(phone, 2) END AS phone FROM contacts", ("contacts",))

@@ -297,11 +297,13 @@ def emptiest(v):
     return v.companies.groupBy("department_code").agg(F.count("*").alias("companies")).orderBy("companies", F.asc_nulls_first("department_code")).limit(1)
 
 
-@query("l07_timeline", "SELECT * FROM (SELECT 'activity' AS universe, id, occurred_at AS moment FROM activities WHERE person_id < 50 UNION ALL SELECT 'contact' AS universe, o_orderkey AS id, o_orderdate AS moment FROM orders WHERE o_custkey < 50) ORDER BY moment DESC, universe, id LIMIT 200", ("activities",))
+@query("l07_timeline", "SELECT person, universe, id, moment FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY moment DESC, universe, id) AS k FROM (SELECT person_id AS person, 'activity' AS universe, id, occurred_at AS moment FROM activities UNION ALL SELECT o_custkey AS person, 'contact' AS universe, o_orderkey AS id, o_orderdate AS moment FROM orders)) WHERE k <= 200", ("activities",))
 def timeline(v):
-    one = v.activities.where("person_id < 50").select(F.lit("activity").alias("universe"), "id", F.col("occurred_at").alias("moment"))
-    two = v.orders.where("o_custkey < 50").select(F.lit("contact").alias("universe"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("moment"))
-    return one.unionByName(two).orderBy(F.desc("moment"), "universe", "id").limit(200)
+    """Each person's latest 200 rows of both universes."""
+    one = v.activities.select(F.col("person_id").cast("long").alias("person"), F.lit("activity").alias("universe"), "id", F.col("occurred_at").alias("moment"))
+    two = v.orders.select(F.col("o_custkey").cast("long").alias("person"), F.lit("contact").alias("universe"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("moment"))
+    place = F.row_number().over(Window.partitionBy("person").orderBy(F.desc("moment"), "universe", "id"))
+    return one.unionByName(two).withColumn("k", place).where("k <= 200").drop("k")
 
 
 @query("l09_zone_priority", "SELECT department_code, round((1 - complete / total) * (1 - exp(-date_diff('day', last_enriched, DATE '2026-06-30') / 30.0)), 6) AS priority FROM (SELECT department_code, count(*)::DOUBLE AS total, count(*) FILTER (quality_score >= 90) AS complete, max(enriched_on) AS last_enriched FROM companies WHERE department_code IS NOT NULL GROUP BY ALL) ORDER BY priority DESC, department_code LIMIT 50", ("companies",))
