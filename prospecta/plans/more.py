@@ -60,9 +60,12 @@ def due(v):
     return v.runs.where((F.col("status") == "queued") & (F.col("started_at") <= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))).groupBy("campaign_id").agg(F.min("started_at").alias("first_due"))
 
 
-@query("p37_revalidation", "SELECT id FROM media WHERE website IS NOT NULL AND deleted_on IS NULL AND id % 3 <> 2", ("media",))
+@query("p37_revalidation", "SELECT id FROM media m WHERE website IS NOT NULL AND deleted_on IS NULL AND NOT EXISTS (SELECT 1 FROM runs r WHERE r.company_id = m.id AND r.status = 'success')", ("media", "runs"))
 def revalidation(v):
-    return v.media.where(F.col("website").isNotNull() & F.col("deleted_on").isNull() & (F.col("id") % 3 != 2)).select("id")
+    """Sites found that no run has looked at with success."""
+    done = v.runs.where("status = 'success'").select(F.col("company_id").alias("_done")).distinct()
+    found = v.media.where(F.col("website").isNotNull() & F.col("deleted_on").isNull())
+    return found.join(done, F.col("id") == F.col("_done"), "left_anti").select("id")
 
 
 @query("j02_department_fanout", "SELECT c.city, d.n FROM (SELECT DISTINCT city, substr(postcode, 1, 2) AS dep FROM companies WHERE city IS NOT NULL AND postcode IS NOT NULL) c JOIN (SELECT substr(postcode, 1, 2) AS dep, count(*) AS n FROM companies GROUP BY 1) d ON c.dep = d.dep", ("companies",))

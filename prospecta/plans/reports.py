@@ -290,13 +290,22 @@ def steps(v):
     return m.step_campaigns(v.nation.select(F.col("n_nationkey").alias("id"), status.alias("status")), "pause")
 
 
-@query("w01_audit_chain")
+@query(
+    "w01_audit_chain",
+    """SELECT id, link_ok, hash_ok FROM (SELECT id, prev_hash = coalesce(lag(current_hash) OVER (ORDER BY id), repeat('0', 64)) AS link_ok, current_hash = sha256(prev_hash || '|' || payload_hash) AS hash_ok
+ FROM (SELECT *, CASE WHEN id % 50 = 0 THEN 'x' ELSE sha256(prev_hash || '|' || payload_hash) END AS current_hash
+ FROM (SELECT o_orderkey + 1 AS id, sha256((o_orderkey + 1)::VARCHAR) AS payload_hash, CASE WHEN o_orderkey % 2 = 0 THEN repeat('0', 64) ELSE sha256(repeat('0', 64) || '|' || sha256(o_orderkey::VARCHAR)) END AS prev_hash FROM orders)))
+ WHERE NOT (link_ok AND hash_ok)""",
+)
 def chain(v):
-    """A chain over orders whose every 500th row was altered; the rows that break it."""
-    rows = v.orders.select((F.col("o_orderkey") + 1).alias("id"), F.sha2(F.concat_ws("|", "o_orderkey", "o_orderstatus"), 256).alias("payload_hash"))
-    link = lambda i: F.when(i == 0, "0" * 64).otherwise(F.sha2(F.concat(F.lit("row"), i.cast("string")), 256))
-    log = rows.withColumn("prev_hash", link(F.col("id") - 1)).withColumn("current_hash", F.when(F.col("id") % 500 == 0, F.lit("x")).otherwise(link(F.col("id"))))
-    return m.verify_chain(log, shard=1000).select("id", "link_ok", "hash_ok").where("not link_ok")
+    """A log that is linked by pairs of rows and whose every 50th row was altered; the rows that break it."""
+    genesis, key = F.lit("0" * 64), F.col("id").cast("long")
+    payload = lambda i: F.sha2(i.cast("string"), 256)
+    rows = v.orders.select((F.col("o_orderkey") + 1).alias("id"))
+    prev = F.when(key % 2 == 1, genesis).otherwise(F.sha2(F.concat(genesis, F.lit("|"), payload(key - 1)), 256))
+    log = rows.withColumn("payload_hash", payload(key)).withColumn("prev_hash", prev)
+    log = log.withColumn("current_hash", F.when(key % 50 == 0, "x").otherwise(F.sha2(F.concat("prev_hash", F.lit("|"), "payload_hash"), 256)))
+    return m.verify_chain(log, shard=1000)
 
 
 @query("p32_due_outbox", "SELECT event_id, least(60, CAST(pow(2, least(event_id % 9, 6)) AS INT)) AS wait FROM events WHERE event_type IN ('error', 'signup') AND ts <= TIMESTAMP '2024-01-10 00:00:00' ORDER BY ts, event_id LIMIT 100")

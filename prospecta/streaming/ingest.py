@@ -13,26 +13,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources.files import parse_records, split_records
 
 
-def ingest_records(spark: SparkSession, folder: str, out: str, refused: str, checkpoint: str, source: str | None = None) -> None:
-    """Take all new JSONL files of a folder: accepted records are appended once for each run_id, refused lines aside."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        good, bad = split_records(parse_records(batch, source))
-        new = good.dropDuplicates(["run_id"])
-        try:
-            known = spark.read.parquet(out)
-        except Exception as error:  # the first batch: there is no table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            known = None
-        if known is not None:
-            # rows of this same epoch come from an attempt that failed: they are written again
-            new = new.join(known.where(F.col("epoch") != epoch).select("run_id"), "run_id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        bad.write.mode("overwrite").parquet(f"{refused}/epoch={epoch}")
-
-    query = spark.readStream.text(folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+#: State on the executors' disks.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def ingest_records(spark: SparkSession, folder: str, out: str, refused: str, checkpoint: str, source: str | None = None, files: int | None = None) -> None:
+    """Take all new JSONL files of a folder: accepted records are appended once for each run_id, refused lines aside.
+
+    The run_ids seen are keyed state that doesn't expire; ``files`` paces a micro-batch.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", files) if files else spark.readStream
+    good, bad = split_records(parse_records(reader.text(folder), source))
+    before = spark.conf.get(ROCKSDB[0], None)
+    try:
+        spark.conf.set(*ROCKSDB)
+        for rows, path, name in ((good.dropDuplicates(["run_id"]), out, "accepted"), (bad, refused, "refused")):
+            # a batch that is tried again writes over its own rows
+            save = lambda batch, epoch, path=path: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+            rows.writeStream.foreachBatch(save).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(ROCKSDB[0]) if before is None else spark.conf.set(ROCKSDB[0], before)
 
 
 def merge_stream(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], Any]) -> None:
@@ -57,18 +57,20 @@ def distinct_events(events: DataFrame, key: str = "event_id", late: str = "7 day
 
 
 def soft_bounces(events: DataFrame, threshold: int = 3, days: int = 30) -> DataFrame:
-    """(email_hash, at, n) when an address reaches the threshold of soft bounces within a time to live."""
+    """(email_hash, at, n) when an address reaches the threshold of soft bounces within a time to live.
+
+    At most ``threshold`` times are kept for an address; older ones than the time to live don't count.  (A
+    timeout by processing time would keep a run over what is there from ever ending.)
+    """
+    live = days * 86400
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        out = []
-        for frame in frames:
-            for at in sorted(frame["ts"]):
-                at_s = int(at.timestamp())
-                before = len(times)
-                times = [t for t in times if at_s - t < days * 86400] + [at_s]
-                if len(times) >= threshold and before < threshold:
-                    out.append((key[0], at, len(times)))
+        times, out = list(state.get[0]) if state.exists else [], []
+        for at in sorted(at for frame in frames for at in frame["ts"]):  # over all frames of a batch
+            before, now = len(times), int(at.timestamp())
+            times = [t for t in times if now - t < live][-threshold:] + [now]
+            if len(times) >= threshold and before < threshold:
+                out.append((key[0], at, len(times)))
         state.update((times[-threshold:],))
         yield pd.DataFrame(out, columns=["email_hash", "at", "n"]).astype({"at": "datetime64[ns]"})
 
