@@ -55,8 +55,13 @@ class PieceCodec:
         # no merge crosses a pair of characters that stand side by side in no piece
         bonds = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)} - {MARK + MARK}
         letter = re.compile(r"\w")
-        apart = not any(bool(letter.match(x)) != bool(letter.match(y)) for x, y in bonds if x != MARK)
-        self.chunk = re.compile(f"{MARK}*\\w+|{MARK}*[^\\w{MARK}]+|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+")
+        # word characters that some piece has beside another kind; a run with one stays whole up to the next word mark
+        glue = "".join(re.escape(x) for x in sorted({x for bond in bonds if MARK not in bond and bool(letter.match(bond[0])) != bool(letter.match(bond[1])) for x in bond if letter.match(x)}))
+        alone = f"(?![{glue}])" if glue else ""
+        self.chunk = re.compile(f"{MARK}*[^\\W{glue}]++{alone}|{MARK}*[^\\w{MARK}]++{alone}|{MARK}*[^{MARK}]+|{MARK}+")
+        self.names = [str(i) for i in range(n)]
+        #: Text of each piece; none for byte pieces, whose text depends on those beside them.
+        self.shown = [None if i in self.value else "" if i == self.end else p.replace(MARK, " ") for i, p in enumerate(pieces)]
         self.memory: dict[str, tuple[int, str, str]] = {}
         self.prepare_table()
 
@@ -179,24 +184,25 @@ class PieceCodec:
         if len(self.memory) + len(chunks) > REMEMBER:
             self.memory.clear()
         for c, ids in zip(chunks, self.merge_many(chunks), strict=True):
-            text = self.surface(ids)
-            self.memory[c] = (len(ids), " ".join(map(str, ids)), text)
+            self.memory[c] = (len(ids), " ".join([self.names[i] for i in ids]), self.surface(ids))
 
     def surface(self, ids: list[int]) -> str:
         """Text of ids, with word marks as spaces; runs of byte pieces decode as UTF-8."""
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.value:
+        out = [self.shown[i] for i in ids]
+        if None not in out:
+            return "".join(out)
+        whole, run = [], bytearray()
+        for i, shown in zip(ids, out, strict=True):
+            if shown is None:
                 run.append(self.value[i])
                 continue
             if run:
-                out.append(run.decode("utf-8", "replace"))
+                whole.append(run.decode("utf-8", "replace"))
                 run.clear()
-            if i != self.end:
-                out.append(self.pieces[i])
+            whole.append(shown)
         if run:
-            out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")
+            whole.append(run.decode("utf-8", "replace"))
+        return "".join(whole)
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text between which no merge can happen."""
@@ -206,13 +212,12 @@ class PieceCodec:
         """Count, ids and decoded text of each chunk of each text."""
         parts = [self.chunks(t) for t in texts]
         needed = set().union(*parts)
-        new = [c for c in needed if c not in self.memory]
+        new = list(needed.difference(self.memory))
         if new:
             if len(self.memory) + len(new) > REMEMBER:
                 new = list(needed)
             self.learn(new)
-        memory = self.memory
-        return [[memory[c] for c in p] for p in parts]
+        return [list(map(self.memory.__getitem__, p)) for p in parts]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text with the end id."""
@@ -236,10 +241,10 @@ def checked(own: PieceCodec, texts: list[str]) -> list[tuple[int, str, str]]:
     shown = own.library.decode(theirs, num_threads=1) if texts else []
     out = []
     for text, rows, expected, surface in zip(texts, own.rows(texts), theirs, shown, strict=True):
-        ids = " ".join([*(r[1] for r in rows), str(own.end)])
+        ids = " ".join([*[r[1] for r in rows], own.names[own.end]])
         decoded = "".join([r[2] for r in rows])
         decoded = decoded[1:] if decoded.startswith(" ") else decoded
-        if " ".join(map(str, expected)) != ids or surface != decoded:
+        if " ".join([own.names[i] for i in expected]) != ids or surface != decoded:
             raise ValueError(f"library differs on a text that begins {text[:60]!r}")
         out.append((len(expected), ids, decoded))
     return out
