@@ -5,7 +5,7 @@ the best pair merges, its new neighbours enter, until no pair is in the vocabula
 Symbols outside the vocabulary become byte pieces.  No merge crosses a pair of characters
 that no piece has side by side, so a text is encoded by chunks; a batch's new chunks run
 their agendas together as rows of a matrix (long ones on a heap), and a worker remembers
-a bounded number of chunks.  Every whole text of ``coded`` is encoded and decoded by the
+a bounded number of chunks, and of words, which are one or more chunks.  Every whole text of ``coded`` is encoded and decoded by the
 sentencepiece library too; any difference raises.
 
 Cases: null counts as empty, which has the end id only.  Texts of any length are taken
@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
-#: Chunks that a worker remembers.
-REMEMBER = 500_000
+#: Words and chunks of a generation that a worker remembers, and characters of the longest of them.
+REMEMBER, LONG = 500_000, 64
 _codecs: dict[str, PieceCodec] = {}
 
 
@@ -59,10 +60,13 @@ class PieceCodec:
         glue = "".join(re.escape(x) for x in sorted({x for bond in bonds if MARK not in bond and bool(letter.match(bond[0])) != bool(letter.match(bond[1])) for x in bond if letter.match(x)}))
         alone = f"(?![{glue}])" if glue else ""
         self.chunk = re.compile(f"{MARK}*[^\\W{glue}]++{alone}|{MARK}*[^\\w{MARK}]++{alone}|{MARK}*[^{MARK}]+|{MARK}+")
+        self.word = re.compile(f"{MARK}+[^{MARK}]*")
         self.names = [str(i) for i in range(n)]
         #: Text of each piece; none for byte pieces, whose text depends on those beside them.
         self.shown = [None if i in self.value else "" if i == self.end else p.replace(MARK, " ") for i, p in enumerate(pieces)]
-        self.memory: dict[str, tuple[int, str, str]] = {}
+        #: Count and ids of words and chunks; those of the generation before, of which some are still in use.
+        self.memory: dict[str, tuple[int, str]] = {}
+        self.older: dict[str, tuple[int, str]] = {}
         self.prepare_table()
 
     def prepare_table(self) -> None:
@@ -95,10 +99,10 @@ class PieceCodec:
         """
         lengths = np.array([len(c) for c in chunks])
         points, at = np.unique(np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
-        known = np.array([self.ids.get(chr(x), len(self.pieces) + int(x)) for x in points], np.int64)
+        known = np.array([self.ids.get(chr(x), len(self.pieces) + int(x)) for x in points], np.int32)
         width = int(lengths.max()) + 1
         cols = np.arange(width)
-        symbols = np.full((len(chunks), width), -1, np.int64)
+        symbols = np.full((len(chunks), width), -1, np.int32)
         symbols[cols < lengths[:, None]] = known[at]
         scores = np.full((len(chunks), width), NONE, np.int32)
         inner = cols < lengths[:, None] - 1
@@ -179,16 +183,24 @@ class PieceCodec:
                     heapq.heappush(agenda, (-score, h, i, len(symbols[h]) + size))
         return [s for s in symbols if s is not None]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode and remember chunks."""
-        if len(self.memory) + len(chunks) > REMEMBER:
-            self.memory.clear()
-        for c, ids in zip(chunks, self.merge_many(chunks), strict=True):
-            self.memory[c] = (len(ids), " ".join([self.names[i] for i in ids]), self.surface(ids))
+    def learn(self, words: list[str]) -> None:
+        """Encode and remember words, and the chunks that they are made of."""
+        parts = list(map(self.chunk.findall, words))
+        memory, older = self.memory, self.older
+        new = list({c for p in parts for c in p if c not in memory and c not in older})
+        names = self.names
+        for c, ids in zip(new, self.merge_many(new), strict=True):
+            memory[c] = (len(ids), " ".join([names[i] for i in ids]))
+        for w, p in zip(words, parts, strict=True):
+            if len(p) > 1:
+                rows = [memory.get(c) or older[c] for c in p]
+                memory[w] = (sum([r[0] for r in rows]), " ".join([r[1] for r in rows]))
+            elif w not in memory:
+                memory[w] = older[w]
 
     def surface(self, ids: list[int]) -> str:
         """Text of ids, with word marks as spaces; runs of byte pieces decode as UTF-8."""
-        out = [self.shown[i] for i in ids]
+        out = list(map(self.shown.__getitem__, ids))
         if None not in out:
             return "".join(out)
         whole, run = [], bytearray()
@@ -208,16 +220,35 @@ class PieceCodec:
         """Parts of a text between which no merge can happen."""
         return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def rows(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
-        """Count, ids and decoded text of each chunk of each text."""
-        parts = [self.chunks(t) for t in texts]
-        needed = set().union(*parts)
-        new = list(needed.difference(self.memory))
-        if new:
-            if len(self.memory) + len(new) > REMEMBER:
-                new = list(needed)
-            self.learn(new)
-        return [list(map(self.memory.__getitem__, p)) for p in parts]
+    def words(self, text: str) -> list[str]:
+        """Parts of a text that begin with word marks; a word is one or more whole chunks."""
+        if not text:
+            return []
+        if text[0] == " " or "  " in text or MARK in text:
+            return self.word.findall(MARK + text.replace(" ", MARK))
+        return (MARK + text.replace(" ", " " + MARK)).split(" ")
+
+    def rows(self, texts: list[str]) -> list[list[tuple[int, str]]]:
+        """Count and ids of each word of each text.
+
+        When a generation of remembered words is full, it becomes the older one, from which words
+        still in use are taken over; the one before goes.
+        """
+        if len(self.memory) > REMEMBER:
+            self.older, self.memory = self.memory, {}
+        parts = [self.words(t) for t in texts]
+        memory, older = self.memory, self.older
+        out = [list(map(memory.get, p)) for p in parts]
+        needed = {w for p, found in zip(parts, out, strict=True) if None in found for w, r in zip(p, found, strict=True) if r is None}
+        if not needed:
+            return out
+        before = len(memory)
+        memory.update([(w, older[w]) for w in needed if w in older])
+        self.learn([w for w in needed if w not in memory])
+        out = [[r or memory[w] for w, r in zip(p, found, strict=True)] if None in found else found for p, found in zip(parts, out, strict=True)]
+        for w in [w for w in islice(reversed(memory), len(memory) - before) if len(w) > LONG]:
+            del memory[w]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text with the end id."""
@@ -242,8 +273,7 @@ def checked(own: PieceCodec, texts: list[str]) -> list[tuple[int, str, str]]:
     out = []
     for text, rows, expected, surface in zip(texts, own.rows(texts), theirs, shown, strict=True):
         ids = " ".join([*[r[1] for r in rows], own.names[own.end]])
-        decoded = "".join([r[2] for r in rows])
-        decoded = decoded[1:] if decoded.startswith(" ") else decoded
+        decoded = own.decode(expected)
         if " ".join([own.names[i] for i in expected]) != ids or surface != decoded:
             raise ValueError(f"library differs on a text that begins {text[:60]!r}")
         out.append((len(expected), ids, decoded))
