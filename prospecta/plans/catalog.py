@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.views import Views
-from . import feeds, more, reports, scalars, segments  # noqa: F401  (they register their queries)
+from . import feeds, lifecycle, more, reports, scalars, segments  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL
 
 
