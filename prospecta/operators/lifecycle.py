@@ -120,12 +120,13 @@ def mark_ended(media: DataFrame, ends: DataFrame, now: str) -> DataFrame:
 
     Rows without a Wikidata id of the form Q123 come out unchanged; the other keys stay as they are.
     """
-    known = F.from_json(F.coalesce("socials", F.lit("{}")), "map<string,string>")
+    known = F.from_json("socials", "map<string,variant>")  # variants, so that nested values stay as they are
+    word = lambda x: x.cast("string").cast("variant")
     found = ends.where("ended_on IS NOT NULL").groupBy("qid").agg(F.max("ended_on").alias("_end"))
-    rows = media.withColumn("_map", known).withColumn("qid", F.when(F.col("_map")["wikidata_id"].rlike("^Q[0-9]+$"), F.col("_map")["wikidata_id"]))
+    rows = media.withColumn("_map", known).withColumn("qid", F.regexp_extract(F.get_json_object("socials", "$.wikidata_id"), "^Q[0-9]+$", 0)).withColumn("qid", F.when(F.col("qid") != "", F.col("qid")))
     kept = F.map_filter("_map", lambda k, _: ~k.isin("ended_at", "wikidata_status_checked_at"))
-    ended = F.when(F.col("_end").isNotNull(), F.create_map(F.lit("ended_at"), F.col("_end").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
-    marked = F.to_json(F.map_concat(kept, ended, F.create_map(F.lit("wikidata_status_checked_at"), F.lit(now))))
+    ended = F.when(F.col("_end").isNotNull(), F.create_map(F.lit("ended_at"), word(F.col("_end")))).otherwise(F.map_filter("_map", lambda k, _: F.lit(False)))
+    marked = F.to_json(F.map_concat(kept, ended, F.create_map(F.lit("wikidata_status_checked_at"), word(F.lit(now)))))
     return rows.join(found, "qid", "left").withColumn("socials", F.when(F.col("qid").isNotNull(), marked).otherwise(F.col("socials"))).drop("qid", "_map", "_end")
 
 

@@ -43,11 +43,11 @@ def test_a_token_tells_nulls_apart(spark):
 
 
 def test_end_dates_leave_other_keys(spark):
-    texts = ['{"wikidata_id":"Q1","url":"u"}', '{"wikidata_id":"Q2","ended_at":"1990-01-01"}', '{"wikidata_id":"Qx","ended_at":"1990-01-01"}', None, "not json"]
+    texts = ['{"wikidata_id":"Q1","url":"u","n":{"a":[1,null,"x"]}}', '{"wikidata_id":"Q2","ended_at":"1990-01-01"}', '{"wikidata_id":"Qx","ended_at":"1990-01-01"}', None, "not json"]
     media = spark.createDataFrame(list(enumerate(texts)), "id int, socials string")
     ends = spark.createDataFrame([("Q1", "2001-02-03"), ("Q1", "2004-05-06"), ("Q2", None), (None, "2000-01-01")], "qid string, ended_on string")
     got = [r.socials for r in y.mark_ended(media, ends, "now").orderBy("id").collect()]
-    assert json.loads(got[0]) == {"wikidata_id": "Q1", "url": "u", "ended_at": "2004-05-06", "wikidata_status_checked_at": "now"}
+    assert json.loads(got[0]) == {"wikidata_id": "Q1", "url": "u", "n": {"a": [1, None, "x"]}, "ended_at": "2004-05-06", "wikidata_status_checked_at": "now"}
     assert json.loads(got[1]) == {"wikidata_id": "Q2", "wikidata_status_checked_at": "now"}
     assert got[2:] == texts[2:]
 
