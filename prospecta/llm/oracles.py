@@ -29,4 +29,33 @@ r AS (
 SELECT doc_id, size, source_size, target, size * least(3, floor(k * rate + shift) - floor((k - 1) * rate + shift))::BIGINT AS taken FROM r
 """
 
-SQL = {"op7_exact_dedup": _OP7, "op9_source_mixing": _OP9}
+#: CRC-32 of each distinct word: SQL has none, so its table is made from the polynomial.
+_OP11 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+dw AS (SELECT doc_id, unnest(words) AS w FROM d),
+bw AS (SELECT unnest(words) AS w FROM b),
+steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+names AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hex(encode(w))) // 2), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)),
+                            lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT w FROM dw UNION SELECT w FROM bw), steps),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN names USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN names USING (w) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)),
+f AS (SELECT doc_id, sum(gain)::BIGINT AS total, count(*) AS n FROM dw JOIN names USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+w AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - (total % n + n) % n) // n END AS weight,
+         ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN f USING (doc_id)),
+r AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_features >= 20)
+SELECT r.*, CASE WHEN rank <= 10 * (SELECT count(*) FROM o) // 100 THEN rank END AS rank FROM r LEFT JOIN o USING (doc_id)
+"""
+
+SQL = {"op7_exact_dedup": _OP7, "op9_source_mixing": _OP9, "op11_importance_resampling": _OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fm_index, mixing, piece_bpe, ppm, simhash, sketches, suffix_bwt, weak_quality
+from . import chat_format, exact_dedup, fm_index, mixing, piece_bpe, ppm, resampling, simhash, sketches, suffix_bwt, weak_quality
 from .common import number_files
 
 #: Name of the vocabulary file that op3 and the pipeline's last stage use.
@@ -65,8 +65,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_with_edited(documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = number_files(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return resampling.resample(number_files(documents(spark, sf_dir)), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_sentencepiece, op4_quality, op5_suffix_array_dedup, op6_ppm_scores, op7_exact_dedup, op8_simhash, op9_source_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_sentencepiece, op4_quality, op5_suffix_array_dedup, op6_ppm_scores, op7_exact_dedup, op8_simhash, op9_source_mixing, op10_fingerprints, op11_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
