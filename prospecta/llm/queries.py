@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fm_index, mixing, piece_bpe, ppm, resampling, setsketch, simhash, sketches, suffix_bwt, weak_quality
+from . import chat_format, exact_dedup, fm_index, mixing, piece_bpe, ppm, resampling, setsketch, simhash, sketches, suffix_bwt, turn_repair, weak_quality
 from .common import number_files
 
 #: Name of the vocabulary file that op3 and the pipeline's last stage use.
@@ -74,8 +74,12 @@ def op12_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.cluster(number_files(documents(spark, sf_dir))).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(number_files(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_sentencepiece, op4_quality, op5_suffix_array_dedup, op6_ppm_scores, op7_exact_dedup, op8_simhash, op9_source_mixing, op10_fingerprints, op11_importance_resampling, op12_setsketch_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_sentencepiece, op4_quality, op5_suffix_array_dedup, op6_ppm_scores, op7_exact_dedup, op8_simhash, op9_source_mixing, op10_fingerprints, op11_importance_resampling, op12_setsketch_dedup, op13_turn_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
