@@ -13,8 +13,9 @@ Equal sets are one to begin with, so copies cost one row of a sum each.  In a bu
 bands every set is a candidate with the bucket's first one; that is linear in the rows.  What
 these links leave in several components goes on exactly: sets of one bucket that are in
 different components are held against each other, register by register, in blocks of BLOCK by BLOCK
-rows that are tasks' groups of their own.  Pairs within a component need no look, and no pair
-is made into a row but those that pass the estimate.  A link of J at the threshold is missed with
+rows that are tasks' groups of their own.  Those with any candidate meet once more with their
+texts, likeliest pairs first; pairs within a component need no look, and no row is made of a pair
+but of links that join two components.  A link of J at the threshold is missed with
 probability (1 - J**ROWS)**BANDS by the bands (6e-9 at 0.85) and about 3e-7 by the estimate.
 
 Sets are of 64-bit shingle hashes; equal sets are found by two 64-bit sums over them and the size.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW, binary_parts, materialize, mix
-from .simhash import components, shingles_of
+from .simhash import components, find, shingles_of
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 40, 6
@@ -45,6 +46,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 DOUBT = 12.5
 #: Sets that are held against as many others in one group, at most.
 BLOCK = 1024
+#: and of so many shingles in all, about.
+BLOCK_SHINGLES = 2_000_000
 _U = np.uint64
 _CHUNK = 2048  # shingles that meet all hashes at once
 
@@ -133,15 +136,21 @@ def sketches(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.select(ROW, "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{ROW} long, doc_id long, n long, one long, two long, registers binary")
 
 
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each band of each row of registers."""
+    parts = registers.reshape(-1, BANDS, ROWS).astype(_U)
+    total = mix(np.tile(np.arange(1, BANDS + 1, dtype=_U), (len(parts), 1)))
+    for k in range(ROWS):
+        total = mix(total + parts[:, :, k])
+    return total
+
+
 def buckets(sets: DataFrame) -> DataFrame:
     """bucket, set: a row for each band of each of ``sets`` (set, registers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = registers_of(batch.column(1)).reshape(-1, BANDS, ROWS).astype(_U)
-            total = mix(np.tile(np.arange(1, BANDS + 1, dtype=_U), (len(parts), 1)))
-            for k in range(ROWS):
-                total = mix(total + parts[:, :, k])
+            total = band_keys(registers_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array(total.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["bucket", "set"])
 
     return sets.select("set", "registers").mapInArrow(run, "bucket long, set long")
@@ -177,38 +186,91 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
-def across(left: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) in one bucket of ``left`` (bucket, set, root) but of different roots that aren't ruled out.
+def candidates(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (x, y) of a group whose link isn't ruled out, the most equal registers first, and how many are equal.
 
-    A bucket of more than ``block`` sets is cut into blocks by the sets' hash, and each pair of
-    blocks is a group: a set goes to as many groups as there are blocks.
+    Only rows of different roots, the one in the group's first block and the other in its second; a pair that
+    several buckets have is looked at in that of its first equal band only.
+    """
+    own, root, n = (group.column(c).to_numpy() for c in ("own", "root", "n"))
+    kept = registers_of(group.column("registers"))
+    i, j, bucket = (group.column(c)[0].as_py() for c in ("i", "j", "bucket"))
+    band = int(np.flatnonzero(band_keys(kept[:1])[0].view(np.int64) == bucket)[0])
+    ones, others = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    m, p = BANDS * ROWS, percent / 100
+    floor = m * p - 7 * np.sqrt(m * p * (1 - p))  # seven standard deviations below a link's
+    found = [(np.zeros(0, np.int64),) * 3]
+    step = max(1, (1 << 22) // max(1, m * len(others)))
+    for k in range(0, len(ones), step):
+        x = ones[k : k + step]
+        fit = (root[x][:, None] != root[others]) & (100 * np.minimum(n[x][:, None], n[others]) >= percent * np.maximum(n[x][:, None], n[others]))
+        if i == j:
+            fit &= x[:, None] < others
+        at, to = np.nonzero(fit)
+        for c in range(0, len(at), 1 << 14):
+            one, two = x[at[c : c + (1 << 14)]], others[to[c : c + (1 << 14)]]
+            same = kept[one] == kept[two]
+            equal = same.sum(axis=1)
+            near = np.flatnonzero(equal >= floor)
+            near = near[same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            one, two, equal = one[near], two[near], equal[near]
+            above = (kept[one] > kept[two]).sum(axis=1)
+            good = plausible(n[one], n[two], above, m - equal - above, percent)
+            found.append((one[good], two[good], equal[good]))
+    one, two, equal = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(-equal, kind="stable")
+    return one[order], two[order], equal[order]
+
+
+def group_links(group: pa.Table, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between a group's rows, compared on full sets: a spanning forest, as pairs already joined need no look."""
+    one, two, _ = candidates(group, percent)
+    sets = list(shingles_of(*binary_parts(group.column("text")), words))
+    parent = np.unique(group.column("root").to_numpy(), return_inverse=True)[1]
+    first = np.unique(parent, return_index=True)[1]
+    up, a, b = np.arange(len(first)), [], []
+    for x, y in zip(one.tolist(), two.tolist(), strict=True):
+        p, q = find(up, int(parent[x])), find(up, int(parent[y]))
+        if p != q:
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                up[max(p, q)] = min(p, q)
+                a.append(x)
+                b.append(y)
+    of = group.column("set").to_numpy()
+    return of[a], of[b]
+
+
+def across(left: DataFrame, sets: DataFrame, rows: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between sets in one bucket of ``left`` (bucket, set, root) but of different roots.
+
+    A bucket of more than ``block`` sets, or of more than BLOCK_SHINGLES shingles, is cut into blocks by the
+    sets' hash, and each pair of blocks is a group: a set goes to as many groups as there are blocks.
+    Registers say which sets have a candidate at all; only those meet with their texts.
     """
-    counts = left.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sized = left.join(sets.select("set", "n"), "set")
+    counts = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     each = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))))
     dealt = left.join(counts, "bucket").withColumn("own", own).select("bucket", "set", "root", "own", each.alias("e")).select("bucket", "e.i", "e.j", "own", "set", "root")
-    dealt = dealt.join(sets.select("set", "n", "registers"), "set").select("bucket", "i", "j", "own", "set", "root", "n", "registers")
-
-    def compare(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        own, of, root, n = (group.column(c).to_numpy() for c in ("own", "set", "root", "n"))
-        kept = registers_of(group.column("registers"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        first = np.flatnonzero(own == i)
-        for x in first.tolist():
-            others = np.flatnonzero((own == j) & (root != root[x]) & ((of > of[x]) if i == j else True))
-            others = others[100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x])]
-            if len(others):
-                fit = others[plausible(np.full(len(others), n[x]), n[others], (kept[x] > kept[others]).sum(axis=1), (kept[x] < kept[others]).sum(axis=1), percent)]
-                if len(fit):
-                    yield np.full(len(fit), of[x]), of[fit]
+    keys, columns = ["bucket", "i", "j"], ["bucket", "i", "j", "own", "set", "root", "n", "registers"]
+    named = lambda df: df.join(sets.select("set", "n", "registers"), "set")
+    together = lambda df: df.repartition(*keys).sortWithinPartitions(*keys, "set")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def busy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ("bucket", "i", "j")):
+            one, two, _ = candidates(group, percent)
+            if len(one):
+                yield from group.select(columns[:6]).take(pa.array(np.union1d(one, two))).to_batches()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ("bucket", "i", "j")):
-            for a, b in compare(group):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            a, b = group_links(group, words, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    keys = ["bucket", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    some = materialize(together(named(dealt).select(columns)).mapInArrow(busy, "bucket long, i int, j int, own int, set long, root long"), "candidates")
+    texts = rows.select(F.col(ROW).alias("set"), F.col("text").cast("binary").alias("text"))
+    return together(named(some).join(texts, "set").select(*columns, "text")).mapInArrow(link, "a long, b long").distinct()
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -242,8 +304,7 @@ def links(sets: DataFrame, rows: DataFrame, words: int = WORDS, percent: int = P
     placed = shared.where("size > 2 AND head != set").join(components(found).withColumnRenamed("node", "set"), "set", "left").select("bucket", "set", F.coalesce("root", "set").alias("root"))
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     left = materialize(placed.join(open_, "bucket", "left_semi"), "open-buckets")
-    more = verified(materialize(across(left, sets, percent, block), "pairs"), rows, words, percent)
-    return found.unionByName(more)
+    return found.unionByName(across(left, sets, rows, words, percent, block))
 
 
 def grouped(rows: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
