@@ -88,9 +88,3 @@ def windows(v):
     stream = ingest.windowed_counts(_stream(v).withColumn("ts", F.col("ts").cast("timestamp")))
     table = ingest.run_to_table(stream, v.spark, scratch(v.spark), "update")
     return table.groupBy("window_start", "event_type").agg(F.max_by("n", "epoch").alias("n"), F.max_by("total", "epoch").alias("total")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-
-
-@query("st_distinct_events", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def distinct(v):
-    stream = ingest.distinct_events(_stream(v).withColumn("ts", F.col("ts").cast("timestamp")))
-    return ingest.run_to_table(stream.select("event_id", "event_type"), v.spark, scratch(v.spark)).groupBy("event_type").agg(F.count("*").alias("n"))

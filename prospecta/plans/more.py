@@ -278,15 +278,6 @@ def recent(v):
     return v.companies.where(F.datediff(F.lit(AS_OF).cast("date"), "created_on") <= 7).groupBy("workspace_id").agg(F.count("*").alias("recent"))
 
 
-@query("st_soft_bounces", "SELECT email_hash, min(ts) AS at FROM (SELECT user_id::VARCHAR AS email_hash, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events WHERE event_type = 'error') WHERE r = 3 GROUP BY email_hash")
-def bounces(v):
-    from ..streaming import ingest
-    from .feeds import _stream, scratch
-
-    errors = _stream(v).where("event_type = 'error'").select(F.col("user_id").cast("string").alias("email_hash"), "ts")
-    return ingest.run_to_table(ingest.soft_bounces(errors, 3, 3650), v.spark, scratch(v.spark)).groupBy("email_hash").agg(F.min("at").alias("at"))
-
-
 @query("j21_series", "SELECT r_regionkey, s AS step FROM region, (SELECT unnest([1, 2, 3]) AS s)")
 def series(v):
     return v.region.select("r_regionkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("step"))

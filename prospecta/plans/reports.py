@@ -11,6 +11,7 @@ from ..operators import rollups as ru
 from ..sources.views import AS_OF, COMPANY_TAG
 from .registry import query
 from .scalars import _DOMAIN, _HOST, _PUBLIC, _ROOT, SCORE_SQL, scored
+from .streams import FOLD_SQL
 
 TYPES = ("prospect", "client", "presse_media", "partenaire", "investisseur", "conference", "newsletter", "fournisseur")
 STAGES = ("nouveau", "qualifie", "opportunite", "client", "dormant", "perdu")
@@ -212,7 +213,7 @@ def priorities(v):
     return v.companies.select("id", m.merge_relation(F.col("relation_type"), F.lit("prospect")).alias("relation"), m.merge_stage(F.col("lifecycle_stage"), F.lit("opportunite")).alias("stage"), m.merge_legal_basis(F.col("legal_basis"), F.lit("precontractual")).alias("basis"))
 
 
-@query("m04_stage_fold")
+@query("m04_stage_fold", FOLD_SQL)
 def fold(v):
     stage = F.element_at(F.array(*map(F.lit, ("nouveau", "qualifie", "dormant", "client", "opportunite", "qualifie", "perdu"))), (F.col("event_id") % 7 + 1).cast("int"))
     return m.fold_stages(v.events.withColumn("stage", stage), "user_id", "ts", "event_id", "stage")
