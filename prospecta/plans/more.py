@@ -210,11 +210,6 @@ def key_backfill(v):
     return v.contacts.select(key.alias("k")).agg(F.count("*").alias("n_rows"), F.count("k").alias("keyed"), F.count_distinct("k").alias("persons"))
 
 
-@query("m20_clock_repair", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 2 HOUR ELSE ts END AS fixed FROM events")
-def clock(v):
-    return v.events.select("event_id", F.when(F.col("event_id") % 4 == 0, F.col("ts") + F.expr("INTERVAL 2 HOURS")).otherwise(F.col("ts")).alias("fixed"))
-
-
 @query("m21_extract_media", "SELECT id, denomination AS name, substr(naf, 1, 4) AS branch FROM companies WHERE naf LIKE '58%' OR naf LIKE '59%' OR naf LIKE '60%'", ("companies",))
 def extract_media(v):
     return v.companies.where(F.substring("naf", 1, 2).isin("58", "59", "60")).select("id", F.col("denomination").alias("name"), F.substring("naf", 1, 4).alias("branch"))

@@ -340,11 +340,6 @@ def pacing(v):
     return v.runs.where("status = 'queued'").select("id", ((F.row_number().over(Window.partitionBy("source", "company_id").orderBy("id")) - 1) * 30).cast("long").alias("delay"))
 
 
-@query("w06_weighted_pick", "SELECT n_nationkey, CAST(sum(n_regionkey + 1) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS BIGINT) AS upto FROM nation")
-def weighted(v):
-    return v.nation.select("n_nationkey", F.sum((F.col("n_regionkey") + 1).cast("long")).over(Window.partitionBy("n_regionkey").orderBy("n_nationkey").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-
-
 @query("w07_latest_end", "SELECT company_id, max(started_at) AS last_run FROM runs WHERE company_id IS NOT NULL GROUP BY company_id", ("runs",))
 def latest_end(v):
     return v.runs.where(F.col("company_id").isNotNull()).groupBy("company_id").agg(F.max("started_at").alias("last_run"))
