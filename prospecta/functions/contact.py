@@ -27,8 +27,6 @@ COMPOUND_SUFFIXES = (
 )
 #: Statuses of an address that can be written to.
 CONTACTABLE = ("valid", "catchall", "unknown", "role")
-#: Local parts of shared mailboxes.
-ROLE_LOCALS = ("contact", "info", "hello", "support", "sales", "admin", "accueil", "bonjour", "commercial", "rh", "presse", "redaction")
 #: Domains of throw-away addresses.
 DISPOSABLE = (
     "10minutemail.com", "10minutemail.net", "guerrillamail.com", "guerrillamail.net",
@@ -178,18 +176,6 @@ def french_phones(text: Column) -> Column:
     return F.array_distinct(F.transform(extract_phones(text), lambda p: F.regexp_replace(p, r"^\+?33", "0")))
 
 
-def usable_emails(text: Column) -> Column:
-    """Addresses of a page that are no image names, no machine senders and not under false endings."""
-    real = lambda e: ~e.rlike(r"@[0-9]+x\.|\.(png|jpe?g|gif|webp|svg|css|js)$") & ~e.rlike(r"^(no-?reply|donotreply|mailer-daemon|postmaster|abuse)@") & ~e.rlike(r"@(example|sentry|domain)\.")
-    return F.filter(extract_emails(text), real)
-
-
-def classify_email(email: Column) -> Column:
-    """service for shared mailboxes, person for two-part names, else unknown."""
-    local = F.substring_index(F.lower(F.trim(email)), "@", 1)
-    return F.when(F.regexp_replace(local, "[0-9._-].*$", "").isin(*ROLE_LOCALS), "service").when(local.rlike(r"^[a-z]+[._-][a-z]+$"), "person").otherwise("unknown")
-
-
 def email_verdict(email: Column, has_mx: Column) -> Column:
     """Syntax, throw-away domain, shared mailbox, mail host, public provider, in that order."""
     domain, local = email_domain(email), F.substring_index(F.lower(F.trim(email)), "@", 1)
@@ -216,14 +202,6 @@ def email_candidates(first: Column, last: Column, domain: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.array(*forms), lambda x: x.isNotNull()), lambda x: F.concat(x, F.lit("@"), domain)))
 
 
-def pick_email(emails: Column, website: Column) -> Column:
-    """The best of some addresses: the site's own domain first, then the preferred mailboxes, then the order."""
-    root = registrable(site_host(website))
-    rank = lambda e: F.when(registrable(email_domain(e)) == root, 0).otherwise(100) + F.coalesce(F.array_position(F.array(*map(F.lit, ROLE_LOCALS)), F.substring_index(e, "@", 1)).cast("int"), F.lit(0))
-    ranked = F.array_sort(F.transform(emails, lambda e, i: F.struct(rank(e).alias("rank"), i.alias("i"), e.alias("e"))))
-    return F.try_element_at(ranked, F.lit(1))["e"]
-
-
 def mask_email(email: Column) -> Column:
     """a***@domain; *** where there is no local part."""
     at = F.length(email) - F.length(F.substring_index(email, "@", -1)) - 1

@@ -106,13 +106,26 @@ def verify_page(body: Column, siren: Column, name: Column, city: Column) -> Colu
     return F.coalesce(F.contains(F.regexp_replace(text, r"\s", ""), siren), F.lit(False)) | (hits >= 2) | ((hits >= 1) & here)
 
 
+#: The longest outside text that goes into a prompt.
+PROMPT_LIMIT = 8000
+
+
 def scrub_prompt(c: Column) -> Column:
-    """Outside text without control tags and instructions to a model."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?i)</?(system|assistant|user|instruction)[^>]*>", ""), r"(?i)ignore (all |the )?(previous|above) instructions", "[removed]")
+    """Outside text with instructions to a model redacted, backticks as quotes, cut after 8000 characters."""
+    c = F.regexp_replace(c, r"(?i)ignore (?:all|the|previous|prior).*?(?:instructions|rules|prompts)", "[redacted]")
+    c = F.regexp_replace(c, r"(?i)(?:act as|you are now)\s+(?:a\s+)?(?:different|new|root)", "[redacted]")
+    c = F.translate(c, "`", "'")
+    return F.when(F.length(c) > PROMPT_LIMIT, F.concat(F.substring(c, 1, PROMPT_LIMIT), F.lit("…"))).otherwise(c)
 
 
 def render_template(template: Column, values: dict[str, Column]) -> Column:
-    """``{{name}}`` replaced by values; null gives ''."""
-    for name, value in values.items():
-        template = F.replace(template, F.lit("{{" + name + "}}"), F.coalesce(value.cast("string"), F.lit("")))
-    return template
+    """``{{ name }}``, blanks or not, replaced by values; a null or unknown name gives ''. Values named ext_... are scrubbed.
+
+    The template is cut at its names first, so a name within a value stays as it is.
+    """
+    values = {n: scrub_prompt(v.cast("string")) if n.startswith("ext_") else v.cast("string") for n, v in values.items()}
+    name = r"\{\{\s*([a-zA-Z0-9_]+)\s*\}\}"
+    between, asked = F.split(template, name), F.regexp_extract_all(template, F.lit(name), 1)
+    known = F.map_from_arrays(F.array(*[F.lit(n) for n in values]), F.array(*values.values())) if values else F.create_map().cast("map<string,string>")
+    filled = F.transform(asked, lambda n: F.coalesce(F.try_element_at(known, n), F.lit("")))
+    return F.concat(F.array_join(F.transform(filled, lambda v, i: F.concat(F.get(between, i), v)), ""), F.element_at(between, -1))

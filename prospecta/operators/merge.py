@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.mailboxes import consumer
+from .lifecycle import parasite
+
 #: Relation types from the most to the least engaging.
 RELATION_PRIORITY = ("client", "prospect", "investisseur", "partenaire", "presse_media", "conference", "fournisseur", "newsletter")
 #: Ranks of stages that only rise.
@@ -153,14 +156,19 @@ def set_stage(companies: DataFrame, stage: str) -> DataFrame:
     return companies.select("id", "lifecycle_stage", after.alias("new_stage"), (after != stage).alias("refused"))
 
 
-def suppress(current: DataFrame, events: DataFrame, threshold: int = 3) -> DataFrame:
+def suppress(current: DataFrame, events: DataFrame, threshold: int = 3, days: int = 30) -> DataFrame:
     """Suppression list after events (scope, email_hash, reason, at): counts add up, the severest reason stays.
 
-    Soft bounces count only from ``threshold`` on.
+    Soft bounces count only where ``threshold`` of them come within ``days``: one is as near as that to
+    the one ``threshold - 1`` before it.
     """
     severity = {"soft_bounce": 1, "manual": 2, "hard_bounce": 3, "complaint": 4}
-    counted = events.groupBy("scope", "email_hash").agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "soft_bounce").alias("soft"), F.max_by("reason", _rank(F.col("reason"), severity)).alias("worst"), F.min("at").alias("first"), F.max("at").alias("last"))
-    new = counted.where((F.col("worst") != "soft_bounce") | (F.col("soft") >= threshold)).select("scope", "email_hash", F.col("worst").alias("reason"), F.col("n").alias("occurrences"), F.col("first").alias("first_seen"), F.col("last").alias("last_seen"))
+    order = Window.partitionBy("scope", "email_hash").orderBy("at")
+    soft = events.where("reason = 'soft_bounce'").withColumn("_b", F.lag("at", threshold - 1).over(order))
+    near = soft.where(F.col("at").cast("timestamp") < F.col("_b").cast("timestamp") + F.expr(f"INTERVAL {days} DAYS")).select("scope", "email_hash").distinct().withColumn("_near", F.lit(True))
+    counted = events.groupBy("scope", "email_hash").agg(F.count("*").alias("n"), F.max_by("reason", _rank(F.col("reason"), severity)).alias("worst"), F.min("at").alias("first"), F.max("at").alias("last"))
+    counted = counted.join(near, ["scope", "email_hash"], "left")
+    new = counted.where((F.col("worst") != "soft_bounce") | F.col("_near")).select("scope", "email_hash", F.col("worst").alias("reason"), F.col("n").alias("occurrences"), F.col("first").alias("first_seen"), F.col("last").alias("last_seen"))
     return current.unionByName(new).groupBy("scope", "email_hash").agg(F.max_by("reason", _rank(F.col("reason"), severity)).alias("reason"), F.sum("occurrences").alias("occurrences"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
@@ -194,10 +202,26 @@ def subject_export(tables: dict[str, tuple[DataFrame, str]], email: str) -> Data
 
 
 def clean_shared(rows: DataFrame, column: str, threshold: int) -> DataFrame:
-    """Addresses that more than ``threshold`` rows of a workspace share are emptied."""
-    shared = rows.where(F.col(column).isNotNull()).groupBy(F.col("workspace_id").alias("_w"), F.lower(column).alias("_e")).agg(F.count("*").alias("_n")).where(F.col("_n") > threshold)
-    joined = rows.join(shared, (rows["workspace_id"] == shared["_w"]) & (F.lower(rows[column]) == shared["_e"]), "left")
-    return joined.withColumn(column, F.when(F.col("_n").isNull(), F.col(column))).drop("_w", "_e", "_n")
+    """Parasites, and addresses of consumer providers that more than ``threshold`` rows share, are emptied.
+
+    Shared addresses of other domains are right (chains, press kits) and stay.  Deleted rows
+    neither count nor decide, but lose such an address as well.  A row with ``phone`` and ``enrich_status`` that loses its
+    address and has no phone is pending again; the address also leaves the array ``channel_emails`` where there is one.
+    """
+    live = rows.where(F.col(column).isNotNull() & (F.col("deleted_on").isNull() if "deleted_on" in rows.columns else F.lit(True)))
+    counts = live.groupBy(F.lower(column).alias("_e")).agg(F.count("*").alias("_n"))
+    bad = counts.where(parasite(F.col("_e")) | ((F.col("_n") > threshold) & consumer(F.col("_e")))).select("_e")
+    joined = rows.join(bad, F.lower(rows[column]) == bad["_e"], "left")
+    gone = F.col("_e").isNotNull()
+    out = joined.withColumn(column, F.when(~gone, F.col(column)))
+    if {"phone", "enrich_status"} <= set(rows.columns):
+        out = out.withColumn("enrich_status", F.when(gone & F.col("phone").isNull(), "pending").otherwise(F.col("enrich_status")))
+    out = out.drop("_e")
+    if "channel_emails" in rows.columns:
+        each = rows.select("id", F.explode("channel_emails").alias("_x")).join(bad, F.lower("_x") == F.col("_e"), "left_semi").groupBy("id").agg(F.collect_set(F.lower("_x")).alias("_gone"))  # a row's own list
+        left = F.filter("channel_emails", lambda e: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<string>")), F.lower(e)))
+        out = out.join(each, "id", "left").withColumn("channel_emails", left).drop("_gone")
+    return out
 
 
 def verify_chain(log: DataFrame, genesis: str = "0" * 64, shard: int = 100_000) -> DataFrame:

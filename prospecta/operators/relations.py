@@ -136,18 +136,30 @@ def inherit(media: DataFrame, columns: tuple[str, ...] = ("email", "website", "p
 
 
 def match_contacts(incoming: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Each incoming row with contact_id: by external reference, then by address (own company first), then by hash."""
-    first = lambda key, name, order: contacts.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy("workspace_id", key).orderBy(order))).where("_r = 1").select(F.col("workspace_id").alias(f"_w{name}"), F.col(key).alias(f"_k{name}"), F.col("id").alias(f"_i{name}"))
-    refs = first("external_ref", "r", "id")
-    mails = contacts.where(F.col("email").isNotNull()).select(F.col("workspace_id").alias("_wm"), F.lower(F.trim("email")).alias("_km"), F.col("id").alias("_im"), F.col("company_id").alias("_cm"))
-    own = mails.groupBy("_wm", "_km", "_cm").agg(F.min("_im").alias("_own"))
-    any_ = mails.groupBy(F.col("_wm").alias("_wa"), F.col("_km").alias("_ka")).agg(F.min("_im").alias("_any"))
-    mail = F.lower(F.trim(incoming["email"]))
-    out = incoming.join(refs, (incoming["workspace_id"] == F.col("_wr")) & (incoming["external_ref"] == F.col("_kr")), "left")
-    out = out.join(own, (incoming["workspace_id"] == F.col("_wm")) & (mail == F.col("_km")) & (incoming["company_id"] == F.col("_cm")), "left")
-    out = out.join(any_, (incoming["workspace_id"] == F.col("_wa")) & (mail == F.col("_ka")), "left")
-    how = F.when(F.col("_ir").isNotNull(), "external_ref").when(F.col("_own").isNotNull(), "email_same_company").when(F.col("_any").isNotNull(), "email").otherwise("new")
-    return out.withColumn("contact_id", F.coalesce("_ir", "_own", "_any")).withColumn("matched_by", how).drop("_wr", "_kr", "_ir", "_wm", "_km", "_cm", "_own", "_wa", "_ka", "_any")
+    """Each incoming row with contact_id and how it was found, within its workspace.
+
+    By external reference, then person key, then address (own company first), then normalised
+    hash; of several contacts the smallest id.  Columns that either side lacks are passed over.
+    """
+    out, ids = incoming, []
+    for key, name in (("external_ref", "r"), ("person_key", "p"), ("email", "m"), ("normalized_hash", "h")):
+        if key not in incoming.columns or key not in contacts.columns:
+            continue
+        value = (lambda df, key=key: F.lower(F.trim(df[key]))) if key == "email" else (lambda df, key=key: df[key])
+        known = contacts.where(F.col(key).isNotNull()).select(F.col("workspace_id").alias(f"_w{name}"), value(contacts).alias(f"_k{name}"), F.col("company_id").alias(f"_c{name}"), F.col("id").alias(f"_i{name}"))
+        here = (incoming["workspace_id"] == F.col(f"_w{name}")) & (value(incoming) == F.col(f"_k{name}"))
+        if key == "email":
+            own = known.groupBy("_wm", "_km", "_cm").agg(F.min("_im").alias("_own"))
+            out = out.join(own, here & (incoming["company_id"] == F.col("_cm")), "left").drop("_wm", "_km", "_cm")
+            ids.append(("_own", "email_same_company"))
+        least = known.groupBy(f"_w{name}", f"_k{name}").agg(F.min(f"_i{name}").alias(f"_i{name}"))
+        out = out.join(least, here, "left").drop(f"_w{name}", f"_k{name}")
+        ids.append((f"_i{name}", key))
+    matched = F.lit("new")
+    for column, label in reversed(ids):
+        matched = F.when(F.col(column).isNotNull(), label).otherwise(matched)
+    found = F.coalesce(*[F.col(c) for c, _ in ids]) if ids else F.lit(None).cast("long")
+    return out.withColumn("contact_id", found).withColumn("matched_by", matched).drop(*[c for c, _ in ids])
 
 
 def trigrams(c: Column) -> Column:

@@ -179,19 +179,6 @@ def commune(v):
     return v.companies.select("id", place(F.when(F.col("id") % 2 == 0, F.col("postcode")), F.when(F.col("id") % 3 == 0, "75056")).alias("commune"))
 
 
-@query("f38_event_kinds", "SELECT kind, CASE kind WHEN 'newsletter_optin' THEN 'newsletter' WHEN 'opt_out' THEN NULL ELSE 'prospect' END AS relation, CASE kind WHEN 'calendly_booked' THEN 'opportunite' WHEN 'opt_out' THEN 'perdu' WHEN 'form_submission' THEN 'qualifie' ELSE 'nouveau' END AS stage, count(*) AS n FROM activities GROUP BY ALL", ("activities",))
-def kinds(v):
-    kind = F.col("kind")
-    relation = F.when(kind == "newsletter_optin", "newsletter").when(kind == "opt_out", None).otherwise("prospect")
-    stage = F.when(kind == "calendly_booked", "opportunite").when(kind == "opt_out", "perdu").when(kind == "form_submission", "qualifie").otherwise("nouveau")
-    return v.activities.groupBy("kind", relation.alias("relation"), stage.alias("stage")).agg(F.count("*").alias("n"))
-
-
-@query("f41_prompts", "SELECT c_custkey AS id, 'Name: ' || c_name || ' / ' || c_mktsegment AS prompt FROM customer")
-def prompts(v):
-    return v.customer.select(F.col("c_custkey").alias("id"), t.render_template(F.lit("Name: {{name}} / {{segment}}"), {"name": t.scrub_prompt(F.col("c_name")), "segment": F.col("c_mktsegment")}).alias("prompt"))
-
-
 @query("m11_non_diffusible", "SELECT id FROM companies WHERE NOT coalesce(naf LIKE '94%' OR naf LIKE '84%', false)", ("companies",))
 def diffusible(v):
     return m.purge(v.companies, F.col("naf").startswith("94") | F.col("naf").startswith("84")).select("id")

@@ -21,7 +21,8 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), more:
             head = ctes(*views) if views else ""
             if more:
                 head = f"{head}, {more}" if head else f"WITH {more}"
-            SQL[name] = f"{head} {sql}" if head else sql
+            own = f", {sql.removeprefix('WITH ')}" if sql.startswith("WITH ") else f" {sql}"  # CTEs of its own go on with those
+            SQL[name] = f"{head}{own}" if head else sql
         return f
 
     return register

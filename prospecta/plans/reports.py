@@ -249,11 +249,6 @@ def cold(v):
     return m.purge(flagged, (F.col("relation_type") == "prospect") & (F.col("created_on") < F.lit("2025-07-01").cast("date")) & F.col("_p").isNull()).select("id")
 
 
-@query("m12_clean_shared", "SELECT t.id, CASE WHEN n > 3 THEN NULL ELSE email END AS email FROM contacts t LEFT JOIN (SELECT workspace_id, lower(email) AS e, count(*) AS n FROM contacts WHERE email IS NOT NULL GROUP BY ALL) s ON t.workspace_id = s.workspace_id AND lower(t.email) = s.e", ("contacts",))
-def clean(v):
-    return m.clean_shared(v.contacts, "email", 3).select("id", "email")
-
-
 @query("m13_tag_sync", "SELECT company_id, slug, 'add' AS action FROM (SELECT id AS company_id, 'sect:' || sector_main AS slug FROM companies WHERE sector_main IS NOT NULL) d WHERE NOT EXISTS (SELECT 1 FROM company_tag t WHERE t.company_id = d.company_id AND t.slug = d.slug) UNION ALL SELECT company_id, slug, 'remove' FROM company_tag t WHERE assigned_by = 'auto' AND slug NOT LIKE 'src:%' AND NOT EXISTS (SELECT 1 FROM companies c WHERE c.id = t.company_id AND 'sect:' || c.sector_main = t.slug)", ("companies",), COMPANY_TAG)
 def tag_sync(v):
     desired = v.companies.where(F.col("sector_main").isNotNull()).select(F.col("id").alias("company_id"), F.concat(F.lit("sect:"), "sector_main").alias("slug"))
@@ -270,15 +265,6 @@ def recompute(v):
     return scored(v).where(~F.col("quality_score").eqNullSafe(F.col("computed"))).select("id", F.col("quality_score").alias("was"), F.col("computed").alias("becomes"))
 
 
-@query("m23_suppressions", """SELECT 'business' AS scope, h AS email_hash, CASE max(s) WHEN 4 THEN 'complaint' WHEN 3 THEN 'hard_bounce' WHEN 2 THEN 'manual' ELSE 'soft_bounce' END AS reason, count(*) AS occurrences, min(created_on) AS first_seen, max(created_on) AS last_seen FROM (
- SELECT sha256(lower(trim(email))) AS h, CASE WHEN id % 5 = 0 THEN 1 WHEN id % 5 = 1 THEN 3 WHEN id % 5 = 2 THEN 2 ELSE 1 END AS s, created_on FROM contacts WHERE email IS NOT NULL) GROUP BY h HAVING max(s) > 1 OR count(*) >= 3""", ("contacts",))
-def suppressions(v):
-    reason = F.element_at(F.array(*map(F.lit, ("soft_bounce", "hard_bounce", "manual", "soft_bounce", "soft_bounce"))), (F.col("id") % 5 + 1).cast("int"))
-    events = v.contacts.where(F.col("email").isNotNull()).select(F.lit("business").alias("scope"), fingerprint(F.col("email")).alias("email_hash"), reason.alias("reason"), F.col("created_on").alias("at"))
-    none = v.spark.createDataFrame([], "scope string, email_hash string, reason string, occurrences long, first_seen date, last_seen date")
-    return m.suppress(none, events)
-
-
 @query("m27_site_status", "SELECT id, CASE WHEN id % 3 = 0 THEN 'found' WHEN id % 4 = 0 THEN 'dead' WHEN id % 4 = 1 AND id % 5 >= 2 THEN 'exhausted' WHEN id % 4 IN (1, 2) THEN 'not_found' ELSE 'exhausted' END AS status FROM media", ("media",))
 def site(v):
     current = F.element_at(F.array(*map(F.lit, ("found", "not_found", "pending", "exhausted"))), (F.col("id") % 4 + 1).cast("int"))

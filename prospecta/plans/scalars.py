@@ -100,11 +100,6 @@ def phones(v):
     return v.documents.select("doc_id", F.array_join(F.sort_array(c.extract_phones(F.col("text"))), " ").alias("phones"))
 
 
-@query("f17_usable_emails")
-def usable(v):
-    return v.pages.select("page_id", F.array_join(F.sort_array(c.usable_emails(F.col("html"))), " ").alias("emails"))
-
-
 @query("f18_french_phones")
 def french_phones(v):
     return v.documents.select("doc_id", F.array_join(F.sort_array(c.french_phones(F.col("text"))), " ").alias("phones"))
@@ -115,11 +110,6 @@ def html_text(v):
     return v.pages.select("page_id", t.html_text(F.col("html")).alias("body"))
 
 
-@query("f20_classify_email", f"SELECT id, CASE WHEN regexp_replace(string_split(lower(trim(email)), '@')[1], '[0-9._-].*$', '') IN ({', '.join(repr(x) for x in c.ROLE_LOCALS)}) THEN 'service' WHEN regexp_full_match(string_split(lower(trim(email)), '@')[1], '[a-z]+[._-][a-z]+') THEN 'person' ELSE 'unknown' END AS kind FROM media", ("media",))
-def classify_email(v):
-    return v.media.select("id", c.classify_email(F.col("email")).alias("kind"))
-
-
 @query(
     "f21_email_verdict",
     f"""SELECT id, CASE WHEN email IS NULL OR NOT regexp_full_match(trim(email), '{c.EMAIL}') THEN 'invalid' WHEN {_DOMAIN('email')} IN ({', '.join(repr(x) for x in c.DISPOSABLE)}) THEN 'disposable'
@@ -171,12 +161,6 @@ def canonical_url(v):
     return v.companies.select("id", c.canonical_url(F.col("website")).alias("url"))
 
 
-@query("f28_pick_email")
-def pick(v):
-    groups = v.contacts.where(F.col("email").isNotNull()).groupBy("company_id").agg(F.sort_array(F.collect_set(F.lower("email"))).alias("emails"))
-    return groups.join(v.companies.select(F.col("id").alias("company_id"), "website"), "company_id").select("company_id", c.pick_email(F.col("emails"), F.col("website")).alias("best"))
-
-
 _SECTOR = " ".join(f"WHEN d BETWEEN {a} AND {b} THEN '{n}'" for n, spans in k.SECTORS.items() for a, b in spans)
 
 

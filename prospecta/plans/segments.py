@@ -254,20 +254,6 @@ def inherit(v):
     return r.inherit(v.media).select("id", "email", "website", "phone")
 
 
-@query(
-    "j18_contact_identity",
-    """SELECT i.id, coalesce(x.id, o.id, a.id) AS contact_id, CASE WHEN x.id IS NOT NULL THEN 'external_ref' WHEN o.id IS NOT NULL THEN 'email_same_company' WHEN a.id IS NOT NULL THEN 'email' ELSE 'new' END AS matched_by
-FROM (SELECT id, workspace_id, company_id, external_ref, upper(email) AS email FROM contacts WHERE id % 7 = 0) i
-LEFT JOIN (SELECT workspace_id, external_ref, min(id) AS id FROM contacts WHERE external_ref IS NOT NULL AND id % 7 <> 0 GROUP BY ALL) x ON i.workspace_id = x.workspace_id AND i.external_ref = x.external_ref
-LEFT JOIN (SELECT workspace_id, lower(email) AS e, company_id, min(id) AS id FROM contacts WHERE email IS NOT NULL AND id % 7 <> 0 GROUP BY ALL) o ON i.workspace_id = o.workspace_id AND lower(i.email) = o.e AND i.company_id = o.company_id
-LEFT JOIN (SELECT workspace_id, lower(email) AS e, min(id) AS id FROM contacts WHERE email IS NOT NULL AND id % 7 <> 0 GROUP BY ALL) a ON i.workspace_id = a.workspace_id AND lower(i.email) = a.e""",
-    ("contacts",),
-)
-def identity(v):
-    incoming = v.contacts.where("id % 7 = 0").select("id", "workspace_id", "company_id", "external_ref", F.upper("email").alias("email"))
-    return r.match_contacts(incoming, v.contacts.where("id % 7 <> 0")).select("id", "contact_id", "matched_by")
-
-
 @query(
     "j20_similar_names",
     f"""SELECT a_id, b_id, round(n / (an + bn - n), 6) AS similarity FROM (SELECT a.id AS a_id, b.id AS b_id, len(list_intersect(a.g, b.g))::DOUBLE AS n, len(a.g) AS an, len(b.g) AS bn

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prospecta import context
-from prospecta.functions import classify, contact, text
+from prospecta.functions import classify, contact, mailboxes, text
 from prospecta.operators import criteria as cr
 from prospecta.operators import merge, relations, rollups
 from prospecta.sources import files
@@ -130,7 +130,7 @@ def test_places_and_sizes(spark):
 
 def test_addresses(spark):
     page = 'Write to <a href="mailto:Contact@boulangerie-mock.fr">us</a>, 01 42 33 22 11 or logo@2x.png'
-    assert column(spark, [page], contact.usable_emails, "string") == [["contact@boulangerie-mock.fr"]]
+    assert column(spark, [page], mailboxes.usable_emails, "string") == [["contact@boulangerie-mock.fr"]]
     assert column(spark, [page, "+33 1 42 33 22 11"], contact.french_phones) == [["0142332211"], ["0142332211"]]
     assert column(spark, ["ab@c.fr", "nothing", "@x", "", None], contact.mask_email) == ["a***@c.fr", "***", "***", "", None]
     assert column(spark, ["+33612345678", "123", None], contact.mask_phone) == ["+336******78", "***", None]
