@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW, binary_parts, materialize, mix
-from .simhash import components, find, shingles_of
+from .links import components, find, shingles_of
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 40, 6

@@ -30,7 +30,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Rolling, binary_parts, distinct, materialize, mix, number_rows, slices, word_units
+from .common import ROW, materialize, number_rows
+from .links import components, find
+from .setsketch import grouped
 
 WORDS, BITS, SEED = 3, 2, 42
 #: Fingerprints that shape the upper tree, at most.
@@ -39,9 +41,8 @@ SAMPLE = 8192
 SHARD = 60_000
 #: Levels of the upper tree, at most: its nodes are sent to all tasks.
 MOST_LEVELS = 14
-#: Of ``similar``: orders of the shingles, shingles in a sample, and the least Jaccard similarity of a link.
-#: Two texts of that similarity share a sample in some order with probability 1 - (1 - 0.8**3)**8, 0.997.
-BANDS, BAND_SHINGLES, LIKENESS = 8, 3, 0.8
+#: Of ``deduplicate``: the least Jaccard similarity of a link, in a hundred.
+LIKENESS = 80
 _LAST = 2**63 - 1
 
 
@@ -112,13 +113,6 @@ def route(prints: np.ndarray, nodes: list, levels: int, bits: int) -> tuple[np.n
     return index, node, own
 
 
-def find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
 def shard_forest(prints: np.ndarray, own: np.ndarray, bits: int, leaf: int = 192) -> np.ndarray:
     """For each fingerprint, the index of its group's first member in the links that this shard finds."""
     parent = np.arange(len(prints))
@@ -184,37 +178,6 @@ def linked(prints: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame
     return prints.select("fp").mapInArrow(send, "shard int, fp long, own boolean").groupBy("shard").applyInArrow(answer, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of ``edges(a, b)``: root is the least node of the component.
-
-    Alternates two steps, each a grouped minimum: every node points its larger neighbours at
-    its least one, then every node its smaller neighbours.  Ends when nothing changes.
-    """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        sides = both(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        moved = sides.join(least, sides["a"] == least["n"])
-        if large:
-            moved = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            moved = moved.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("n != m").select(F.col("n").alias("a"), F.col("m").alias("b")))
-        return moved.where("a != b").distinct()
-
-    current = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while True:
-        state = current.agg(F.count("*").alias("n"), F.count_distinct("a").alias("nodes"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-        if state["n"] == 0:
-            break
-        following = materialize(star(star(current, True), False), "links")
-        now = following.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-        current = following
-        if (now["n"], now["x"]) == (state["n"], state["x"]):
-            break
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select("b", "b").distinct())
-
-
 def first_of_component(prints: DataFrame, order: Column, bits: int, shard: int) -> DataFrame:
     """fp and the least ``order`` of all rows of ``prints`` reachable over links of ``bits`` bits or fewer, as ``least``."""
     firsts = prints.groupBy("fp").agg(F.min(order).alias("first"))
@@ -231,78 +194,13 @@ def cluster(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = S
     return prints.join(named, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
-def shingles_of(raw: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text, A-Z in lower case; a shorter text is one shingle of all its words."""
-    for i, j in slices(offsets):
-        own = raw[offsets[i] : offsets[j]]
-        own = np.where((own >= 65) & (own <= 90), own + 32, own).astype(np.uint8)
-        values, at, _, _ = word_units(own, offsets[i : j + 1])
-        rolling = Rolling(values)
-        grams = rolling.grams(words)
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if b - a >= words:
-                yield distinct(grams[a : b - words + 1])
-            else:
-                yield rolling.spans(np.array([a]), np.array([b])) if b > a else np.zeros(0, np.uint64)
-
-
-def samples(rows: DataFrame, words: int, bands: int = BANDS, size: int = BAND_SHINGLES) -> DataFrame:
-    """ROW, band, key, place (the text's hash): for each of ``bands`` orders of all shingles, the hash of the text's ``size`` first ones."""
-    seeds = mix(np.arange(1, bands + 1, dtype=np.uint64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, band, key, place = [], [], [], []
-            for row, text, own in zip(batch.column(0).to_pylist(), batch.column(1), shingles_of(*binary_parts(batch.column(1)), words), strict=True):
-                if len(own):
-                    place += [xxhash.xxh64_intdigest(text.as_py()) >> 1] * bands
-                    placed = mix(own[None, :] ^ seeds[:, None])
-                    first = np.sort(np.partition(placed, size - 1, axis=1)[:, :size] if len(own) > size else placed, axis=1)
-                    total = np.zeros(bands, np.uint64)
-                    for k in range(first.shape[1]):
-                        total = mix(total + first[:, k])
-                    ids += [row] * bands
-                    band += range(bands)
-                    key.append(total)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(band, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *key]).view(np.int64)), pa.array(place, pa.int64())], names=[ROW, "band", "key", "place"])
-
-    return rows.select(ROW, F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{ROW} long, band int, key long, place long")
-
-
-def similar(rows: DataFrame, words: int, likeness: float) -> DataFrame:
-    """(a, b): rows whose shingle sets have a Jaccard similarity of ``likeness`` or more, compared in full.
-
-    Rows that share a sample's key are compared with the first and the last of them, by the hash of
-    the text, so that a group of n copies makes at most 2n pairs for each band, not n squared.  Two
-    texts that are alike are missed only if in all of their common groups both differ too much from
-    those two.
-    """
-    keyed = materialize(samples(rows, words), "samples")
-    order = F.struct("place", ROW)
-    heads = materialize(keyed.groupBy("band", "key").agg(F.array_distinct(F.array(F.min(order)[ROW], F.max(order)[ROW])).alias("heads")).where("size(heads) > 1"), "heads")
-    pairs = keyed.join(heads, ["band", "key"]).select(F.explode("heads").alias("a"), F.col(ROW).alias("b")).where("a != b")
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    texts = rows.select(F.col(ROW).alias("row"), F.col("text").cast("binary").alias("text"))
-    one = pairs.join(texts, pairs["a"] == texts["row"]).select("a", "b", F.col("text").alias("x"))
-    both = one.join(texts, one["b"] == texts["row"]).select("a", "b", "x", F.col("text").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(*(shingles_of(*binary_parts(batch.column(c)), words) for c in ("x", "y")), strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(common >= likeness * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def deduplicate(docs: DataFrame, words: int = 5, bits: int = BITS, likeness: float = LIKENESS, seed: int = SEED, shard: int = SHARD) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, bits: int = BITS, likeness: int = LIKENESS, seed: int = SEED, shard: int = SHARD) -> DataFrame:
     """Of each group one row of ``docs``, all columns: that of the smallest doc_id, null ids last.
 
     Rows are linked by fingerprints of ``words``-word shingles within ``bits`` bits, found by the
-    tree, and by ``similar``: at a Jaccard similarity of 0.8 fingerprints of 64 bits differ in
-    some ten, where distances no longer prune the tree.
+    tree, and by a Jaccard similarity of ``likeness`` in a hundred or more of the shingle sets, found
+    by ``setsketch.grouped``: at 0.8 fingerprints of 64 bits differ in some ten, where distances no
+    longer prune the tree.
     """
     rows = number_rows(docs.select(F.struct("*").alias("own")))
     texts = rows.select(ROW, "own.doc_id", "own.text")
@@ -310,7 +208,8 @@ def deduplicate(docs: DataFrame, words: int = 5, bits: int = BITS, likeness: flo
     order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col(ROW))
     named = first_of_component(prints, order, bits, shard)
     near = prints.join(named, "fp").select(F.col(ROW).alias("a"), F.col(f"least.{ROW}").alias("b")).where("a != b")
-    groups = components(materialize(near.unionByName(similar(texts, words, likeness)), "near"))
+    alike = grouped(texts, words, likeness).select(F.col("root").alias("a"), F.col(ROW).alias("b")).where("a != b")
+    groups = components(materialize(near.unionByName(alike), "near"))
     placed = groups.join(prints, groups["node"] == prints[ROW]).select("root", order.alias("order"))
     least = placed.groupBy("root").agg(F.min("order").alias("first"))
     gone = placed.join(least, "root").where(F.col(f"order.{ROW}") != F.col(f"first.{ROW}")).select(F.col(f"order.{ROW}").alias(ROW))

@@ -122,3 +122,17 @@ def test_registers_of_sets_of_other_sizes():
 def test_row_numbers_come_along(spark):
     docs = number_rows(frame(spark, ["a b c d e f", "a b c d e f", "x"]))
     assert {r[ROW] for r in setsketch.cluster(docs).collect()} == {r[ROW] for r in docs.collect()}
+
+
+@pytest.mark.parametrize("share", [0, 50, 80, 85])
+def test_pipeline_stage_loses_no_link(spark, share):
+    """The near dedup of the pipeline on groups of 300 unlike rows: 0.8 and five words, against all pairs."""
+    from prospecta.llm import simhash
+
+    rng = random.Random(100 + share)
+    common, texts = prose(rng, 4 * share), []
+    for _ in range(150):
+        one = common + prose(rng, 400 - 4 * share)
+        texts += [" ".join(one), " ".join(edited(rng, one, rng.choice([1, 4, 6, 8, 40])))]
+    want = [i for i, _, _, kept in brute(texts, 80) if kept]
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(frame(spark, texts)).collect()) == want and len(want) < 230
