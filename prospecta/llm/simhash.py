@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import ROW, materialize, number_rows
 from .links import components, find
-from .setsketch import grouped
+from .setsketch import grouped, verified
 
 WORDS, BITS, SEED = 3, 2, 42
 #: Fingerprints that shape the upper tree, at most.
@@ -197,17 +197,21 @@ def cluster(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = S
 def deduplicate(docs: DataFrame, words: int = 5, bits: int = BITS, likeness: int = LIKENESS, seed: int = SEED, shard: int = SHARD) -> DataFrame:
     """Of each group one row of ``docs``, all columns: that of the smallest doc_id, null ids last.
 
-    Rows are linked by fingerprints of ``words``-word shingles within ``bits`` bits, found by the
-    tree, and by a Jaccard similarity of ``likeness`` in a hundred or more of the shingle sets, found
-    by ``setsketch.grouped``: at 0.8 fingerprints of 64 bits differ in some ten, where distances no
-    longer prune the tree.
+    Rows are linked by a Jaccard similarity of ``likeness`` in a hundred or more of their sets of
+    ``words``-word shingles.  Candidates are rows of equal fingerprints and those within ``bits`` bits, by the tree's
+    forest, which are compared on full sets: among texts with much in common, two bits also come between unlike
+    ones.  At 0.8 fingerprints of 64 bits differ in some ten, where distances no longer prune a tree; those links
+    come from ``setsketch.grouped``.
     """
     rows = number_rows(docs.select(F.struct("*").alias("own")))
     texts = rows.select(ROW, "own.doc_id", "own.text")
     prints = materialize(fingerprints(texts, words, seed, ROW), "fingerprints")
     order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col(ROW))
-    named = first_of_component(prints, order, bits, shard)
-    near = prints.join(named, "fp").select(F.col(ROW).alias("a"), F.col(f"least.{ROW}").alias("b")).where("a != b")
+    firsts = materialize(prints.groupBy("fp").agg(F.min(ROW).alias("first")), "distinct")
+    place = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"row_{c}"))
+    same = prints.join(firsts, "fp").select(F.col("first").alias("a"), F.col(ROW).alias("b")).where("a != b")
+    close = linked(firsts.select("fp"), bits, shard).join(place("a"), "a").join(place("b"), "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    near = verified(materialize(same.unionByName(close), "near"), texts, words, likeness)
     alike = grouped(texts, words, likeness).select(F.col("root").alias("a"), F.col(ROW).alias("b")).where("a != b")
     groups = components(materialize(near.unionByName(alike), "near"))
     placed = groups.join(prints, groups["node"] == prints[ROW]).select("root", order.alias("order"))
