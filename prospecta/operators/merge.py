@@ -172,35 +172,11 @@ def suppress(current: DataFrame, events: DataFrame, threshold: int = 3, days: in
     return current.unionByName(new).groupBy("scope", "email_hash").agg(F.max_by("reason", _rank(F.col("reason"), severity)).alias("reason"), F.sum("occurrences").alias("occurrences"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
-def step_campaigns(campaigns: DataFrame, action: str) -> DataFrame:
-    """Campaigns after an action, and whether each allowed it."""
-    sources, target = CAMPAIGN_STEPS[action]
-    allowed = F.col("status").isin(*sources)
-    return campaigns.withColumn("accepted", allowed).withColumn("status", F.when(allowed, target).otherwise(F.col("status")))
-
-
 def site_status(current: Column, found: Column, passes: Column) -> Column:
     """pending to found or not_found; a second miss is exhausted; a found site that fails is dead."""
     return F.when(found, "found").when(current == "found", "dead").when((current == "not_found") & (passes >= 2), "exhausted").when(current.isin("pending", "not_found"), "not_found").otherwise(current)
 
 
-def erase(tables: dict[str, tuple[DataFrame, str]], prints: DataFrame) -> dict[str, DataFrame]:
-    """Each table without the rows whose address has one of the fingerprints."""
-    from ..functions.contact import fingerprint
-
-    gone = prints.select("email_hash").distinct()
-    return {name: df.join(gone, fingerprint(df[c]) == gone["email_hash"], "left_anti") for name, (df, c) in tables.items()}
-
-
-def subject_export(tables: dict[str, tuple[DataFrame, str]], email: str) -> DataFrame:
-    """(relation, record): everything that is held under an address, as JSON."""
-    parts = [df.where(F.lower(F.trim(df[c])) == email.strip().lower()).select(F.lit(name).alias("relation"), F.to_json(F.struct(*df.columns)).alias("record")) for name, (df, c) in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def clean_shared(rows: DataFrame, column: str, threshold: int) -> DataFrame:
     """Parasites, and addresses of consumer providers that more than ``threshold`` rows share, are emptied.
 

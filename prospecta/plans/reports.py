@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify as k
-from ..functions.contact import fingerprint
 from ..operators import merge as m
 from ..operators import rollups as ru
 from ..sources.views import AS_OF, COMPANY_TAG
@@ -226,17 +225,6 @@ def once(v):
     return m.ingest_once(v.activities.where(known), v.activities.where(~known), "external_ref", "id").select("external_ref", "id")
 
 
-@query("m06_erasure", "SELECT id, company_id FROM contacts WHERE email IS NULL OR sha256(lower(trim(email))) NOT IN (SELECT sha256(lower(trim(email))) FROM opt_out)", ("contacts", "opt_out"))
-def erasure(v):
-    prints = v.opt_out.select(fingerprint(F.col("email")).alias("email_hash"))
-    return m.erase({"contacts": (v.contacts, "email")}, prints)["contacts"].select("id", "company_id")
-
-
-@query("m07_subject_export", "SELECT relation, count(*) AS n FROM (SELECT 'contacts' AS relation FROM contacts WHERE lower(email) = 'q3@gmail.com' UNION ALL SELECT 'opt_out' FROM opt_out WHERE lower(trim(email)) = 'q3@gmail.com') GROUP BY ALL", ("contacts", "opt_out"))
-def export(v):
-    return m.subject_export({"contacts": (v.contacts, "email"), "opt_out": (v.opt_out, "email")}, " Q3@gmail.com").groupBy("relation").agg(F.count("*").alias("n"))
-
-
 @query("m08_retention", "SELECT id FROM contacts WHERE date_diff('day', created_on, DATE '2026-06-30') <= 600", ("contacts",))
 def retention(v):
     return m.purge(v.contacts, F.datediff(F.lit(AS_OF).cast("date"), "created_on") > 600).select("id")
@@ -271,12 +259,6 @@ def site(v):
     return v.media.select("id", m.site_status(current, F.col("id") % 3 == 0, F.col("id") % 5).alias("status"))
 
 
-@query("m31_campaign_steps", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 4 = 1 THEN 'paused' WHEN n_nationkey % 4 = 0 THEN 'draft' WHEN n_nationkey % 4 = 2 THEN 'paused' ELSE 'cancelled' END AS status, n_nationkey % 4 = 1 AS accepted FROM nation")
-def steps(v):
-    status = F.element_at(F.array(*map(F.lit, ("draft", "running", "paused", "cancelled"))), F.col("n_nationkey") % 4 + 1)
-    return m.step_campaigns(v.nation.select(F.col("n_nationkey").alias("id"), status.alias("status")), "pause")
-
-
 @query(
     "w01_audit_chain",
     """SELECT id, link_ok, hash_ok FROM (SELECT id, prev_hash = coalesce(lag(current_hash) OVER (ORDER BY id), repeat('0', 64)) AS link_ok, current_hash = sha256(prev_hash || '|' || payload_hash) AS hash_ok

@@ -19,6 +19,9 @@ AS_OF = "2026-06-30"
 #: Placeholder {ago:x} is the day x days before AS_OF in either dialect.
 _AGO = {"spark": "date_sub(DATE'2026-06-30', CAST({x} AS INT))", "duckdb": "(DATE '2026-06-30' - CAST({x} AS INT))"}
 
+#: Placeholder {sha:x} is the SHA-256 of a text as lower-case hex.
+_SHA = {"spark": "sha2({x}, 256)", "duckdb": "sha256({x})"}
+
 VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "companies": (
         "customer",
@@ -163,10 +166,11 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
 
 
 def _expand(text: str, dialect: str) -> str:
-    while "{ago:" in text:
-        head, _, rest = text.partition("{ago:")
-        inner, _, tail = rest.partition("}")
-        text = head + _AGO[dialect].format(x=inner) + tail
+    for name, forms in (("ago", _AGO), ("sha", _SHA)):
+        while f"{{{name}:" in text:
+            head, _, rest = text.partition(f"{{{name}:")
+            inner, _, tail = rest.partition("}")
+            text = head + forms[dialect].format(x=inner) + tail
     return text
 
 
