@@ -64,9 +64,10 @@ class PieceCodec:
         self.names = [str(i) for i in range(n)]
         #: Text of each piece; none for byte pieces, whose text depends on those beside them.
         self.shown = [None if i in self.value else "" if i == self.end else p.replace(MARK, " ") for i, p in enumerate(pieces)]
-        #: Count and ids of words and chunks; those of the generation before, of which some are still in use.
-        self.memory: dict[str, tuple[int, str]] = {}
-        self.older: dict[str, tuple[int, str]] = {}
+        #: Count, ids and decoded text of words and chunks; those of the generation before, of which some are still in use.
+        #: A character is byte pieces as a whole, so chunks decode apart.
+        self.memory: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
         self.prepare_table()
 
     def prepare_table(self) -> None:
@@ -190,31 +191,26 @@ class PieceCodec:
         new = list({c for p in parts for c in p if c not in memory and c not in older})
         names = self.names
         for c, ids in zip(new, self.merge_many(new), strict=True):
-            memory[c] = (len(ids), " ".join([names[i] for i in ids]))
+            memory[c] = (len(ids), " ".join([names[i] for i in ids]), self.surface(ids))
         for w, p in zip(words, parts, strict=True):
             if len(p) > 1:
                 rows = [memory.get(c) or older[c] for c in p]
-                memory[w] = (sum([r[0] for r in rows]), " ".join([r[1] for r in rows]))
+                memory[w] = (sum([r[0] for r in rows]), " ".join([r[1] for r in rows]), "".join([r[2] for r in rows]))
             elif w not in memory:
                 memory[w] = older[w]
 
     def surface(self, ids: list[int]) -> str:
         """Text of ids, with word marks as spaces; runs of byte pieces decode as UTF-8."""
         out = list(map(self.shown.__getitem__, ids))
-        if None not in out:
-            return "".join(out)
-        whole, run = [], bytearray()
-        for i, shown in zip(ids, out, strict=True):
-            if shown is None:
-                run.append(self.value[i])
-                continue
-            if run:
-                whole.append(run.decode("utf-8", "replace"))
-                run.clear()
-            whole.append(shown)
-        if run:
-            whole.append(run.decode("utf-8", "replace"))
-        return "".join(whole)
+        at = out.index(None) if None in out else len(out)
+        while at < len(out):
+            end = at + 1
+            while end < len(out) and out[end] is None:
+                end += 1
+            # the run's text stands in its first place
+            out[at:end] = [bytes(map(self.value.__getitem__, ids[at:end])).decode("utf-8", "replace"), *[""] * (end - at - 1)]
+            at = out.index(None, end) if None in islice(out, end, None) else len(out)
+        return "".join(out)
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text between which no merge can happen."""
@@ -228,8 +224,8 @@ class PieceCodec:
             return self.word.findall(MARK + text.replace(" ", MARK))
         return (MARK + text.replace(" ", " " + MARK)).split(" ")
 
-    def rows(self, texts: list[str]) -> list[list[tuple[int, str]]]:
-        """Count and ids of each word of each text.
+    def rows(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
+        """Count, ids and decoded text of each word of each text.
 
         When a generation of remembered words is full, it becomes the older one, from which words
         still in use are taken over; the one before goes.
@@ -273,8 +269,8 @@ def checked(own: PieceCodec, texts: list[str]) -> list[tuple[int, str, str]]:
     out = []
     for text, rows, expected, surface in zip(texts, own.rows(texts), theirs, shown, strict=True):
         ids = " ".join([*[r[1] for r in rows], own.names[own.end]])
-        decoded = own.decode(expected)
-        if " ".join([own.names[i] for i in expected]) != ids or surface != decoded:
+        decoded = "".join([r[2] for r in rows]).removeprefix(" ")
+        if " ".join(map(own.names.__getitem__, expected)) != ids or surface != decoded:
             raise ValueError(f"library differs on a text that begins {text[:60]!r}")
         out.append((len(expected), ids, decoded))
     return out
