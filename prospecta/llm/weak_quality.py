@@ -10,7 +10,8 @@ statistics, which decides: a document stays if its score is at least ``threshold
 
 The votes, pattern counts and scores cover all documents and whole texts.  The scorer is
 fitted on a bounded sample of labelled rows: SAMPLE documents, or all if there are fewer,
-those with the smallest hash of doc_id and text size.
+those with the smallest hash of doc_id and text.  Rows beyond the bound stop at the tasks
+that read them, also where many have no id or one text.
 
 Cases: null text counts as empty.  Texts of few words get abstentions, so the prior
 decides, and they stay unless their trigrams speak against it.  Repeated rows get equal
@@ -229,6 +230,14 @@ class Model:
         return np.concatenate(found), np.concatenate(weak)
 
 
+def sampled(source: DataFrame, total: int, sample: int = SAMPLE) -> DataFrame:
+    """``sample`` rows of ``source(doc_id, text)`` with the smallest hash, in order: a top-k of each task, then of those."""
+    place = F.pmod("_hash", F.lit(1 << 30))
+    share = 1.0 if total <= sample else min(1.0, (1.2 * sample + 100) / total)
+    rows = source.withColumn("_hash", F.xxhash64("doc_id", "text")).where(place <= int(share * (1 << 30)))
+    return rows.orderBy(place, "_hash", "doc_id").limit(sample).select("doc_id", "text", place.alias("place"), F.col("_hash").alias("hash"))
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Estimate the labellers on all of ``docs(doc_id, text)`` and fit the scorer on the sample."""
     source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -244,12 +253,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     prior, accuracy, post = estimate(codes, np.array([r["n"] for r in rows], np.float64), start=START, most_false=START[0])
     known = dict(zip(codes.tolist(), post.tolist(), strict=True))
     total = sum(r["n"] for r in rows)
-    place = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 30))
-    share = 1.0 if total <= sample else (1.2 * sample + 100) / total
-    chosen = source.where(place <= int(share * (1 << 30))).withColumn("place", place)
+    chosen = sampled(source, total, sample)
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("place", "ascending"), ("doc_id", "ascending")]).slice(0, sample)
+        table = table.sort_by([("place", "ascending"), ("hash", "ascending"), ("doc_id", "ascending")])
         raw, offsets = binary_parts(table.column("text"))
         labels = np.concatenate([np.zeros(0), *(np.array([known.get(int(p), prior) for p in pack(votes(statistics(*own)))]) for own in each_slice(table.column("text").combine_chunks()))])
         return pa.table({"weights": pa.array([fit(raw, offsets, labels).tobytes()], pa.binary())})

@@ -107,6 +107,20 @@ def test_quality_of_odd_texts(spark):
     assert weak_quality.classify(empty(spark)).count() == 0 and weak_quality.keep_good(empty(spark)).count() == 0
 
 
+def test_sample_is_bounded_where_rows_share_id_and_text(spark):
+    """Rows without ids, of one length or of one text, enter up to the bound, not all or none."""
+    rows = [(None, "abc")] * 4000 + [(None, "") for _ in range(3000)] + [(None, f"{i:03d}") for i in range(1000)] + [(i, f"text {i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    source = docs.selectExpr("doc_id", "cast(text AS binary) AS text")
+    assert weak_quality.sampled(source, len(rows), 500).count() <= 500
+    assert weak_quality.sampled(source, 400, 500).count() == 500
+    assert "TakeOrderedAndProject" in weak_quality.sampled(source, len(rows), 500)._jdf.queryExecution().toString()
+    spread = docs.where("text rlike '^[0-9]+$'").selectExpr("doc_id", "cast(text AS binary) AS text")
+    assert weak_quality.sampled(spread, 1000, 100).count() == 100
+    first, again = (weak_quality.train(docs.repartition(n), 200).weights for n in (3, 7))
+    assert (first == again).all()
+
+
 def test_markers():
     for line, role in [("User: hi", 1), ("### Assistant:", 2), ("<|system|>", 0), ("[bot] ok", 2), ("**Q:** why", 1), ("plain text: no", 3), ("a walk", 3), ("A: yes", 2)]:
         assert chat_format.read_line(line)[0] == role
