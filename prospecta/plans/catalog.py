@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.views import Views
-from . import feeds, lifecycle, mailboxes, more, people, reports, scalars, segments, stored, streams  # noqa: F401  (they register their queries)
+from . import feeds, lifecycle, mailboxes, more, pending, people, reports, scalars, segments, stored, streams  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL
 
 

@@ -32,13 +32,6 @@ def bindings(v):
     return fold_bindings(rows).select("qid", "genre", F.size("people").cast("long").alias("people"))
 
 
-@query("s21_place_flatten", "SELECT event_id, 'u' || user_id::VARCHAR AS name, value AS rating FROM events WHERE event_type = 'view'")
-def places(v):
-    doc = F.to_json(F.named_struct(F.lit("displayName"), F.named_struct(F.lit("text"), F.concat(F.lit("u"), F.col("user_id").cast("string"))), F.lit("rating"), F.col("value")))
-    place = F.parse_json(doc)
-    return v.events.where("event_type = 'view'").select("event_id", F.variant_get(place, "$.displayName.text", "string").alias("name"), F.variant_get(place, "$.rating", "double").alias("rating"))
-
-
 @query("p23_candidates", "SELECT id FROM contacts WHERE legal_basis = 'consent' AND (lower(last_name) LIKE 'nom2%' OR lower(email) LIKE 'q1%')", ("contacts",))
 def candidates(v):
     return v.contacts.where((F.col("legal_basis") == "consent") & (F.lower("last_name").startswith("nom2") | F.lower("email").startswith("q1"))).select("id")
@@ -49,12 +42,6 @@ def cooldown(v):
     return v.companies.where(F.col("department_code").isNotNull() & (F.col("created_on") >= F.lit("2026-06-29").cast("date")) & F.col("naf").startswith("1")).select("department_code").distinct()
 
 
-@query("p35_places_retry", "SELECT event_id FROM events WHERE json_extract(props, '$.k') IS NOT NULL AND CAST(json_extract(props, '$.k') AS INT) % 10 = 0")
-def places_retry(v):
-    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
-    return v.events.where(k.isNotNull() & (k % 10 == 0)).select("event_id")
-
-
 @query("p36_due_campaigns", "SELECT campaign_id, min(started_at) AS first_due FROM runs WHERE status = 'queued' AND started_at <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY campaign_id", ("runs",))
 def due(v):
     return v.runs.where((F.col("status") == "queued") & (F.col("started_at") <= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))).groupBy("campaign_id").agg(F.min("started_at").alias("first_due"))
@@ -208,13 +195,6 @@ def outbox(v):
     return v.events.where("event_type = 'purchase'").select("event_id", F.when(attempts >= 7, "given_up").when(F.col("event_id") % 2 == 0, "sent").otherwise("failed").alias("status"))
 
 
-@query("m25_arbitration", "SELECT CASE WHEN c.id IS NULL THEN 'dismissed' ELSE 'attached' END AS decision, count(*) AS n FROM (SELECT event_id, user_id * 3 AS company_id FROM events WHERE event_type = 'click') e LEFT JOIN companies c ON e.company_id = c.id GROUP BY 1", ("companies",))
-def arbitration(v):
-    pending = v.events.where("event_type = 'click'").select("event_id", (F.col("user_id") * 3).alias("id"))
-    known = v.companies.select("id", F.lit(True).alias("known"))
-    return pending.join(known, "id", "left").groupBy(F.when(F.col("known"), "attached").otherwise("dismissed").alias("decision")).agg(F.count("*").alias("n"))
-
-
 @query("m28_media_mail", f"SELECT m.id, CASE WHEN coalesce(m.email, '') = '' THEN 'contact@' || {_ROOT(_HOST('m.website'))} ELSE m.email END AS email FROM media m", ("media",))
 def media_mail(v):
     guess = F.concat(F.lit("contact@"), c.registrable(c.site_host(F.col("website"))))
