@@ -235,13 +235,15 @@ class PieceCodec:
         parts = [self.words(t) for t in texts]
         memory, older = self.memory, self.older
         out = [list(map(memory.get, p)) for p in parts]
-        needed = {w for p, found in zip(parts, out, strict=True) if None in found for w, r in zip(p, found, strict=True) if r is None}
+        lacking = [i for i, found in enumerate(out) if None in found]
+        needed = set().union(*[set(parts[i]).difference(memory) for i in lacking])
         if not needed:
             return out
         before = len(memory)
         memory.update([(w, older[w]) for w in needed if w in older])
         self.learn([w for w in needed if w not in memory])
-        out = [[r or memory[w] for w, r in zip(p, found, strict=True)] if None in found else found for p, found in zip(parts, out, strict=True)]
+        for i in lacking:
+            out[i] = list(map(memory.__getitem__, parts[i]))
         for w in [w for w in islice(reversed(memory), len(memory) - before) if len(w) > LONG]:
             del memory[w]
         return out
