@@ -3,10 +3,12 @@
 Encoding is our own: an agenda of adjacent symbol pairs ordered by score, then position;
 the best pair merges, its new neighbours enter, until no pair is in the vocabulary.
 Symbols outside the vocabulary become byte pieces.  No merge crosses a pair of characters
-that no piece has side by side, so a text is encoded by chunks; a batch's new chunks run
-their agendas together as rows of a matrix (long ones on a heap), and a worker remembers
-a bounded number of chunks, and of words, which are one or more chunks.  Every whole text of ``coded`` is encoded and decoded by the
-sentencepiece library too; any difference raises.
+that no piece has side by side, so a text is cut there into chunks, which are encoded
+apart.  All of it goes by blocks of texts in arrays: chunks are named by 64-bit hashes, those
+that a worker doesn't remember run their agendas together as rows of a matrix (long ones on
+a heap), and ids are gathered for all chunks at once.  What is remembered has a fixed size.
+Every whole text of ``coded`` is encoded and decoded by the sentencepiece library too; any
+difference raises, also one by two chunks with one hash.
 
 Cases: null counts as empty, which has the end id only.  Texts of any length are taken
 whole.  Other columns are not touched by ``encode``.  Empty tables give no rows.
@@ -16,9 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,55 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix
+
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
-#: Words and chunks of a generation that a worker remembers, and characters of the longest of them.
-REMEMBER, LONG = 500_000, 64
+#: Chunks that a worker remembers (a power of two), and the most ids of one of them.
+REMEMBER, MOST_IDS = 1 << 19, 8
+#: Characters of the longest chunk that goes into a matrix.
+LONG = 64
+#: Characters of a block of texts, about.
+BLOCK = 500_000
 _codecs: dict[str, PieceCodec] = {}
 
 
+def hash_of(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit names of runs of code points that follow one another: sums of all points, each mixed with its place in the run."""
+    place = np.arange(len(points)) - np.repeat(starts, lengths)
+    return mix(np.add.reduceat(mix(((place << 21) + points + 1).view(np.uint64)), starts))
+
+
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Memory:
+    """Ids of chunks by hash.  Each hash has one place; the chunk that came last has it."""
+
+    def __init__(self, places: int = REMEMBER, most: int = MOST_IDS):
+        self.hashes, self.counts, self.ids = np.zeros(places, np.uint64), np.zeros(places, np.uint8), np.zeros((places, most), np.int32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash, and whether its chunk is there."""
+        place = (hashes & np.uint64(len(self.hashes) - 1)).astype(np.int64)
+        return place, (self.hashes[place] == hashes) & (self.counts[place] > 0)
+
+    def put(self, hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+        """Remember chunks, whose ids are runs of ``ids``; those of more than the most ids are passed over."""
+        fit = np.flatnonzero(counts <= self.ids.shape[1])
+        place, one = np.unique(self.find(hashes[fit])[0], return_index=True)
+        fit = fit[one]
+        cols = np.arange(self.ids.shape[1])
+        self.hashes[place], self.counts[place] = hashes[fit], counts[fit]
+        self.ids[place] = ids[np.minimum(starts[fit][:, None] + cols, max(0, len(ids) - 1))] if len(fit) else 0
+
+    def __setitem__(self, chunk: str, row: tuple[int, str, str]) -> None:
+        """``row``: count, ids and text of a chunk; its ids are kept."""
+        points, ids = points_of(chunk), np.array(row[1].split(), np.int32)
+        self.put(hash_of(points, np.array([0]), np.array([len(points)])), ids, np.array([0]), np.array([len(ids)]))
+
+
 class PieceCodec:
     """Encoder and decoder of one model file."""
 
@@ -53,21 +95,14 @@ class PieceCodec:
         self.end = self.library.eos_id()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces with an inner word mark: chunks can't be encoded apart")
-        # no merge crosses a pair of characters that stand side by side in no piece
-        bonds = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)} - {MARK + MARK}
-        letter = re.compile(r"\w")
-        # word characters that some piece has beside another kind; a run with one stays whole up to the next word mark
-        glue = "".join(re.escape(x) for x in sorted({x for bond in bonds if MARK not in bond and bool(letter.match(bond[0])) != bool(letter.match(bond[1])) for x in bond if letter.match(x)}))
-        alone = f"(?![{glue}])" if glue else ""
-        self.chunk = re.compile(f"{MARK}*[^\\W{glue}]++{alone}|{MARK}*[^\\w{MARK}]++{alone}|{MARK}*[^{MARK}]+|{MARK}+")
-        self.word = re.compile(f"{MARK}+[^{MARK}]*")
+        # no merge crosses a pair of characters that stand side by side in no piece; pairs by hash: others there only make longer chunks
+        self.bonds = np.zeros(1 << 20, bool)
+        bonds = np.array(sorted({(ord(a), ord(b)) for p in self.ids for a, b in zip(p, p[1:], strict=False)}), np.uint32).reshape(-1, 2)
+        self.bonds[self.bond(bonds[:, 0], bonds[:, 1])] = True
         self.names = [str(i) for i in range(n)]
-        #: Text of each piece; none for byte pieces, whose text depends on those beside them.
-        self.shown = [None if i in self.value else "" if i == self.end else p.replace(MARK, " ") for i, p in enumerate(pieces)]
-        #: Count, ids and decoded text of words and chunks; those of the generation before, of which some are still in use.
-        #: A character is byte pieces as a whole, so chunks decode apart.
-        self.memory: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        #: Bytes of each piece's text.
+        self.raw = [bytes([self.value[i]]) if i in self.value else b"" if i == self.end else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.memory = Memory()
         self.prepare_table()
 
     def prepare_table(self) -> None:
@@ -78,38 +113,58 @@ class PieceCodec:
         keys = table[:, 0] << 32 | table[:, 1]
         order = np.argsort(keys)
         self.pair_keys, self.pair_piece = keys[order], table[order, 2]
+        # most pairs have a place of their own by hash; the sorted keys are for places that several pairs share
+        self.place_key, self.place_piece, self.shared = np.full(1 << 19, -1, np.int64), np.full(1 << 19, -1, np.int32), np.zeros(1 << 19, bool)
+        place, first, size = np.unique(self.place(table[:, 0], table[:, 1]), return_index=True, return_counts=True)
+        self.place_key[place], self.place_piece[place], self.shared[place] = keys[first], table[first, 2], size > 1
         order_of = {x: k for k, x in enumerate(sorted({self.scores[p] for p in self.ids}, reverse=True))}
         self.priority = np.full(n, NONE, np.int32)
         for p, i in self.ids.items():
             self.priority[i] = order_of[self.scores[p]]
+        #: Symbol of each code point: its piece, or a number from len(pieces) on.
+        self.symbol = np.arange(n, n + 0x110000, dtype=np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+
+    @staticmethod
+    def bond(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(12)
+
+    @staticmethod
+    def place(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left.astype(np.uint32) * np.uint32(0x9E3779B1) + right.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(13)
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Piece that two symbols make, or -1."""
         key = left.astype(np.int64) << 32 | right.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_piece[at], -1)
+        at = self.place(left, right)
+        piece = np.where(self.place_key[at] == key, self.place_piece[at], -1)
+        rest = np.flatnonzero((piece < 0) & self.shared[at])
+        if len(rest):
+            near = np.minimum(np.searchsorted(self.pair_keys, key[rest]), len(self.pair_keys) - 1)
+            piece[rest] = np.where(self.pair_keys[near] == key[rest], self.pair_piece[near], -1)
+        return piece
 
     def agenda(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         piece = self.pair(left, right)
         return np.where(piece >= 0, self.priority[piece], NONE).astype(np.int32)
 
-    def merge_block(self, chunks: list[str]) -> list[list[int]]:
-        """Symbols of chunks of like length: each row's agenda gives up its best pair, leftmost of equals, round by round.
+    def merge_block(self, known: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of chunks of like length, one after the other, and their counts: each row's agenda gives up its best
+        pair, leftmost of equals, round by round.  ``known``: the symbols of their characters.
 
         A number from len(pieces) on stands for a character outside the vocabulary.
         """
-        lengths = np.array([len(c) for c in chunks])
-        points, at = np.unique(np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
-        known = np.array([self.ids.get(chr(x), len(self.pieces) + int(x)) for x in points], np.int32)
         width = int(lengths.max()) + 1
         cols = np.arange(width)
-        symbols = np.full((len(chunks), width), -1, np.int32)
-        symbols[cols < lengths[:, None]] = known[at]
-        scores = np.full((len(chunks), width), NONE, np.int32)
+        symbols = np.full((len(lengths), width), -1, np.int32)
+        symbols[cols < lengths[:, None]] = known
+        scores = np.full((len(lengths), width), NONE, np.int32)
         inner = cols < lengths[:, None] - 1
         r, c = np.nonzero(inner)
         scores[r, c] = self.agenda(symbols[r, c], symbols[r, c + 1])
-        live = np.arange(len(chunks))
+        live = np.arange(len(lengths))
         s, a = symbols, scores
         while len(live):
             best = a.argmin(axis=1)
@@ -131,28 +186,41 @@ class PieceCodec:
             a[rows, best] = np.where(right >= 0, self.agenda(made, right), NONE)
             had = best > 0
             a[rows[had], best[had] - 1] = self.agenda(s[rows[had], best[had] - 1], made[had])
-        counts = (symbols >= 0).sum(axis=1)
-        flat, out, start = symbols[symbols >= 0].tolist(), [], 0
-        for n in counts.tolist():
-            out.append(flat[start : start + n])
-            start += n
-        return out
+        return symbols[symbols >= 0], (symbols >= 0).sum(axis=1)
 
-    def merge_many(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of chunks, in blocks of like length; very long ones by a heap each."""
-        out: list[list[int]] = [[] for _ in chunks]
-        order = sorted(range(len(chunks)), key=lambda i: len(chunks[i]))
-        short = [i for i in order if len(chunks[i]) <= 64]
-        limit = len(self.pieces)
+    def merge_runs(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of chunks in blocks of like length, very long ones by a heap each: all ids, and each chunk's first and count."""
+        order = np.argsort(lengths, kind="stable")
+        short = order[: int(np.searchsorted(lengths[order], LONG, side="right"))]
+        limit, found, counts = len(self.pieces), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for k in range(0, len(short), 4096):
             block = short[k : k + 4096]
-            for i, ids in zip(block, self.merge_block([chunks[i] for i in block]), strict=True):
-                out[i] = ids if max(ids) < limit else [x for y in ids for x in ([y] if y < limit else [self.byte[b] for b in chr(y - limit).encode("utf-8", "surrogatepass")])]
-        for i in order[len(short) :]:
-            for s in self.merged_by_heap(chunks[i]):
+            n = lengths[block]
+            ends = np.cumsum(n)
+            symbols, count = self.merge_block(self.symbol[points[np.arange(ends[-1]) + np.repeat(starts[block] - ends + n, n)]], n)
+            if symbols.max() >= limit:  # characters outside the vocabulary
+                parts = [[y] if y < limit else [self.byte[b] for b in chr(y - limit).encode("utf-8", "surrogatepass")] for y in symbols.tolist()]
+                count = np.add.reduceat(np.array([len(x) for x in parts]), np.cumsum(count) - count)
+                symbols = np.array([x for part in parts for x in part], np.int32)
+            found.append(symbols)
+            counts.append(count)
+        for i in order[len(short) :].tolist():
+            ids: list[int] = []
+            for s in self.merged_by_heap(points[starts[i] : starts[i] + lengths[i]].tobytes().decode("utf-32-le", "surrogatepass")):
                 one = self.ids.get(s)
-                out[i] += [self.byte[b] for b in s.encode()] if one is None else [one]
-        return out
+                ids += [self.byte[b] for b in s.encode("utf-8", "surrogatepass")] if one is None else [one]
+            found.append(np.array(ids, np.int32))
+            counts.append(np.array([len(ids)]))
+        all_counts = np.concatenate(counts)
+        first, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        first[order], count[order] = np.cumsum(all_counts) - all_counts, all_counts
+        return np.concatenate(found), first, count
+
+    def merge_many(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks, each not empty."""
+        lengths = np.array([len(c) for c in chunks], np.int64)
+        ids, first, count = self.merge_runs(points_of("".join(chunks)), np.cumsum(lengths) - lengths, lengths)
+        return [ids[a : a + n].tolist() for a, n in zip(first.tolist(), count.tolist(), strict=True)]
 
     def merged_by_heap(self, chunk: str) -> list[str]:
         """For long chunks: a heap; pairs whose sides have merged meanwhile are passed over."""
@@ -184,73 +252,51 @@ class PieceCodec:
                     heapq.heappush(agenda, (-score, h, i, len(symbols[h]) + size))
         return [s for s in symbols if s is not None]
 
-    def learn(self, words: list[str]) -> None:
-        """Encode and remember words, and the chunks that they are made of."""
-        parts = list(map(self.chunk.findall, words))
-        memory, older = self.memory, self.older
-        new = list({c for p in parts for c in p if c not in memory and c not in older})
-        names = self.names
-        for c, ids in zip(new, self.merge_many(new), strict=True):
-            memory[c] = (len(ids), " ".join([names[i] for i in ids]), self.surface(ids))
-        for w, p in zip(words, parts, strict=True):
-            if len(p) > 1:
-                rows = [memory.get(c) or older[c] for c in p]
-                memory[w] = (sum([r[0] for r in rows]), " ".join([r[1] for r in rows]), "".join([r[2] for r in rows]))
-            elif w not in memory:
-                memory[w] = older[w]
-
     def surface(self, ids: list[int]) -> str:
         """Text of ids, with word marks as spaces; runs of byte pieces decode as UTF-8."""
-        out = list(map(self.shown.__getitem__, ids))
-        at = out.index(None) if None in out else len(out)
-        while at < len(out):
-            end = at + 1
-            while end < len(out) and out[end] is None:
-                end += 1
-            # the run's text stands in its first place
-            out[at:end] = [bytes(map(self.value.__getitem__, ids[at:end])).decode("utf-8", "replace"), *[""] * (end - at - 1)]
-            at = out.index(None, end) if None in islice(out, end, None) else len(out)
-        return "".join(out)
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of all texts, the first of each chunk, and each text's first chunk (and the end)."""
+        points = points_of("".join([MARK + t.replace(" ", MARK) for t in texts if t]))
+        at = np.cumsum([0, *[len(t) + 1 if t else 0 for t in texts]])
+        begins = np.ones(len(points), bool)
+        left, right = points[:-1], points[1:]
+        begins[1:] = ~self.bonds[self.bond(left, right)] | ((right == ord(MARK)) & (left != ord(MARK)))
+        begins[at[at < len(points)]] = True
+        starts = np.flatnonzero(begins)
+        return points, starts, np.searchsorted(starts, at)
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text between which no merge can happen."""
-        return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
-
-    def words(self, text: str) -> list[str]:
-        """Parts of a text that begin with word marks; a word is one or more whole chunks."""
-        if not text:
-            return []
-        if text[0] == " " or "  " in text or MARK in text:
-            return self.word.findall(MARK + text.replace(" ", MARK))
-        return (MARK + text.replace(" ", " " + MARK)).split(" ")
-
-    def rows(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
-        """Count, ids and decoded text of each word of each text.
-
-        When a generation of remembered words is full, it becomes the older one, from which words
-        still in use are taken over; the one before goes.
-        """
-        if len(self.memory) > REMEMBER:
-            self.older, self.memory = self.memory, {}
-        parts = [self.words(t) for t in texts]
-        memory, older = self.memory, self.older
-        out = [list(map(memory.get, p)) for p in parts]
-        lacking = [i for i, found in enumerate(out) if None in found]
-        needed = set().union(*[set(parts[i]).difference(memory) for i in lacking])
-        if not needed:
-            return out
-        before = len(memory)
-        memory.update([(w, older[w]) for w in needed if w in older])
-        self.learn([w for w in needed if w not in memory])
-        for i in lacking:
-            out[i] = list(map(memory.__getitem__, parts[i]))
-        for w in [w for w in islice(reversed(memory), len(memory) - before) if len(w) > LONG]:
-            del memory[w]
-        return out
+        points, starts, _ = self.cut([text])
+        marked = points.tobytes().decode("utf-32-le", "surrogatepass")
+        return [marked[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(marked)], strict=True)] if text else []
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts without end ids, and each text's first (and the end)."""
+        points, starts, bounds = self.cut(texts)
+        if not len(points):
+            return np.zeros(0, np.int32), bounds
+        lengths = np.diff(starts, append=len(points))
+        hashes = hash_of(points, starts, lengths)
+        place, had = self.memory.find(hashes)
+        lacking = np.flatnonzero(~had)
+        fresh, one, own = np.unique(hashes[lacking], return_index=True, return_inverse=True)
+        new = lacking[one]
+        made, first, count = self.merge_runs(points, starts[new], lengths[new])
+        counts, begin = self.memory.counts[place].astype(np.int64), place * self.memory.ids.shape[1]
+        counts[lacking], begin[lacking] = count[own], first[own]
+        after = np.cumsum(counts)
+        at, old = np.arange(after[-1]) + np.repeat(begin - after + counts, counts), np.repeat(had, counts)
+        out = np.empty(after[-1], np.int32)
+        out[old], out[~old] = self.memory.ids.ravel()[at[old]], made[at[~old]]
+        self.memory.put(fresh, made, first, count)
+        return out, np.append(0, after)[bounds]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text with the end id."""
-        return [int(i) for r in self.rows([text or ""])[0] for i in r[1].split()] + [self.end]
+        return [*self.ids_of([text or ""])[0].tolist(), self.end]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; the mark in front is dropped."""
@@ -268,16 +314,30 @@ def checked(own: PieceCodec, texts: list[str]) -> list[tuple[int, str, str]]:
     """Number of ids, ids and decoded text of each text, all held against the library."""
     theirs = [[*ids, own.end] for ids in own.library.encode(texts, num_threads=1)] if texts else []
     shown = own.library.decode(theirs, num_threads=1) if texts else []
+    flat, bounds = own.ids_of(texts)
     out = []
-    for text, rows, expected, surface in zip(texts, own.rows(texts), theirs, shown, strict=True):
-        ids = " ".join([*[r[1] for r in rows], own.names[own.end]])
-        decoded = "".join([r[2] for r in rows]).removeprefix(" ")
-        if " ".join(map(own.names.__getitem__, expected)) != ids or surface != decoded:
+    for text, start, end, expected, surface in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), theirs, shown, strict=True):
+        ids = [*flat[start:end].tolist(), own.end]
+        decoded = own.decode(ids)
+        if ids != expected or surface != decoded:
             raise ValueError(f"library differs on a text that begins {text[:60]!r}")
-        out.append((len(expected), ids, decoded))
+        out.append((len(ids), " ".join(map(own.names.__getitem__, ids)), decoded))
     return out
 
 
+def blocks(column: pa.Array) -> Iterator[list[str]]:
+    """Texts of a column, null as empty, in blocks of about BLOCK characters or one longer text."""
+    block, size = [], 0
+    for text in column:
+        block.append(text.as_py() or "")
+        size += len(block[-1])
+        if size >= BLOCK:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 def coded(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
 
@@ -285,9 +345,8 @@ def coded(docs: DataFrame, model: str) -> DataFrame:
         own = codec(model)
         for batch in batches:
             count, ids_sha, text_sha = [], [], []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 300):
-                for n, ids, decoded in checked(own, texts[at : at + 300]):
+            for texts in blocks(batch.column(1)):
+                for n, ids, decoded in checked(own, texts):
                     count.append(n)
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
