@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 
 from prospecta.llm import piece_bpe
@@ -23,6 +24,17 @@ def test_what_a_worker_remembers_is_bounded():
         tracemalloc.stop()
 
 
+def test_new_words_cost_less_than_the_check_by_the_library():
+    own, texts = piece_bpe.PieceCodec(model_path()), new_words(9, 300)
+    piece_bpe.checked(own, texts[:20])
+    began = time.process_time()
+    own.library.decode(own.library.encode(texts, num_threads=1), num_threads=1)
+    library = time.process_time() - began
+    began = time.process_time()
+    piece_bpe.checked(own, texts)
+    assert time.process_time() - began < 4 * library
+
+
 def test_unknown_characters_long_chunks_and_evicted_chunks():
     own = piece_bpe.PieceCodec(model_path())
     own.memory = piece_bpe.Memory(64)  # chunks put each other out
