@@ -1,7 +1,8 @@
 """Corpus pipeline: quality classifier, exact dedup, near dedup, source mixing, tokenising.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns of ``documents``.
+the columns of ``documents``.  Stages that run Python set the size of Arrow batches of their
+session; as they return plans that run later, the setting stays.
 """
 
 from __future__ import annotations
@@ -13,8 +14,17 @@ from prospecta.llm.common import materialize
 from prospecta.llm.queries import documents, model_path
 
 
+#: Bytes of texts that go to a Python worker at once, about.  Spark's own limit is 64 MB, which the executor's and each worker's memory hold at once.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier rejects go."""
+    small_batches(spark)
     return weak_quality.keep_good(docs)
 
 
@@ -25,6 +35,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays."""
+    small_batches(spark)
     return simhash.deduplicate(docs)
 
 
@@ -35,6 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id with the number and digest of its token ids, and the digest of the decoded text."""
+    small_batches(spark)
     return piece_bpe.coded(docs, model_path())
 
 

@@ -35,7 +35,7 @@ REMEMBER, MOST_IDS = 1 << 19, 8
 #: Characters of the longest chunk that goes into a matrix.
 LONG = 64
 #: Characters of a block of texts, about.
-BLOCK = 500_000
+BLOCK = 100_000
 _codecs: dict[str, PieceCodec] = {}
 
 

@@ -1,4 +1,6 @@
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from prospecta.llm import mixing, piece_bpe, simhash, weak_quality
@@ -52,3 +54,22 @@ def test_pipeline_against_steps(spark):
             assert {r.doc_id: r.n_tokens for r in docs.collect()} == counts and docs.count() == before.count()
     ran = corpus_pipeline.run(spark, SF)
     assert sorted(map(str, ran.collect())) == sorted(map(str, docs.collect()))
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.keep_quality, corpus_pipeline.drop_near_copies, corpus_pipeline.tokenize])
+def test_workers_get_texts_in_bounded_batches(spark, stage):
+    """30 MB of long texts in one partition reach a worker in parts, not as one batch of all rows."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(20), SF)
+        long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+        found = [r["size"] for r in long.mapInArrow(sizes, "size long").collect()]
+    finally:
+        spark.conf.set(setting, before)
+    assert sum(found) > 3e7 and max(found) < 1.1 * corpus_pipeline.BATCH
