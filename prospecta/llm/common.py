@@ -198,24 +198,30 @@ def exact_names(units: np.ndarray, size: int) -> np.ndarray:
 def gram_names(units: np.ndarray, hashes: np.ndarray, size: int, ok: np.ndarray) -> np.ndarray:
     """1.. for each position where ``size`` units begin (``ok``), equal just where the units are; 0 elsewhere.
 
-    Units are named by their hashes; every one is then held against the first of its name, unit by
-    unit, and if any differs all are named by their units instead.
+    Units are named by their hashes; every one is then held against another one of its name, the same for all,
+    unit by unit, and if any differs all are named by their units instead.
     """
     names = np.zeros(len(units), np.int64)
     at = np.flatnonzero(ok)
     if not len(at):
         return names
-    _, first, own = np.unique(hashes[at], return_index=True, return_inverse=True)
-    same = at[first][own]
+    found = hashes[at]
+    order = np.argsort(found)
+    ranked = found[order]
+    head = np.append(True, ranked[1:] != ranked[:-1])
+    rank = np.cumsum(head)
+    own, ordered = np.empty(len(at), np.int64), at[order]
+    own[order] = rank
+    at, same = ordered[~head], ordered[head][rank[~head] - 1]
     if units.dtype == np.uint8 and size >= 8:  # eight bytes at a time
         units_at = np.ndarray(len(units) - 7, np.dtype("<u8"), np.ascontiguousarray(units), strides=(1,))
         steps = [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]
     else:
         units_at, steps = units, range(size)
     if all(np.array_equal(units_at[at + k], units_at[same + k]) for k in steps):
-        names[at] = own + 1
+        names[ok] = own
     else:
-        names[at] = exact_names(units, size)[at] + 1
+        names[ok] = exact_names(units, size)[np.flatnonzero(ok)] + 1
     return names
 
 

@@ -2,10 +2,11 @@
 
 All strings of a shard are indexed at once: round j inserts the j-th symbol from the
 right of every string, i.e. its suffix of j symbols, into the sorted list of suffixes.
-The Burrows-Wheeler transform, the links to the shorter suffixes and the longest common
-prefixes of neighbours are columns kept in files of the task's own: each round reads one
-generation from front to back, in blocks, and writes the next one; minima of common
-prefixes between two rows come from the same reading.  Neighbours with a common prefix of
+The links to the shorter suffixes and the longest common prefixes of neighbours are
+columns kept in files of the task's own: each round reads one generation from front to
+back, in blocks, and writes the next one; minima of common prefixes between two rows come
+from the same reading.  The Burrows-Wheeler transform and the suffixes' positions are read
+off the links when all rows stand.  Neighbours with a common prefix of
 a whole window are repeats; of segments with equal contents one is indexed with their number
 as its weight.  The files go when the task ends; a lost task is redone.
 
@@ -23,6 +24,7 @@ tables give empty results.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import tempfile
@@ -37,7 +39,7 @@ from .common import ROW, Rolling, byte_units, gram_names
 from .repeats import attached, merged, numbered, repeated_spans, texts_of
 
 
-#: Bytes of distinct segments in a shard: its columns take about 34 bytes of a task's own disk for each.
+#: Bytes of distinct segments in a shard: its columns take about 26 bytes of a task's own disk for each.
 SHARD_BYTES = 1 << 20
 
 
@@ -64,23 +66,34 @@ class Columns:
 
     def begin(self, **columns: np.ndarray) -> None:
         self.rows = len(next(iter(columns.values())))
+        self.put(**columns)
+
+    def put(self, **columns: np.ndarray) -> None:
+        """Whole columns of this generation."""
         for name, values in columns.items():
             with open(self.path(name, self.generation), "wb") as out:
                 values.astype(self.KINDS[name], copy=False).tofile(out)
 
     def merge(self, behind: np.ndarray, change: dict[str, Callable], **columns: np.ndarray) -> None:
         """Insert rows before the rows ``behind`` (ascending); ``change`` alters old values, given their first row and themselves."""
-        for name, new in columns.items():
-            i = 0
-            # columns only grow: what the generation before last left is written over
-            path = self.path(name, self.generation + 1)
-            with open(path, "r+b" if os.path.exists(path) else "wb") as out:
-                for lo, old in self.blocks(name):
-                    if name in change:
-                        old = change[name](lo, old)
-                    j = int(np.searchsorted(behind, lo + len(old))) if lo + len(old) < self.rows else len(behind)
-                    np.insert(old, behind[i:j] - lo, new[i:j]).tofile(out)
-                    i = j
+        with contextlib.ExitStack() as files:
+            outs, i = [], 0
+            for name in columns:
+                # columns only grow: what the generation before last left is written over
+                path = self.path(name, self.generation + 1)
+                outs.append(files.enter_context(open(path, "r+b" if os.path.exists(path) else "wb")))
+            for parts in zip(*map(self.blocks, columns), strict=True):
+                lo, end = parts[0][0], parts[0][0] + len(parts[0][1])
+                j = int(np.searchsorted(behind, end)) if end < self.rows else len(behind)
+                at = behind[i:j] - lo + np.arange(j - i)  # places of the new rows, the same in all columns
+                stays = np.ones(end - lo + j - i, bool)
+                stays[at] = False
+                for (name, new), (_, old), out in zip(columns.items(), parts, outs, strict=True):
+                    both = np.empty(len(stays), self.KINDS[name])
+                    both[at] = new[i:j]
+                    both[stays] = change[name](lo, old) if name in change else old
+                    both.tofile(out)
+                i = j
         self.generation += 1
         self.rows += len(behind)
 
@@ -89,21 +102,18 @@ class RangeMinimum:
     """Minimum of values over (lo, hi], by doubling."""
 
     def __init__(self, values: np.ndarray):
-        self.levels = [values]
-        step = 1
-        while 2 * step <= len(values):
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[:-step], last[step:]))
+        self.width = len(values)
+        levels = np.empty((max(1, self.width.bit_length()), self.width), values.dtype)
+        levels[0], step = values, 1
+        for k in range(1, len(levels)):
+            np.minimum(levels[k - 1, : self.width - 2 * step + 1], levels[k - 1, step : self.width - step + 1], out=levels[k, : self.width - 2 * step + 1])
             step *= 2
+        self.levels = levels.ravel()
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(lo), np.uint8)
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        for k in np.flatnonzero(np.bincount(level)):
-            own = level == k
-            a, b, table = lo[own] + 1, hi[own] + 1 - (1 << int(k)), self.levels[k]
-            out[own] = np.minimum(table[a], table[b])
-        return out
+        level = np.frexp((hi - lo).astype(np.float64))[1].astype(np.int64) - 1
+        row = level * self.width + 1
+        return np.minimum(self.levels[row + lo], self.levels[row + hi - (1 << level)])
 
 
 def streamed_minima(columns: Columns, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -114,21 +124,22 @@ def streamed_minima(columns: Columns, lo: np.ndarray, hi: np.ndarray) -> np.ndar
     """
     size = columns.block
     first, last = (lo + 1) // size, hi // size
-    by_first, by_last = np.argsort(first, kind="stable"), np.argsort(last, kind="stable")
-    start, stop = first[by_first], last[by_last]
     out = np.full(len(lo), 255, np.uint8)
     whole = np.zeros(-(-columns.rows // size), np.uint8)
+    small = np.uint16 if len(whole) < 1 << 16 else np.int64  # numbers of 16 bits are sorted by their digits
+    by_first, by_last = np.argsort(first.astype(small), kind="stable"), np.argsort(last.astype(small), kind="stable")
+    start, stop = (np.append(0, np.cumsum(np.bincount(x, minlength=len(whole)))) for x in (first, last))
     for row, values in columns.blocks("lcp"):
         k = row // size
         whole[k] = values.min()
-        opens = by_first[np.searchsorted(start, k) : np.searchsorted(start, k, side="right")]
+        opens = by_first[start[k] : start[k + 1]]
         inside = opens[last[opens] == k]
         if len(inside):
             out[inside] = RangeMinimum(values)(lo[inside] - row, hi[inside] - row)
         opens = opens[last[opens] > k]
         if len(opens):
             out[opens] = np.minimum.accumulate(values[::-1])[::-1][lo[opens] + 1 - row]
-        closes = by_last[np.searchsorted(stop, k) : np.searchsorted(stop, k, side="right")]
+        closes = by_last[stop[k] : stop[k + 1]]
         closes = closes[first[closes] < k]
         if len(closes):
             out[closes] = np.minimum(out[closes], np.minimum.accumulate(values)[hi[closes] - row])
@@ -144,13 +155,13 @@ def collection_bwt(symbols: np.ndarray, last: np.ndarray, previous: np.ndarray,
     symbols: 1.. at each position; last: the strings' last positions; previous: the position of
     the symbol before, or -1.  The first rows are the strings' empty suffixes.  ``lcp`` counts
     symbols common with the row above, up to ``cap``.  Returns the columns; ``place`` is the
-    position of each suffix (empty suffixes: 0) and ``bwt`` the symbol before it, 0 at a start.
+    position of each suffix (empty suffixes: 0) and ``bwt`` the symbol before it, 0 at a start;
+    both are written once all rows have their place, by a walk over the links.
     A round holds one row for each string and one count for each row; the columns stay in files.
     """
     columns = Columns(folder, block)
     n = len(last)
-    zero = np.zeros(n, np.uint32)
-    columns.begin(key=np.arange(n), bwt=symbols[last], place=zero, lcp=zero)
+    columns.begin(key=np.arange(n), lcp=np.zeros(n, np.uint8))
     active, row = last, np.arange(n)  # next position to insert, and the row of the suffix after it
     while len(active):
         fresh = (symbols[active].astype(np.int64) << 32) | row
@@ -184,7 +195,9 @@ def collection_bwt(symbols: np.ndarray, last: np.ndarray, previous: np.ndarray,
         shift = np.cumsum(np.bincount(behind, minlength=columns.rows + 1), dtype=np.int32)
 
         def links(lo: int, keys: np.ndarray, shift=shift) -> np.ndarray:
-            return np.where(keys >> 32 > 0, keys + shift[keys & 0xFFFFFFFF], keys)  # the empty suffixes have no link
+            linked = keys[max(0, n - lo) :]  # the empty suffixes, which come first, have no link
+            linked += shift[linked & 0xFFFFFFFF]
+            return keys
 
         def changed(lo: int, values: np.ndarray, rows=behind[lowest], new=falls) -> np.ndarray:
             i, j = np.searchsorted(rows, [lo, lo + len(values)])
@@ -192,9 +205,22 @@ def collection_bwt(symbols: np.ndarray, last: np.ndarray, previous: np.ndarray,
             return values
 
         has = previous[active] >= 0
-        left = np.where(has, symbols[previous[active]], 0)
-        columns.merge(behind, {"key": links, "lcp": changed}, key=fresh + shift[row], bwt=left, place=active, lcp=lcp)
+        columns.merge(behind, {"key": links, "lcp": changed}, key=fresh + shift[row], lcp=lcp)
         active, row = previous[active[has]], (behind + np.arange(len(behind)))[has]
+    # the links turned round lead each string from its end to its start, over the rows of all its suffixes
+    longer = np.zeros(columns.rows, np.int32)
+    for lo, keys in columns.blocks("key"):
+        own = max(0, n - lo)
+        longer[keys[own:] & 0xFFFFFFFF] = np.arange(lo + own, lo + len(keys))
+    place, bwt = np.zeros(columns.rows, np.uint32), np.zeros(columns.rows, np.uint32)
+    active, row = last, np.arange(n)
+    bwt[:n] = symbols[last]
+    while len(active):
+        row, before = longer[row], previous[active]
+        has = before >= 0
+        place[row], bwt[row] = active, np.where(has, symbols[before], 0)
+        active, row = before[has], row[has]
+    columns.put(place=place, bwt=bwt)
     return columns
 
 

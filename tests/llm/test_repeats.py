@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from prospecta.llm import fm_index, repeats, suffix_bwt
-from prospecta.llm.common import word_units
+from prospecta.llm.common import gram_names, word_units
 
 from .helpers import covered, empty, frame, odd_texts
 
@@ -169,3 +169,28 @@ def test_runs_of_a_frequent_anchor():
                 for k in range(at, at + size):
                     assert keys.setdefault(piece[k : k + 120], (int(anchor), key)) == (int(anchor), key)
             assert seen == list(range(n))
+
+
+def test_rounds_rewrite_keys_and_prefixes_only(tmp_path, monkeypatch):
+    """What a round reads and writes again of each row: nine bytes; places and the BWT come once, by a walk over the links."""
+    sizes, put = [], suffix_bwt.Columns.merge
+    monkeypatch.setattr(suffix_bwt.Columns, "merge", lambda self, *a, **columns: (sizes.append(sum(np.dtype(self.KINDS[c]).itemsize for c in columns)), put(self, *a, **columns)))
+    symbols = np.array([1, 2, 1, 2, 2, 1, 1], np.uint32)
+    previous = np.array([-1, 0, 1, 2, -1, 4, 5])
+    columns = suffix_bwt.collection_bwt(symbols, np.array([3, 6]), previous, 9, str(tmp_path), 3)
+    assert sizes and max(sizes) <= 9
+    # empty suffixes first, then 1, 1 1, 1 2, 1 2 1 2 ... in order, each with the symbol before it
+    assert columns.read("place").tolist() == [0, 0, 6, 5, 2, 0, 3, 4, 1]
+    assert columns.read("bwt").tolist() == [2, 1, 1, 2, 2, 0, 1, 0, 1]
+
+
+def test_names_of_units_whose_hashes_clash():
+    units = np.frombuffer(b"abcabcabdabx", np.uint8)
+    ok = np.ones(len(units), bool)
+    ok[[4, *range(len(units) - 2, len(units))]] = False
+    grams = [bytes(units[i : i + 3]) for i in range(len(units))]
+    for hashes in (np.zeros(len(units), np.uint64), np.array([hash(g) & 0xFFFF_FFFF for g in grams], np.uint64)):
+        names = gram_names(units, hashes, 3, ok)
+        assert not names[~ok].any() and names[ok].all()
+        at = np.flatnonzero(ok)
+        assert all((names[i] == names[j]) == (grams[i] == grams[j]) for i in at for j in at)
