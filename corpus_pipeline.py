@@ -10,18 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from prospecta.llm import exact_dedup, mixing, piece_bpe, simhash, weak_quality
-from prospecta.llm.common import materialize
+from prospecta.llm.common import BATCH, materialize, small_batches  # noqa: F401
 from prospecta.llm.queries import documents, model_path
 
 
-#: Bytes of texts that go to a Python worker at once, about.  Spark's own limit is 64 MB, which the executor's and each worker's memory hold at once.
-BATCH = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier rejects go."""
     small_batches(spark)

@@ -22,6 +22,9 @@ WORD_REGEX = r"[^\x20\x09-\x0D]+"
 #: Texts are hashed in slices of about so many bytes, to keep arrays in cache.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of texts that go to a Python worker at once, about.  Spark's own limit is 64 MB, which the executor's and each worker's memory hold at once.
+BATCH = 4 << 20
+
 #: Column of a row's number: doc_ids may be null or repeated.
 ROW = "_row_number"
 
@@ -57,6 +60,11 @@ def materialize(df: DataFrame, name: str, *folders: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH bytes for this session; plans run later, so the setting stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def number_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with a number of its own for each row in ROW, written to the shared folder so that it stays."""
     return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")

@@ -15,12 +15,14 @@ in exactly one.  The plan is:
    collection BWT with common prefixes) finds the windows of weight two or more;
 5. the findings return to all segments of the same contents and are gathered by text.
 
-An anchor with more segments than a shard should hold is dealt to many shards: its
+An anchor whose segments have more bytes than a shard should hold is dealt to many shards: its
 segments are cut into runs of windows in which the anchor stands in nearly the same
 place, and a run goes by the hash of the units that all windows at those places share.
 Equal windows still meet in one shard, and the same index finds them there.  (Only a
 passage that is all but a unit or two of a window, in a great many different
-surroundings, would still meet whole in one shard.)  Every stage is a Spark shuffle on a
+surroundings, would still meet whole in one shard.)  A shard that comes out larger all the
+same is indexed in parts of a shard's size, one after the other (``parts_of``), since an index
+needs some hundred bytes of memory for each of its shard.  Every stage is a Spark shuffle on a
 well-spread key; lost tasks are recomputed.
 """
 
@@ -166,6 +168,64 @@ def dealt(cut: DataFrame, shards: int, units: str, width: int, gram: int) -> Dat
     return cut.select("anchor", "content", "copies", "hot", "data").mapInArrow(send, _CUT)
 
 
+def parts_of(table: pa.Table, limit: int, units: str, width: int, gram: int) -> Iterator[tuple]:
+    """A shard's _CUT rows in parts of at most ``limit`` bytes, where no two parts have a window in common.
+
+    A part is the pieces' bytes, offsets and copies and, for each place where a piece stands, the piece's number, the row and
+    the piece's first window in it.  A shard within the limit is one part.  Of a larger one, equal pieces become one and a part
+    takes whole anchors; an anchor beyond the limit is cut into runs, shorter ones if need be, and windows with different
+    keys stand apart.  Runs of one window with one key are one piece, so the limit holds for any shard.
+    """
+    raw, offsets = binary_parts(table.column("data"))
+    copies, every = table.column("copies").to_numpy(), np.arange(table.num_rows)
+    if offsets[-1] <= limit:
+        yield raw, offsets, copies, every, every, np.zeros(len(every), np.int64)
+        return
+    plain = (lambda piece: piece) if units == "bytes" else (lambda piece: b" ".join(piece.split()))
+    groups: dict = {}
+    for i, anchor in enumerate(table.column("anchor").to_pylist()):
+        groups.setdefault(anchor, {}).setdefault(plain(raw[offsets[i] : offsets[i + 1]].tobytes()), []).append((i, 0))
+    todo, part, size = [(anchor, default_run(width), pieces) for anchor, pieces in groups.items()], [], 0
+    while todo:
+        anchor, run, pieces = todo.pop()
+        more = sum(map(len, pieces))
+        if more > limit and run and len(pieces) > 1:
+            finer: dict = {}
+            for piece, places in pieces.items():
+                for a, _, key, cut in runs_of(piece, anchor, units, width, gram, run):
+                    finer.setdefault(key, {}).setdefault(plain(cut), []).extend((i, first + a) for i, first in places)
+            todo += [(anchor, run // 4 or run // 2, found) for found in finer.values()]
+            continue
+        if part and size + more > limit:
+            yield packed(part, copies)
+            part, size = [], 0
+        part += pieces.items()
+        size += more
+    yield packed(part, copies)
+
+
+def packed(part: list[tuple[bytes, list]], copies: np.ndarray) -> tuple:
+    """A part of ``parts_of`` from its pieces and their places."""
+    many = np.array([len(places) for _, places in part])
+    row, first = np.array([place for _, places in part for place in places], np.int64).T
+    piece = np.repeat(np.arange(len(part)), many)
+    weight = np.minimum(np.bincount(piece, copies[row]), 2).astype(copies.dtype)
+    return np.frombuffer(b"".join(p for p, _ in part), np.uint8), np.append(0, np.cumsum([len(p) for p, _ in part])), weight, piece, row, first
+
+
+def windows_of(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of marked windows: the segment (``at``: their first units), first window and end in it."""
+    edge = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
+    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # a run over several segments is cut at their borders
+    seg_a, seg_b = np.searchsorted(at, a, side="right") - 1, np.searchsorted(at, b - 1, side="right") - 1
+    many = seg_b - seg_a + 1
+    seg = np.repeat(seg_a, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    lo, hi = np.maximum(np.repeat(a, many), at[seg]) - at[seg], np.minimum(np.repeat(b, many), at[seg + 1]) - at[seg]
+    full = hi > lo
+    return seg[full], lo[full], hi[full]
+
+
 def repeated_spans(docs: DataFrame, units: str, width: int, index: Callable, *, gram: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """ROW and its repeated spans [(start, end)) in units, one row for each row of ``docs`` that has any.
 
@@ -174,12 +234,13 @@ def repeated_spans(docs: DataFrame, units: str, width: int, index: Callable, *,
     """
     gram = gram or default_gram(width)
     found = materialize(find_segments(docs, units, width, gram), "segments")
+    bytes_of = F.col("b1") - F.col("b0")
     # segments of an anchor; kept apart from the join, so that Spark can split a frequent anchor there
-    twice = materialize(found.groupBy("anchor").agg(F.sum(F.when(F.col("inner"), 2).otherwise(1)).alias("n")).where("n > 1"), "anchors")
+    twice = found.groupBy("anchor").agg(F.sum(F.when(F.col("inner"), 2).otherwise(1)).alias("n"), F.sum(bytes_of.cast("long")).alias("size")).where("n > 1")
+    # an anchor is dealt to many shards as a whole or not at all: equal windows may stand in a long and in a short segment
+    twice = materialize(twice.select("anchor", (F.col("size") > shard_bytes).alias("hot")), "anchors")
     shared = materialize(found.drop("inner").join(twice, "anchor"), "shared")
-    bytes_of = F.col("b1") - F.col("b0")
-    hot = F.col("n") * (2 * bytes_of) > 2 * shard_bytes
-    kept = materialize(shared.groupBy("anchor", "content").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.min(F.struct(ROW, "b0", "b1")).alias("at"), F.first("n").alias("n")).select("anchor", "content", "copies", "n", "at.*").withColumn("hot", hot).drop("n"), "contents")
+    kept = materialize(shared.groupBy("anchor", "content").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.min(F.struct(ROW, "b0", "b1")).alias("at"), F.first("hot").alias("hot")).select("anchor", "content", "copies", "hot", "at.*"), "contents")
     grown = (width + default_run(width)) // default_run(width)  # bytes of a hot anchor's runs for each of its segments', at most
     total = kept.agg(F.sum(F.when(F.col("hot"), bytes_of * grown).otherwise(bytes_of)).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard_bytes))
@@ -192,21 +253,19 @@ def repeated_spans(docs: DataFrame, units: str, width: int, index: Callable, *,
     )
 
     def run(table: pa.Table) -> pa.Table:
-        raw, offsets = binary_parts(table.column("data"))
-        mask, at = index(raw, offsets, table.column("copies").to_numpy(), width)
-        edge = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
-        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        # a run over several segments is cut at their borders
-        seg_a, seg_b = np.searchsorted(at, a, side="right") - 1, np.searchsorted(at, b - 1, side="right") - 1
-        many = seg_b - seg_a + 1
-        seg = np.repeat(seg_a, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        lo, hi = np.maximum(np.repeat(a, many), at[seg]) - at[seg], np.minimum(np.repeat(b, many), at[seg + 1]) - at[seg]
-        full = hi > lo
-        seg, lo, hi = seg[full], lo[full], hi[full]
-        ahead = table.column("at").to_numpy()[seg]
-        which, counts = np.unique(seg, return_counts=True)
-        runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array((lo + ahead).astype(np.int32)), pa.array((hi + ahead).astype(np.int32))], ["a", "b"]))
-        return pa.table({"anchor": table.column("anchor").take(pa.array(which)), "content": table.column("content").take(pa.array(which)), "runs": runs})
+        anchor, at, found = table.column("anchor"), table.column("at").to_numpy(), []
+        for raw, offsets, copies, piece, row, first in parts_of(table, shard_bytes, units, width, gram):
+            seg, lo, hi = windows_of(*index(raw, offsets, copies, width))
+            each = np.bincount(seg, minlength=len(offsets) - 1)
+            begin, many = (np.cumsum(each) - each)[piece], each[piece]
+            has = many > 0
+            row, ahead, begin, many = row[has], (at[row] + first)[has], begin[has], many[has]
+            ends = np.append(0, np.cumsum(many))
+            k = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], many)
+            ahead = np.repeat(ahead, many)
+            runs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array((lo[k] + ahead).astype(np.int32)), pa.array((hi[k] + ahead).astype(np.int32))], ["a", "b"]))
+            found.append(pa.table({"anchor": anchor.take(pa.array(row)), "content": table.column("content").take(pa.array(row)), "runs": runs}))
+        return pa.concat_tables(found)
 
     repeated = dealt(cut, shards, units, width, gram).groupBy("shard").applyInArrow(run, "anchor long, content long, runs array<struct<a:int,b:int>>")
     return (

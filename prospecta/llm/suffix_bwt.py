@@ -35,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Rolling, byte_units, gram_names
+from .common import ROW, Rolling, byte_units, gram_names, small_batches
 from .repeats import attached, merged, numbered, repeated_spans, texts_of
 
 
-#: Bytes of distinct segments in a shard: its columns take about 26 bytes of a task's own disk for each.
+#: Bytes of distinct segments that are indexed at once: their columns take about 26 bytes of a task's own disk for each, and the task some 100 of memory.
 SHARD_BYTES = 1 << 20
 
 
@@ -277,6 +277,7 @@ def repeated_byte_spans(docs: DataFrame, width: int = 200, **options) -> DataFra
 
 def removal(rows: DataFrame, width: int, full: bool, **options) -> DataFrame:
     """ROW, n_bytes, n_removed, n_spans, kept_sha256 of ``rows(ROW, text)``; if ``full`` also kept (binary) and removed_spans."""
+    small_batches(rows.sparkSession)
     spans = repeated_byte_spans(rows, width, **options)
     names = [ROW, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "removed_spans"] if full else [])]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]

@@ -2,10 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from prospecta.llm import fm_index, repeats, suffix_bwt
-from prospecta.llm.common import gram_names, word_units
+from prospecta.llm.common import BATCH, ROW, Rolling, byte_units, gram_names, number_rows, word_units
 
 from .helpers import covered, empty, frame, odd_texts
 
@@ -194,3 +196,60 @@ def test_names_of_units_whose_hashes_clash():
         assert not names[~ok].any() and names[ok].all()
         at = np.flatnonzero(ok)
         assert all((names[i] == names[j]) == (grams[i] == grams[j]) for i in at for j in at)
+
+
+@pytest.mark.parametrize("units", ["bytes", "words"])
+def test_no_index_is_larger_than_a_shard(spark, units):
+    """A passage of all but a few units of a window, in many surroundings: one key for all of its runs, which are indexed in parts."""
+    rng = random.Random(12)
+    width, limit = (60, 4000) if units == "bytes" else (20, 1500)
+    unit = (lambda: rng.choice("uvwxyz")) if units == "bytes" else (lambda: "".join(rng.choice("uvwxyz") for _ in range(5)) + rng.choice([" ", "  "]))
+    prose = lambda n: "".join(unit() for _ in range(n))
+    passage = prose(width - 1)
+    texts = [prose(30) + passage + prose(30) for _ in range(300)]
+    texts += [texts[0][:-5] + "end", texts[7], passage]
+    index, sizes = (suffix_bwt if units == "bytes" else fm_index).repeated_windows, spark.sparkContext.accumulator(0)
+    most = spark.sparkContext.accumulator(0)
+
+    def watched(raw, offsets, copies, width):
+        sizes.add(1)
+        most.add(len(raw) > limit)
+        return index(raw, offsets, copies, width)
+
+    docs = number_rows(frame(spark, texts))
+    found = {r[ROW]: r.spans for r in repeats.repeated_spans(docs, units, width, watched, shard_bytes=limit).collect()}
+    rows = {r[ROW]: r.doc_id for r in docs.collect()}
+    got = {rows[k]: repeats.merged([s.asDict() for s in spans]) for k, spans in found.items()}
+    data = [t.split() if units == "words" else t for t in texts]
+    for i, (u, m) in enumerate(zip(data, covered(data, width))):
+        mask = bytearray(len(u))
+        for a, b in got.get(i, []):
+            mask[a:b] = b"\1" * (b - a)
+        assert mask == m
+    assert sizes.value > 1 and not most.value
+
+
+def test_an_anchor_goes_to_one_or_to_many_shards_as_a_whole(spark):
+    """A window in a long and in a short segment of an anchor: bytes of the long ones together are over a shard's, those of as many short ones aren't."""
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("uvwxyz") for _ in range(n))
+    line = prose(20_000)
+    raw, offsets = packed([line.encode()])
+    grams = Rolling(byte_units(raw, offsets)[0]).grams(12)
+    least = line[grams.argmin() : grams.argmin() + 12]
+    texts = [prose(60) + least + prose(60) for _ in range(40)]
+    texts += [texts[k][60 - k : 120 - k] for k in (0, 9, 18, 27, 36)]
+    check_bytes(spark, frame(spark, texts), texts, 60, shard_bytes=3600)
+
+
+def test_texts_reach_workers_in_bounded_batches(spark):
+    """op5 hands 30 MB of texts of one partition to a worker in parts, not as one batch."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        suffix_bwt.digests(frame(spark, ["a", "b"])).count()
+        long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+        found = [r["size"] for r in long.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"]) for b in batches), "size long").collect()]
+    finally:
+        spark.conf.set(setting, before)
+    assert sum(found) > 3e7 and max(found) < 1.1 * BATCH
