@@ -162,30 +162,70 @@ def match_contacts(incoming: DataFrame, contacts: DataFrame) -> DataFrame:
     return out.withColumn("contact_id", found).withColumn("matched_by", matched).drop(*[c for c, _ in ids])
 
 
+def _grams_of(name: Column) -> Column:
+    text = F.concat(F.lit("  "), name, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))
+
+
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of a name padded as two spaces before and one after."""
-    text = F.concat(F.lit("  "), normalize_name(c), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))
+    return _grams_of(normalize_name(c))
 
 
-def similar_names(companies: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Pairs (a, b), a < b, of one workspace and city whose names' trigram similarity reaches the threshold.
+#: Ids of one name that are held in one array, at most some more.
+CHUNK = 1000
+
+
+def _coded(grams: Column) -> Column:
+    """Trigrams as numbers of three code points, 21 bits each."""
+    point = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("long")
+    return F.transform(grams, lambda g: F.shiftleft(point(g, 1), 42) + F.shiftleft(point(g, 2), 21) + point(g, 3))
+
+
+def _similar_classes(names: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of rows (rep, workspace_id, city, grams) of different names, a < b; each has a trigram.
 
     Candidates meet on rare trigrams only (prefix filter: of n trigrams in order of rarity the
-    first n - ceil(threshold * n) + 1), so a large city is no all-pairs join.
+    first n - ceil(threshold * n) + 1), so a large city is no all-pairs join. They carry their trigrams along and are
+    judged where they meet.
     """
-    rows = companies.where(F.col("city").isNotNull()).select("id", "workspace_id", "city", trigrams(F.col("denomination")).alias("grams"))
-    posted = rows.select("id", "workspace_id", "city", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    posted = names.select("rep", "workspace_id", "city", F.explode_outer("grams").alias("g"))  # outer: else a filter computes the trigrams once more
     frequency = posted.groupBy("g").agg(F.count("*").alias("f"))
-    order = Window.partitionBy("id").orderBy("f", "g")
-    prefix = posted.join(frequency, "g").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    a, b = (prefix.select(F.col("id").alias(f"{x}_id"), "workspace_id", "city", "g", F.col("n").alias(f"{x}_n")) for x in "ab")
-    near = (F.col("a_id") < F.col("b_id")) & (F.least("a_n", "b_n") >= F.lit(threshold) * F.greatest("a_n", "b_n"))
-    pairs = a.join(b, ["workspace_id", "city", "g"]).where(near).select("a_id", "b_id").distinct()
-    sides = [rows.select(F.col("id").alias(f"{x}_id"), F.col("grams").alias(f"{x}_grams")) for x in "ab"]
-    scored = pairs.join(sides[0], "a_id").join(sides[1], "b_id")
-    similarity = F.size(F.array_intersect("a_grams", "b_grams")) / F.size(F.array_union("a_grams", "b_grams"))
-    return scored.select("a_id", "b_id", F.round(similarity, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    ranked = posted.join(frequency, "g").groupBy("rep", "workspace_id", "city").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("r"))
+    ordered = ranked.select("rep", "workspace_id", "city", F.col("r.g").alias("grams"))
+    n = F.size("grams")
+    prefix = ordered.select("*", F.explode(F.slice("grams", 1, (n - F.ceil(F.lit(threshold) * n) + 1).cast("int"))).alias("g"))
+    a, b = (prefix.select(F.col("rep").alias(x), "workspace_id", "city", "g", F.col("grams").alias(f"{x}_grams")) for x in "ab")
+    sizes = F.size("a_grams"), F.size("b_grams")
+    near = (F.col("a") < F.col("b")) & (F.least(*sizes) >= F.lit(threshold) * F.greatest(*sizes))
+    common = F.size(F.array_intersect("a_grams", "b_grams"))
+    similarity = common / (sizes[0] + sizes[1] - common)
+    judged = a.join(b, ["workspace_id", "city", "g"]).where(near).select("a", "b", F.round(similarity, 6).alias("similarity"))
+    return judged.where(F.col("similarity") >= threshold).distinct()
+
+
+def similar_names(companies: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Pairs (a, b), a < b, of one workspace and city whose names' trigram similarity reaches the threshold.
+
+    Names are compared once each, by the smallest id that bears one; pairs of names are then dealt out as pairs of
+    arrays of some CHUNK ids, so that neither a common name nor a large city is the work of one task.
+    """
+    key = ["workspace_id", "city", "_name"]
+    rows = companies.where(F.col("city").isNotNull() & F.col("workspace_id").isNotNull()).select("id", "workspace_id", "city", F.coalesce("denomination", F.lit("")).alias("_name"))
+    names = rows.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("_n"), F.min("_name").alias("_text"))
+    texts = names.select("rep", "workspace_id", "city", normalize_name(F.col("_text")).alias("_text"))
+    links = _similar_classes(texts.select("rep", "workspace_id", "city", _coded(_grams_of(F.col("_text"))).alias("grams")), threshold)
+    links = names.where("_n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")).unionByName(links)
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / CHUNK))
+    chunks = rows.join(names, key).groupBy("rep", part.alias("part")).agg(F.collect_list("id").alias("ids"))
+    a, b = (chunks.select(F.col("rep").alias(x), F.col("part").alias(f"{x}_part"), F.col("ids").alias(f"{x}_ids")) for x in "ab")
+    own = F.col("a") == F.col("b")
+    pairs = links.join(a, "a").join(b, "b").where(~own | (F.col("a_part") <= F.col("b_part")))
+    pairs = pairs.repartition(max(64, int(companies.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    once = own & (F.col("a_part") == F.col("b_part"))
+    met = pairs.select("similarity", once.alias("once"), "b_ids", F.explode("a_ids").alias("x")).select("similarity", "once", "x", F.explode("b_ids").alias("y"))
+    met = met.where((F.col("x") < F.col("y")) | (~F.col("once") & (F.col("x") > F.col("y"))))
+    return met.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"), "similarity")
 
 
 def keyset_page(df: DataFrame, column: str, size: int, after: tuple | None = None) -> DataFrame:
