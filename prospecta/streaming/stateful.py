@@ -7,8 +7,11 @@ executors and in the checkpoint; every key that is done with goes, or keeps one
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -52,8 +55,10 @@ class Delivery(StatefulProcessor):
 
     ``attempt(payload, n)`` makes the n-th try and returns None or what went wrong (an exception
     counts as that).  A failed try is made again after ``backoff`` seconds, twice as many after each,
-    until ``most`` were made.  A message that comes again is passed over; one that is
-    cancelled is given up without a result, since who cancels it has written one.
+    until ``most`` were made.  One that is cancelled is given up without a result, since who cancels it has written one.
+
+    A key is a bucket of messages, each of which comes once as a job and once as a cancel at most (``deliver`` sees to that).
+    Those that wait are one value, with one timer for the first of them that is due; cancelled ones are remembered, since their job may come later.
     """
 
     def __init__(self, attempt: Callable[[str, int], str | None], most: int = MOST_ATTEMPTS, backoff: int = 60):
@@ -61,31 +66,43 @@ class Delivery(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "source string, payload string, attempts int, due long")
-        self.done = handle.getValueState("done", "done boolean")
+        self.waiting = handle.getValueState("waiting", "messages string, timer long")  # JSON: [run_id, source, payload, attempts, due]
+        self.cancelled = handle.getValueState("cancelled", "run_ids string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        first = None
-        cancelled = False
+        jobs, cancels = [], set()
         for row in rows:
-            cancelled |= row["kind"] == "cancel"
-            if row["kind"] == "job" and (first is None or (row["at"], row["payload"] or "") < (first["at"], first["payload"] or "")):
-                first = row
-        if self.done.exists():
+            if row["kind"] == "job":
+                jobs.append((row["run_id"], row["source"], row["payload"], 0, row["ms"]))
+            elif row["kind"] == "cancel":
+                cancels.add(row["run_id"])
+        if not jobs and not cancels:
             return
-        if cancelled:
-            self._end()
-        elif first is not None and not self.waiting.exists():
-            at = int(first["at"].timestamp() * 1000)
-            yield from self._try(key[0], first["source"], first["payload"], 0, at, at)
+        known = self.cancelled.get()
+        gone = cancels.union(json.loads(known[0]) if known else ())
+        if cancels:
+            self.cancelled.update((json.dumps(list(gone)),))
+        waiting, timer = self._waiting()
+        before, waiting = len(waiting), [x for x in waiting if x[0] not in cancels]
+        same = len(waiting) == before
+        for job in jobs:
+            if job[0] not in gone:
+                yield from self._try(*job, job[4], waiting)
+        if not same or len(waiting) != before:
+            self._wait(waiting, timer)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
-        if self.waiting.exists():
-            source, payload, attempts, due = self.waiting.get()
-            yield from self._try(key[0], source, payload, attempts, due, timerValues.getCurrentWatermarkInMs())
+        now, waiting = timerValues.getCurrentWatermarkInMs(), []
+        for message in self._waiting()[0]:
+            yield from self._try(*message, now, waiting)
+        self._wait(waiting, None)
+
+    def _waiting(self) -> tuple[list, int | None]:
+        held = self.waiting.get()
+        return (json.loads(held[0]), held[1]) if held else ([], None)
 
-    def _try(self, run_id: str, source: str, payload: str, attempts: int, due: int, now: int) -> Iterator[Row]:
-        """All tries that are due by ``now``."""
+    def _try(self, run_id: str, source: str, payload: str, attempts: int, due: int, now: int, waiting: list) -> Iterator[Row]:
+        """All tries that are due by ``now``; what isn't done then waits."""
         while due <= now:
             attempts += 1
             try:
@@ -93,18 +110,21 @@ class Delivery(StatefulProcessor):
             except Exception as failure:  # noqa: BLE001  (whatever a scraper raises is a failed try)
                 error = str(failure) or type(failure).__name__
             if error is None or attempts >= self.most:
-                self._end()
                 yield Row(run_id=run_id, source=source, status="success" if error is None else "failed", attempts=attempts, error=error)
                 return
             due += 1000 * self.backoff * 2 ** (attempts - 1)
-        self.waiting.update((source, payload, attempts, due))
-        self.handle.registerTimer(due)
-
-    def _end(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.waiting.clear()
-        self.done.update((True,))
+        waiting.append((run_id, source, payload, attempts, due))
+
+    def _wait(self, waiting: list, timer: int | None) -> None:
+        first = min((x[4] for x in waiting), default=None)
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is not None and timer != first:
+            self.handle.registerTimer(first)
+        if waiting:
+            self.waiting.update((json.dumps(waiting), first))
+        else:
+            self.waiting.clear()
 
     def close(self) -> None:
         pass
@@ -113,9 +133,31 @@ class Delivery(StatefulProcessor):
 RESULT = "run_id string, source string, status string, attempts int, error string"
 
 
-def deliver(messages: DataFrame, attempt: Callable[[str, int], str | None], most: int = MOST_ATTEMPTS, backoff: int = 60, late: str = "1 hour") -> DataFrame:
-    """Results (RESULT) of a stream of messages: run_id, kind (job, cancel or tick), source, payload, at (timestamp)."""
-    stream = messages.withWatermark("at", late).groupBy("run_id")
+_MESSAGE = ("run_id", "kind", "source", "payload", "at")
+
+
+def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's rows of one run_id and kind the first by (at, payload), no payload being an empty one; ticks keep their last."""
+    rows = pa.Table.from_batches(got) if (got := list(batches)) else None
+    if rows is None or not rows.num_rows:
+        return
+    since = pc.cast(rows["at"], pa.int64())
+    order = pa.table({"run_id": rows["run_id"], "kind": rows["kind"], "at": pc.if_else(pc.equal(rows["kind"], TICK), pc.negate(since), since), "payload": pc.fill_null(rows["payload"], ""), "source": rows["source"]})
+    rows = rows.take(pc.sort_indices(order, [(c, "ascending") for c in order.column_names])).combine_chunks()
+    differs = lambda c: pc.fill_null(pc.not_equal(rows[c][1:], rows[c][:-1]), True)  # noqa: E731  null isn't equal to null: both stay here
+    new = pc.or_(differs("run_id"), differs("kind"))
+    yield from rows.filter(pa.concat_arrays([pa.array([True]), *new.chunks])).to_batches(max_chunksize=10_000)
+
+
+def deliver(messages: DataFrame, attempt: Callable[[str, int], str | None], most: int = MOST_ATTEMPTS, backoff: int = 60, late: str = "1 hour", buckets: int = 1024) -> DataFrame:
+    """Results (RESULT) of a stream of messages: run_id, kind (job, cancel or tick), source, payload, at (timestamp).
+
+    Of copies in one micro-batch the first by (at, payload) is taken; what comes again later is passed over by Spark's own keyed state.
+    What is left goes to Python in ``buckets`` groups, since each group costs some milliseconds there; a checkpoint holds to their number.
+    """
+    first = messages.select(*_MESSAGE).repartition("run_id").mapInArrow(_first_copies, messages.select(*_MESSAGE).schema)
+    once = first.withWatermark("at", late).dropDuplicates(["run_id", "kind"])
+    stream = once.select(F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("bucket"), *_MESSAGE[:4], F.unix_millis("at").alias("ms")).groupBy("bucket")
     return stream.transformWithState(Delivery(attempt, most, backoff), RESULT, "append", "eventTime")
 
 
